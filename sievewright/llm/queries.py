@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import packing, simhash, substring, token_files
 from .common import documents
 
 SQL: dict[str, str] = {}
@@ -16,5 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over = lambda f: lambda spark, sf_dir: f(documents(spark, sf_dir))
     return {
         "op2_simhash": over(simhash.op2_simhash),
+        "op5_packing": over(packing.op5_packing),
+        "op6_token_files": over(token_files.op6_token_files),
         "op10_substring": over(substring.op10_substring),
     }
