@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, substring, token_files
+from . import packing, piece_model, quality, simhash, substring, token_files
 from .common import documents
 
 SQL: dict[str, str] = {}
@@ -15,7 +15,9 @@ SQL: dict[str, str] = {}
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     over = lambda f: lambda spark, sf_dir: f(documents(spark, sf_dir))
     return {
+        "op1_sentencepiece": over(piece_model.op1_sentencepiece),
         "op2_simhash": over(simhash.op2_simhash),
+        "op3_quality": over(quality.op3_quality),
         "op5_packing": over(packing.op5_packing),
         "op6_token_files": over(token_files.op6_token_files),
         "op10_substring": over(substring.op10_substring),
