@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_model, quality, simhash, substring, token_files
+from . import langid, packing, piece_model, quality, simhash, substring, token_files, toxicity
 from .common import documents
 
 SQL: dict[str, str] = {}
@@ -20,5 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": over(quality.op3_quality),
         "op5_packing": over(packing.op5_packing),
         "op6_token_files": over(token_files.op6_token_files),
+        "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op9_langid": over(langid.op9_langid),
         "op10_substring": over(substring.op10_substring),
     }
