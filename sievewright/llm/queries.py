@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, piece_model, quality, simhash, substring, token_files, toxicity
+from . import langid, media, packing, pii, piece_model, quality, simhash, substring, token_files, toxicity
 from .common import documents
 
 SQL: dict[str, str] = {}
@@ -18,9 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": over(piece_model.op1_sentencepiece),
         "op2_simhash": over(simhash.op2_simhash),
         "op3_quality": over(quality.op3_quality),
+        "op4_pii": over(pii.op4_pii),
         "op5_packing": over(packing.op5_packing),
         "op6_token_files": over(token_files.op6_token_files),
         "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op8_media": over(media.op8_media),
         "op9_langid": over(langid.op9_langid),
         "op10_substring": over(substring.op10_substring),
     }

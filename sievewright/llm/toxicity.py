@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_and_text, prepare, written
@@ -243,6 +244,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score as a column of a table that keeps its other columns."""
+    prepare(spark)
+    kept = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([kept.value.score(t) for t in texts], dtype=float)
+
+    return score(text.cast("string").cast("binary"))
+
+
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1")
     return scored(docs, fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
