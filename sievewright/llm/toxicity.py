@@ -159,21 +159,21 @@ def mined(sample: DataFrame, n_toxic: int, n_clean: int, voters: int = VOTERS, l
     return out
 
 
-def label_model(fires: np.ndarray, given: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Posterior of class 1 for each row, from voters that fire or not and given labels (-1: none)."""
-    n, m = fires.shape
+def label_model(fires: np.ndarray, given: np.ndarray, times: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Posterior of class 1 for each row, from voters that fire or not and given labels (-1: none); a row stands for ``times`` equal ones."""
+    n, m = times.sum(), fires.shape[1]
     fires = fires.astype(float)
     known = np.where(given < 0, 0.5, np.where(given == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
     side = np.log(known / (1 - known))
     post = known.copy()
     extra = np.zeros((m, m))
     for r in range(rounds):
-        weight = post.sum()
+        weight = times @ post
         prior = (weight + 1) / (n + 2)
-        on1 = (post @ fires + 0.5) / (weight + 1)
-        on0 = ((1 - post) @ fires + 0.05) / (n - weight + 1)
+        on1 = ((times * post) @ fires + 0.5) / (weight + 1)
+        on0 = ((times * (1 - post)) @ fires + 0.05) / (n - weight + 1)
         if r in (2, rounds // 2):  # correlation that the class leaves over
-            rest = fires - np.outer(post, on1) - np.outer(1 - post, on0)
+            rest = np.sqrt(times)[:, None] * (fires - np.outer(post, on1) - np.outer(1 - post, on0))
             scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
             extra = np.clip(rest.T @ rest / np.outer(scale, scale) - np.eye(m), 0, None)
         # a voter that does not fire abstains; voters that fire together share what they are correlated in
@@ -183,10 +183,8 @@ def label_model(fires: np.ndarray, given: np.ndarray, rounds: int = 12) -> np.nd
     return post
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on soft targets, by Newton's method. Equal rows are summed up."""
-    x, which, times = np.unique(x, axis=0, return_inverse=True, return_counts=True)
-    target = np.bincount(which.ravel(), target) / times
+def logistic(x: np.ndarray, target: np.ndarray, times: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on soft targets, by Newton's method."""
     design = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(design.shape[1])
     penalty = np.append(np.full(x.shape[1], ridge), 1e-3)
@@ -225,10 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [model.features(*model.hits(t)).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "toxic"])
 
-    table = rows.select("text", "toxic").mapInArrow(votes, "x binary, toxic int").toPandas()  # at most ``sample`` rows
+    # at most ``sample`` rows; equal ones, as those without any hit, are counted before they are sent
+    table = rows.select("text", "toxic").mapInArrow(votes, "x binary, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "toxic").toPandas()
     x = np.frombuffer(b"".join(table.x), "<f4").reshape(len(table), -1).astype(float)
     fires = x[:, :-2] > 0
-    model.weights, model.bias = logistic(x, label_model(fires, table.toxic.to_numpy()))
+    times = table.n.to_numpy(float)
+    model.weights, model.bias = logistic(x, label_model(fires, table.toxic.to_numpy(), times), times)
     return model
 
 
