@@ -65,24 +65,28 @@ def dense_filtered(spark, d):
 BUCKETS = 12
 
 
-def hash_embedding(text):
-    """Unit vector of token counts over BUCKETS; a text without tokens has only the first bucket."""
-    words = F.filter(F.split(casefold(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
+def hash_embedding(rows, id_col, text_col, out):
+    """(id, out): unit vector of token counts over BUCKETS; a text without tokens has only the first bucket.
+
+    Three steps, each reading the one before: a lambda that stood in another would be evaluated again for each element.
+    """
+    words = F.filter(F.split(casefold(F.coalesce(F.col(text_col), F.lit(""))), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
     bucket = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % BUCKETS
-    counted = F.transform(words, bucket)
-    v = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter(counted, lambda c: c == k)).cast("double"))
-    v = F.when(F.size(words) == 0, F.array(F.lit(1.0), *[F.lit(0.0)] * (BUCKETS - 1))).otherwise(v)
-    return dense.normalised(v)
+    zero = F.array(*[F.lit(0.0)] * BUCKETS)
+    counted = F.aggregate(F.transform(words, bucket), zero, lambda acc, c: F.transform(acc, lambda x, k: F.when(k == c, x + 1.0).otherwise(x)))
+    steps = rows.select(F.col(id_col), counted.alias("_c")).select(id_col, "_c", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x)).alias("_n"))
+    first = F.array(F.lit(1.0), *[F.lit(0.0)] * (BUCKETS - 1))
+    return steps.select(id_col, F.when(F.col("_n") > 0, F.transform("_c", lambda x: x / F.col("_n"))).otherwise(first).alias(out))
 
 
 def document_embeddings(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", hash_embedding(F.col("text")).alias("v"))
+    rows = hash_embedding(_t(spark, d, "documents"), "doc_id", "text", "v")
     return rows.select("doc_id", *(F.round(F.col("v")[k], 6).alias(f"v{k}") for k in range(BUCKETS)))
 
 
 def _dense_documents(spark, d, k):
-    docs = _t(spark, d, "documents").select("doc_id", hash_embedding(F.col("text")).alias("v"))
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), hash_embedding(F.col("text")).alias("query"))
+    docs = hash_embedding(_t(spark, d, "documents"), "doc_id", "text", "v")
+    asked = hash_embedding(_t(spark, d, "benchmark"), "item_id", "text", "query").withColumnRenamed("item_id", "qid")
     return dense.search(docs, asked, k, "doc_id", "v", "qid", "query").withColumnRenamed("id", "doc_id")
 
 
