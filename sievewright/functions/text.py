@@ -36,7 +36,8 @@ def tokens(text: Column) -> Column:
         bigrams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(raw, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         components = F.filter(F.split(raw, r"[.:/\\-]+"), lambda c: c != "")
         plain = F.concat(F.array(casefold(raw)), F.flatten(F.transform(components, of_component(raw))))
-        return F.when(raw.rlike(CJK_RUN), F.concat(F.array(raw), bigrams)).otherwise(plain)
+        # most words have neither joins nor inner capitals, digits or underscores: they are one token
+        return F.when(~raw.rlike(r".[A-Z0-9_.:/\\-]|[^\x00-\x7F]"), F.array(F.lower(raw))).when(raw.rlike(CJK_RUN), F.concat(F.array(raw), bigrams)).otherwise(plain)
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_TOKEN), F.lit(0)), of_raw))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .common import small, top
+from .common import few, top
 
 K1, B = 1.5, 0.75
 
@@ -31,7 +31,7 @@ def postings(rows: DataFrame, terms: DataFrame | None = None, by: tuple[str, ...
     """(by, doc_id, term, tf, dl), of the given terms only if there are any."""
     each = rows.select(*by, "doc_id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:
-        each = each.join(small(terms.select("term").distinct()), "term", "left_semi")
+        each = each.join(terms, "term", "left_semi")
     return each.groupBy(*by, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -53,13 +53,15 @@ def scores(rows: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, by:
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be above 0 and b between 0 and 1")
-    post = postings(rows, terms, by)
+    # one check, of the queries alone: the query side, and the statistics of its terms (a row for each term and partition), are as small
+    side = F.broadcast if few(terms) else lambda x: x
+    post = postings(rows, side(terms.select("term").distinct()), by)
     stats = corpus_stats(rows, list(by))
-    weighed = post.join(small(term_stats(post, by)), [*by, "term"])
+    weighed = post.join(side(term_stats(post, by)), [*by, "term"])
     weighed = weighed.join(F.broadcast(stats), list(by)) if by else weighed.crossJoin(F.broadcast(stats))  # one row for each partition
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = weighed.withColumn("part", part).join(small(terms), "term")
+    found = weighed.withColumn("part", part).join(side(terms), "term")
     summed = found.groupBy(*by, "qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
     return summed.where("score > 0")
 

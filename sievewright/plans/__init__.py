@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import corpus, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, corpus)
 
 
 def queries() -> dict:

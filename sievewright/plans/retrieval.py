@@ -156,7 +156,7 @@ QUERIES = {
     for f in (tokenize_terms, doc_stats, corpus_stats, term_stats_df, bm25_topk, bm25_filtered, dense_topk, dense_filtered, document_embeddings, rrf_fuse, hybrid_topk, federated_topk, eval_per_query, eval_summary, eval_refusals, ablation_deltas)
 }
 
-_RANKED = "SELECT {cols}, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id) AS rank FROM {table}"
+_RANKED = "SELECT {cols}, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {table}"
 
 
 def _topk(table: str, k: int, by: str = "qid", cols: str = "qid, doc_id, score") -> str:
@@ -181,8 +181,8 @@ _DENSE_DOCS = f"""{_hash_vectors('documents', 'doc_id', 'dv')}, {_hash_vectors('
 dense_s AS (SELECT item_id AS qid, doc_id, round(list_inner_product(dv.v, qv.v), 6) AS score FROM dv, qv)"""
 
 _FUSE = """sums AS (SELECT qid, doc_id, round(sum(w / (60 + rank)), 9) AS fused, min(list_no * 1000000 + rank) AS first FROM lists GROUP BY 1, 2),
-con AS (SELECT qid, doc_id, string_agg(retriever, ',' ORDER BY at) AS contributors FROM (SELECT qid, doc_id, retriever, min(list_no * 1000000 + rank) AS at FROM lists GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT * FROM (SELECT qid, doc_id, fused, contributors, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, first, doc_id) AS rank FROM sums JOIN con USING (qid, doc_id)) WHERE rank <= 5"""
+con AS (SELECT qid, doc_id, string_agg(retriever, ',' ORDER BY seen) AS contributors FROM (SELECT qid, doc_id, retriever, min(list_no * 1000000 + rank) AS seen FROM lists GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT * FROM (SELECT qid, doc_id, fused, contributors, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, first, doc_id)::INTEGER AS rank FROM sums JOIN con USING (qid, doc_id)) WHERE rank <= 5"""
 
 _BM25 = sqltext.bm25()
 _REL = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
