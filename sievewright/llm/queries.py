@@ -9,7 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from . import langid, media, packing, pii, piece_model, quality, simhash, substring, token_files, toxicity
 from .common import documents
 
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w),
+wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 5) r(j) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+near AS (SELECT doc_id, count(*) FILTER (w = before) AS n, max(strlen(w)) AS longest FROM (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM words) GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+ coalesce(near.n, 0) AS n_neighbour_words, coalesce(dups.n, 0) AS n_lines, coalesce(longest, 0) AS longest_word
+ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN near USING (doc_id)),
+b AS (SELECT *, ({' + '.join(f'CASE WHEN {fails} THEN {1 << k} ELSE 0 END' for k, (_, fails) in enumerate(quality.RULES))})::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality.BASE} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.POLICY]} = 0 AS kept, failed_bits, '{quality.POLICY}' AS policy FROM b"""
+_REPEATS = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+wins AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {substring.WINDOW - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {substring.WINDOW})),
+firsts AS (SELECT k, min(doc_id) AS m FROM wins GROUP BY 1),
+gone AS (SELECT DISTINCT wins.doc_id, i + j AS p FROM wins JOIN firsts USING (k), range(0, {substring.WINDOW}) r(j) WHERE m < wins.doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT words.doc_id, string_agg(w, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS t, count(*) FILTER (gone.p IS NOT NULL) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+#: The others have no SQL: XXH64, CRC-32, tokenizers and learned models are not in DuckDB. They are tested in tests/llm.
+SQL: dict[str, str] = {"op3_quality": _QUALITY, "op10_substring": _REPEATS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
