@@ -40,6 +40,8 @@ STEPS = (1, 2, 4)
 THRESHOLD = 0.7
 #: How far a given label is trusted.
 LABEL_ACCURACY = 0.97
+#: What a row without a label counts for, so that voters that repeat one another cannot vouch for themselves.
+UNLABELLED = 0.2
 
 # A seed list of English insults.
 SEED_WORDS = (
@@ -161,11 +163,14 @@ def mined(sample: DataFrame, n_toxic: int, n_clean: int, voters: int = VOTERS, l
 
 def label_model(fires: np.ndarray, given: np.ndarray, times: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Posterior of class 1 for each row, from voters that fire or not and given labels (-1: none); a row stands for ``times`` equal ones."""
-    n, m = times.sum(), fires.shape[1]
+    m = fires.shape[1]
     fires = fires.astype(float)
     known = np.where(given < 0, 0.5, np.where(given == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
     side = np.log(known / (1 - known))
-    post = known.copy()
+    base = (times @ (given == 1) + 1) / (times @ (given >= 0) + 2)
+    post = np.where(given < 0, base, known)  # a row without a label starts at the rate of the labelled ones
+    times = times * np.where(given < 0, UNLABELLED, 1.0)
+    n = times.sum()
     extra = np.zeros((m, m))
     for r in range(rounds):
         weight = times @ post
