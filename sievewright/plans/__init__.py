@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, retrieval
+from . import answers, corpus, retrieval
 
-MODULES = (retrieval, corpus)
+MODULES = (retrieval, corpus, answers)
 
 
 def queries() -> dict:
