@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, prepare
-from .tokens import Kept, vocabulary
+from .tokens import vocabulary
 
 SAMPLE = 800
 ROUNDS = 2
@@ -34,6 +34,8 @@ PIECE_CHARS = 6
 CUT = 60
 #: Probability of a character that no piece holds.
 UNKNOWN = 1e-6
+#: Words whose values a worker keeps.
+KEPT = 900_000
 MARK = "▁"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,6 +97,69 @@ def _lists(probability: np.ndarray) -> list[list[float]]:
     return _tables[id(probability)]
 
 
+class Scorer:
+    """Log-probabilities of words in each language, in batches, with the values of earlier words kept."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, names: list[str], probability: np.ndarray, rows: int = KEPT):
+        powers = np.array([pow(self.BASE, k, 1 << 64) for k in range(PIECE_CHARS)], np.uint64)
+        hashes = np.array([sum(ord(c) * int(powers[len(x) - 1 - i]) for i, c in enumerate(x)) % (1 << 64) for x in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.p, self.powers = hashes[order], probability[order], powers
+        if len(set(hashes.tolist())) < len(names):
+            raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece: one look here tells
+        self.maybe[hashes >> np.uint64(44)] = True
+        self.rows, self.index = rows, {}
+        self.values = np.zeros((1024, probability.shape[1]))
+
+    def same_length(self, words: list[str]) -> np.ndarray:
+        """The forward algorithm for words of one length, all at once."""
+        n, length = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64)
+        ahead = [np.ones((n, self.p.shape[1]))]
+        for end in range(1, length + 1):
+            now, h = np.zeros((n, self.p.shape[1])), np.zeros(n, np.uint64)
+            for size in range(1, min(end, PIECE_CHARS) + 1):
+                h = h + codes[:, end - size] * self.powers[size - 1]
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.hashes, h[rows]), len(self.hashes) - 1)
+                hit = self.hashes[at] == h[rows]
+                rows, at = rows[hit], at[hit]
+                now[rows] += ahead[end - size][rows] * self.p[at]
+                if size == 1 and len(rows) < n:
+                    unknown = np.ones(n, bool)
+                    unknown[rows] = False
+                    now[unknown] += ahead[end - 1][unknown] * UNKNOWN
+            ahead.append(now)
+        return np.log(np.maximum(ahead[-1], 1e-300))
+
+    def learn_words(self, words: set[str]) -> None:
+        """Score words that are not kept yet; when the store is full it starts anew with these."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > self.rows:
+            self.index.clear()
+            new = list(words)
+        at = len(self.index)
+        if at + len(new) > len(self.values):
+            more = np.zeros((2 * (at + len(new)), self.values.shape[1]))
+            more[:at] = self.values[:at]
+            self.values = more
+        by: dict[int, list[str]] = defaultdict(list)
+        for w in new:
+            by[len(w)].append(w)
+        for group in by.values():
+            for k in range(0, len(group), 20_000):
+                part = group[k : k + 20_000]
+                self.values[at : at + len(part)] = self.same_length(part)
+                self.index.update(zip(part, range(at, at + len(part)), strict=True))
+                at += len(part)
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.values[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+
 def expected(word: str, known: dict[str, int], p: list[float], weight: float, into: np.ndarray) -> None:
     """Add the expected piece counts of a word to ``into``, by the forward and backward sums."""
     found = spans(word, known)
@@ -165,21 +230,23 @@ def predicted(docs: DataFrame, langs: list[str], vocabulary_pieces: list[str], p
     kept = docs.sparkSession.sparkContext.broadcast((vocabulary_pieces, probability))  # pieces x languages, fixed by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, p = kept.value
-        known = {x: k for k, x in enumerate(names)}
-        values = Kept(400_000, lambda word: forward(word, known, p))
+        scorer = Scorer(*kept.value) if langs else None
         for batch in batches:
             found, scores = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of((text or b"").decode("utf-8", "replace"))
-                if not words or not langs:
-                    found.append("und")
-                    scores.append(0.0)
-                    continue
-                total = np.sum([values[w] for w in words], axis=0)
-                best = int(np.argmax(total))
-                found.append(langs[best])
-                scores.append(1 / math.fsum(np.exp(np.clip(total - total[best], -700, 0))))
+            texts = batch.column(1).to_pylist()
+            for at in range(0, len(texts), 250):
+                asked = [words_of((t or b"").decode("utf-8", "replace")) if langs else [] for t in texts[at : at + 250]]
+                if langs:
+                    scorer.learn_words(set().union(*asked))
+                for words in asked:
+                    if not words:
+                        found.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = scorer.total(words)
+                    best = int(np.argmax(total))
+                    found.append(langs[best])
+                    scores.append(1 / math.fsum(np.exp(np.clip(total - total[best], -700, 0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
