@@ -8,9 +8,9 @@ Spark: a pattern by the mean score of its instances, an instance by the patterns
 stands in. Patterns of high confidence, seen with enough different seeds, then discover
 identifiers of any shape (kind ``id``) wherever they stand.
 
-Only DataFrame functions are used. Text never moves: positions are found row by row,
-and only (pattern, instance) counts are shuffled. An accepted pattern holds at least
-one in SHARE of all seed occurrences, so at most SHARE are sent back as literals.
+Only DataFrame functions are used. Positions are found row by row, and only (pattern,
+instance) counts are shuffled. Up to LITERALS accepted patterns are sent back as
+literals; if there are more, the patterns of each row are joined with their table.
 
 Null texts are empty ones; repeated rows are searched each; an empty table gives no rows.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import few
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -35,9 +36,12 @@ SEED = "^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{32,64}$"
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 ROUNDS = 3
 CONFIDENCE = 0.9
-#: Different seeds that a pattern needs, and its least share of all seed occurrences.
+#: Different seeds that a pattern needs.
 SEEDS = 5
-SHARE = 1000
+#: Accepted patterns that are sent as literals; more of them stay a table.
+LITERALS = 1000
+#: Parts of a pattern's rows if the table of accepted ones is too large for a broadcast.
+SALTS = 16
 
 PREFIX = "pii: "
 _SPAN = "array<struct<s:int,e:int,m:string,left:string>>"
@@ -93,17 +97,38 @@ def pattern(left: Column) -> Column:
     return F.when(key != "", key).otherwise(F.regexp_extract(low, r"(?<!\S)([\p{L},.;]{1,20} [\p{L},.;]{1,20} )$", 1))
 
 
-def _with_kinds(rows: DataFrame, good: list[str] | None, keep: list[str]) -> DataFrame:
-    """The columns to keep and, prefixed, the matches of each kind; of kind id those in good patterns, or all if good is None.
+def _matched(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """``rows`` with, prefixed, the accepted patterns that stand in each row, as an array or null."""
+    key, found = f"{PREFIX}row", f"{PREFIX}good"
+    rows = written(rows.withColumn(key, F.monotonically_increasing_id()), "pii-rows")  # the numbers are fixed once written
+    text = F.coalesce(F.col("text"), F.lit(""))
+    each = F.array_distinct(F.transform(located(text, CANDIDATE, text.rlike("[0-9]")), lambda x: pattern(x["left"])))
+    asked = rows.select(key, F.explode(each).alias("pattern"))
+    if few(good):
+        met = asked.join(F.broadcast(good), "pattern")
+    else:  # a pattern that very many rows have is dealt out
+        salted = good.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = asked.withColumn("salt", F.pmod(F.col(key), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
+    met = met.groupBy(key).agg(F.collect_set("pattern").alias(found))
+    return rows.join(met, key, "left").drop(key)
+
+
+def _with_kinds(rows: DataFrame, good: DataFrame | None, keep: list[str]) -> DataFrame:
+    """The columns to keep and, prefixed, the matches of each kind; of kind id those in good patterns (a table), or all if good is None.
 
     Candidates that overlap a fixed kind's match are left out, but for shorter matches inside them.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     names = [f"{PREFIX}{k}" for k in KINDS]
-    found = rows.select(*keep, *(k.alias(name) for k, name in zip(base_kinds(text), names, strict=False)), located(text, CANDIDATE, text.rlike("[0-9]")).alias(names[4]))
+    accepted = None
+    if good is not None:
+        first = [r.pattern for r in good.limit(LITERALS + 1).collect()]
+        accepted = F.array(*map(F.lit, sorted(first))).cast("array<string>")
+        if len(first) > LITERALS:
+            rows, accepted = _matched(rows, good), F.coalesce(F.col(f"{PREFIX}good"), F.array().cast("array<string>"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = rows.select(*keep, *([] if accepted is None else [accepted.alias(f"{PREFIX}good")]), *(k.alias(name) for k, name in zip(base_kinds(text), names, strict=False)), located(text, CANDIDATE, text.rlike("[0-9]")).alias(names[4]))
     if good is not None:
-        wanted = F.filter(names[4], lambda x: F.array_contains(F.array(*map(F.lit, good)), pattern(x["left"]))) if good else F.array().cast(_SPAN)
-        found = found.withColumn(names[4], wanted)
+        found = found.withColumn(names[4], F.filter(names[4], lambda x: F.array_contains(F.col(f"{PREFIX}good"), pattern(x["left"])))).drop(f"{PREFIX}good")
     inside = lambda b, c: (b["s"] >= c["s"]) & (b["e"] <= c["e"]) & (b["e"] - b["s"] < c["e"] - c["s"])
     clash = lambda c: F.exists(F.concat(*names[:4]), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]) & ~inside(b, c))
     return found.withColumn(names[4], F.filter(names[4], lambda c: ~clash(c)))
@@ -113,33 +138,36 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def patterns(docs: DataFrame, rounds: int = ROUNDS) -> list[str]:
-    """The patterns of high confidence, at most SHARE."""
+def accepted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern): the patterns of high confidence."""
     rows = _with_kinds(_rows(docs), None, []).toDF(*KINDS)
     instance = lambda x, kind, seed: F.struct(pattern(x["left"]).alias("pattern"), F.concat(F.lit(f"{kind}:"), F.lower(x["m"])).alias("instance"), seed.alias("seed"))
     seeded = lambda kind: F.transform(kind, lambda x: instance(x, kind, F.lit(1.0)))  # noqa: E731  one parameter: a second would be the index
     seeds = [seeded(kind) for kind in KINDS[:4]]
     others = F.transform("id", lambda x: instance(x, "id", F.when(F.lower(x["m"]).rlike(SEED), 1.0).otherwise(0.0)))
     edges = rows.select(F.explode(F.concat(*seeds, others)).alias("x")).select("x.*").where("pattern <> ''")
-    edges = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pattern-instances")
-    total = edges.where("seed = 1").agg(F.sum("n")).first()[0]
-    if not total:
-        return []
+    edges = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-instances")
+    if edges.where("seed = 1").isEmpty():
+        return edges.select("pattern").where("false")
     scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     for r in range(rounds):
         confidence = edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 0.2)).alias("confidence"), F.sum("seed").alias("seeds"), F.sum(F.col("n") * F.col("seed")).alias("uses")
+            (F.sum("score") / (F.count(F.lit(1)) + 0.2)).alias("confidence"), F.sum("seed").alias("seeds")
         )
         confidence = written(confidence, f"confidence-{r}")
         told = 1 - F.exp(F.sum(F.ln(1 - 0.99 * F.least(F.col("confidence"), F.lit(1.0)))))
         scores = edges.join(confidence.where(F.col("seeds") >= SEEDS), "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.coalesce(told, F.lit(0.0))).alias("score"))
-    best = confidence.where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SEEDS) & (F.col("uses") * SHARE >= F.lit(float(total))))
-    return sorted(r.pattern for r in best.select("pattern").collect())
+    return confidence.where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SEEDS)).select("pattern")
+
+
+def patterns(docs: DataFrame, rounds: int = ROUNDS) -> list[str]:
+    """The accepted patterns in order, on the driver."""
+    return sorted(r.pattern for r in accepted_patterns(docs, rounds).collect())
 
 
 def searched(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, id): matches of each kind, those of kind id found by the learned patterns."""
-    found = _with_kinds(_rows(docs), patterns(docs), ["doc_id"])
+    found = _with_kinds(_rows(docs), accepted_patterns(docs), ["doc_id"])
     return found.select("doc_id", *(F.col(f"{PREFIX}{k}").alias(k) for k in KINDS))
 
 
@@ -172,7 +200,7 @@ def redaction(text: Column, listed: Column) -> Column:
 
 def replaced(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, and ``n_chars`` to match; null texts and other columns stay."""
-    good = patterns(docs)
+    good = accepted_patterns(docs)
     found = _with_kinds(docs.withColumn("text", F.col("text").cast("string")), good, docs.columns)
     out = found.withColumn("text", F.when(F.col("text").isNotNull(), redaction(F.col("text"), spans([f"{PREFIX}{k}" for k in KINDS]))))
     if "n_chars" in docs.columns:

@@ -66,3 +66,22 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[100] == 'x token = "[ID]" y' and clean[101] == rows[61][1]
     text = "mail a@b.c then 1.2.3.4 and +1 (234) 555-0199 end"
     assert pii.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "mail [EMAIL] then [IP] and [PHONE] end"
+
+
+def test_rare_contexts_in_a_large_corpus(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, f'some words token = "{rng.getrandbits(160):040x}" end') for k in range(6)]
+    rows += [(100 + k, " ".join(f"write to a{k}x{m}@b.co" for m in range(100))) for k in range(70)]  # over 1,000 times as many other seeds
+    unseen = 'x token = "User-Key-77-ZZTOP" y'
+    rows += [(50, unseen), (50, unseen), (None, unseen), (51, None), (52, "plain order 20240101-77 text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 'token = "' in pii.patterns(df)
+    want = sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in pii.op4_pii(df).collect())
+    assert [x for x in want if x[0] in (-1, 50, 51, 52)] == [(-1, "id:11:28"), (50, "id:11:28"), (50, "id:11:28"), (51, ""), (52, "")]
+    clean = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in pii.replaced(df).collect())
+    assert clean[0] == (-1, 'x token = "[ID]" y')
+    monkeypatch.setattr(pii, "LITERALS", 0)  # the accepted patterns stay a table: broadcast, then shuffled
+    for is_few in (True, False):
+        monkeypatch.setattr(pii, "few", lambda df, is_few=is_few: is_few)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in pii.op4_pii(df).collect()) == want
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in pii.replaced(df).collect()) == clean
