@@ -49,6 +49,8 @@ SEED_WORDS = (
 )
 # Patterns of address.
 SEED_PATTERNS = (r"\byou(?:'re| are) (?:an? |such an? |all )?(?:%s)s?\b" % "|".join(SEED_WORDS), r"\bshut up\b", r"\bgo to hell\b")
+#: What every match of a seed pattern holds: a pattern is only searched in texts with one of these.
+_NEEDS = dict(zip(SEED_PATTERNS, (("you're ", "you are "), ("shut up",), ("go to hell",)), strict=True))
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,15 +89,15 @@ class Model:
 
     def hits(self, text: bytes | None) -> tuple[dict[int, int], int]:
         """Hits of each voter that fires, and the number of words."""
-        words = words_of(text)
+        low = (text or b"").decode("utf-8", "replace").lower()
+        words = _WORD.findall(low)
         found: dict[int, int] = defaultdict(int)
         for v in map(self.voter, words):
             if v >= 0:
                 found[v] += 1
-        if found:  # a pattern of address needs an insult or stands alone rarely; it is looked for with hits only
-            low = text.decode("utf-8", "replace").lower()
-            base = self.size - len(self.patterns)
-            for k, pattern in enumerate(self.patterns):
+        base = self.size - len(self.patterns)
+        for k, pattern in enumerate(self.patterns):
+            if any(x in low for x in _NEEDS.get(pattern, ("",))):
                 n = len(re.findall(pattern, low))
                 if n:
                     found[base + k] = n

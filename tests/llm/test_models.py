@@ -36,6 +36,20 @@ def test_toxicity_without_labels(spark):
     assert toxicity.op7_toxicity(docs.where("false"), none.where("false")).collect() == []
 
 
+def test_toxicity_patterns_without_other_hits(spark):
+    """Each pattern of address alone, in a short and in a long text, and as a voter of its own in a fitted model."""
+    model = toxicity.Model({w: k for k, w in enumerate(toxicity.SEED_WORDS)}, {}, list(toxicity.SEED_PATTERNS))
+    for k, text in enumerate(["you're such a clown", "Shut up", "GO TO HELL"]):
+        assert model.hits((text + " now" + " fine" * 5000).encode())[0][len(toxicity.SEED_WORDS) + k] == 1
+    assert model.hits(b"you are all idiots")[0] == {len(toxicity.SEED_WORDS): 1}  # no word of the lexicon, only the pattern
+    assert not model.hits(b"shut upwards, you are here, go to hello")[0] and not model.hits(None)[0]
+    texts = ["go to hell", "shut up", "you are all idiots", "go to work", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.op7_toxicity(docs, none).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_label_model_finds_the_accurate_voters():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.1
