@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, prepare, written
@@ -33,6 +33,7 @@ SHINGLE = 4
 RADIUS = 4
 #: Fingerprints compared as one block; larger buckets are dealt out in pairs of tiles.
 TILE = 2048
+_TIE, _NTH = "simhash: tie", "simhash: nth"
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -54,16 +55,21 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, tie: Column | None = None) -> DataFrame:
+    """(doc_id, fp[, tie]): fp is the fingerprint as a signed long; tie is a long of each row that goes along."""
     prepare(docs.sparkSession)
+    tied = tie is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x, shingle) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            more = {"tie": batch.column(2)} if tied else {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *more.values()], ["doc_id", "fp", *more])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    if tie is None:
+        return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), tie.alias("tie"))
+    return rows.mapInArrow(run, "doc_id long, fp long, tie long")
 
 
 def block_keys(radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -204,6 +210,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component, whole: that with the smallest doc_id, null ids last, and of those with one id that with the least hash of its columns."""
+    names = docs.columns
+    # the hash leaves nulls out, so it is told where they stand
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{c}`").isNull() for c in names))
+    prints = written(fingerprints(docs, shingle, tie), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    distinct = written(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct, radius, tile))
+    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    best = grouped.groupBy("root").agg(F.min("least").alias("best")).select(F.col("best.doc_id").alias("id"), F.col("best.tie").alias("tie"))
+    equal = prints.groupBy(F.col("doc_id").alias("id"), "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    b, e = best.alias("b"), equal.alias("e")
+    kept = written(b.join(e, (F.col("b.tie") == F.col("e.tie")) & F.col("b.id").eqNullSafe(F.col("e.id")), "left").select("b.id", "b.tie", F.col("n").isNotNull().alias("repeated")), "representatives")
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), tie.alias(_TIE))
+    found = lambda few: rows.join(few, (F.col(_TIE) == few.tie) & F.col("doc_id").cast("long").eqNullSafe(few.id), "left_semi")
+    out = found(kept.where("not repeated"))
+    repeated = kept.where("repeated")
+    if not repeated.isEmpty():  # rows that are equal in every column: the first of them, which each task limits before the shuffle
+        by = Window.partitionBy("doc_id", _TIE).orderBy(_TIE)
+        out = out.unionByName(found(repeated).withColumn(_NTH, F.row_number().over(by)).where(F.col(_NTH) == 1).drop(_NTH))
+    return out.drop(_TIE)
+
+
 def op2_simhash(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,8 +3,9 @@
 A file holds the ids of consecutive documents (little-endian unsigned 32-bit):
 
 * zstandard frames, each of whole documents, compressed on their own;
-* a skippable frame (0x184D2A50) with the directory: shard, number of documents,
-  doc_ids (int64), ids of each (uint64), frame of each (uint32);
+* a skippable frame (0x184D2A50) with the directory: shard, number of documents, how
+  many of them have no doc_id (they are the last), doc_ids of the others (int64), ids
+  of each document (uint64), frame of each (uint32);
 * the seek table of the public seekable format: a skippable frame (0x184D2A5E) with
   the compressed and raw size and the checksum (low 32 bits of XXH64) of each frame,
   and a footer of the number of frames, a flag byte and the magic 0x8F92EAB1.
@@ -15,7 +16,8 @@ so they go to any file system and only whole files of successful tasks appear; i
 line end is set to 0x8F, the last byte of the footer, which the row leaves out.
 
 Null and empty texts are the end id alone; an empty table gives no files and no rows;
-repeated rows are stored each.
+repeated rows are stored each. Documents with a null doc_id follow all others, by the
+hash of their text, and are read back with a null doc_id.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ FILE_BYTES = 64 << 20
 DIRECTORY_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
-def encode_file(shard: tuple[int, int], docs: list[tuple[int, bytes]]) -> bytes:
-    """The file of (doc_id, raw ids) pairs."""
+def encode_file(shard: tuple[int, int], docs: list[tuple[int | None, bytes]]) -> bytes:
+    """The file of (doc_id, raw ids) pairs; those with a null doc_id come last."""
     import xxhash
     import zstandard
 
@@ -62,7 +64,8 @@ def encode_file(shard: tuple[int, int], docs: list[tuple[int, bytes]]) -> bytes:
         held.append(raw)
         size += len(raw)
     close()
-    directory = struct.pack("<IIQ", *shard, len(docs)) + np.array([d for d, _ in docs], "<i8").tobytes() + np.array([len(r) // 4 for _, r in docs], "<u8").tobytes() + np.array(frame_of, "<u4").tobytes()
+    named = [d for d, _ in docs if d is not None]
+    directory = struct.pack("<IIQQ", *shard, len(docs), len(docs) - len(named)) + np.array(named, "<i8").tobytes() + np.array([len(r) // 4 for _, r in docs], "<u8").tobytes() + np.array(frame_of, "<u4").tobytes()
     frames.append(struct.pack("<II", DIRECTORY_MAGIC, len(directory)) + directory)
     table.append((len(frames[-1]), 0, 0))
     entries = b"".join(struct.pack("<III", *x) for x in table)
@@ -80,11 +83,12 @@ class TokenFile:
         self.read, self.table = read, table
         self.offsets = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
         raw = read(int(self.offsets[n - 1]) + 8, int(table[n - 1, 0]) - 8)
-        part, seq, docs = struct.unpack("<IIQ", raw[:16])
+        part, seq, docs, nameless = struct.unpack("<IIQQ", raw[:24])
         self.shard = (part, seq)
-        self.doc_ids = np.frombuffer(raw, "<i8", docs, 16)
-        self.counts = np.frombuffer(raw, "<u8", docs, 16 + 8 * docs).astype(np.int64)
-        self.frame_of = np.frombuffer(raw, "<u4", docs, 16 + 16 * docs)
+        named = docs - nameless
+        self.doc_ids = np.frombuffer(raw, "<i8", named, 24)
+        self.counts = np.frombuffer(raw, "<u8", docs, 24 + 8 * named).astype(np.int64)
+        self.frame_of = np.frombuffer(raw, "<u4", docs, 24 + 8 * named + 8 * docs)
         starts = np.cumsum(self.counts) - self.counts
         first = np.searchsorted(self.frame_of, self.frame_of, side="left")
         self.within = starts - starts[first] if docs else starts
@@ -106,8 +110,10 @@ class TokenFile:
         raw = self.frame(int(self.frame_of[row]))
         return np.frombuffer(raw, "<u4", int(self.counts[row]), 4 * int(self.within[row]))
 
-    def find(self, doc_id: int) -> list[np.ndarray]:
-        """The ids of the documents with this doc_id."""
+    def find(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of the documents with this doc_id, or without any if it is None."""
+        if doc_id is None:
+            return [self.document(k) for k in range(len(self.doc_ids), len(self.counts))]
         lo, hi = np.searchsorted(self.doc_ids, [doc_id, doc_id + 1])
         return [self.document(k) for k in range(int(lo), int(hi))]
 
@@ -117,7 +123,7 @@ def opened(content: bytes) -> TokenFile:
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None = None, partitions: int | None = None) -> None:
-    """Encode ``docs`` and write token files in ascending doc_id order."""
+    """Encode ``docs`` and write token files in ascending doc_id order, null ids last."""
     from pyspark import TaskContext
 
     prepare(docs.sparkSession)
@@ -143,8 +149,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | No
             yield shard()
 
     # the hash only parts rows that have the same doc_id
-    texts = id_and_text(docs).where("doc_id is not null").withColumn("tie", F.xxhash64("text"))
-    ordered = texts.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    texts = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
+    order = (F.asc_nulls_last("doc_id"), F.asc("tie"))
+    ordered = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", "\x8f").option("compression", "none").text(path)
 
@@ -160,7 +167,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n = len(f.counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f.shard[0]] * n, pa.int32()), pa.array([f.shard[1]] * n, pa.int32()), pa.array(f.doc_ids), pa.array(np.cumsum(f.counts) - f.counts), pa.array(f.counts),
+                        pa.array([f.shard[0]] * n, pa.int32()), pa.array([f.shard[1]] * n, pa.int32()), pa.array([*f.doc_ids.tolist(), *[None] * (n - len(f.doc_ids))], pa.int64()), pa.array(np.cumsum(f.counts) - f.counts), pa.array(f.counts),
                         pa.array([zlib.crc32(f.document(k)) for k in range(n)], pa.int64()),
                     ],
                     ["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"],

@@ -51,6 +51,25 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert seen[-1] > 0
 
 
+def test_near_copies_with_null_and_shared_ids(spark, tmp_path):
+    """One row of each group of texts, whatever its id."""
+    one, two, three, four = ("".join(f" {w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    texts = [
+        (None, one), (None, one), (None, two), (5, two), (5, two), (5, two),  # null ids alone; after the others
+        (7, three), (9, three), (7, four), (None, None), (None, ""),  # a copy whose id also labels a unique text
+    ]
+    rows = [(i, t, "en", "s", None) for i, t in texts] + [(5, two, None, "en", None), (5, two, "en", None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as tie", "2 as id", "3 as fp", "4 as `a.b`").repartition(3)
+    docs.write.parquet(str(tmp_path / "d"))
+    for df in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        out = corpus_pipeline.drop_near_copies(spark, df, "")
+        assert out.columns == docs.columns
+        got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+        assert got == [(0, ""), (0, one), (5, two), (7, four), (7, three)]
+    assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), "").collect() == []
+
+
 def test_odd_tables(spark, tmp_path):
     texts = [None, "", "x", "a " * 3000, "a " * 3000, "mail a@b.co"]
     rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]

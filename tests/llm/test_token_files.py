@@ -50,3 +50,21 @@ def test_small_files(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, token_files.op6_token_files(df).collect()))
     assert got == expected(rows)
     assert token_files.op6_token_files(df.where("false")).collect() == []
+
+
+def test_null_ids_follow_the_others(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 300)
+    rows = [(i, "word " * (i % 20 + 1)) for i in range(-20, 40)] + [(2**63 - 1, "last"), (-(2**63), "first")]
+    nameless = [None, "", "word", "word", "other words here", *("word " * k for k in range(2, 20))]
+    df = spark.createDataFrame(rows + [(None, t) for t in nameless], "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, token_files.op6_token_files(df).collect()), key=lambda r: r[1])
+    want = expected(rows)
+    assert got[: len(rows)] == want
+    rest = got[len(rows) :]
+    assert [r[0] for r in rest] == [None] * len(nameless)
+    assert sorted(r[2:] for r in rest) == sorted(r[2:] for r in expected([(0, t or "") for t in nameless]))
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    only = token_files.op6_token_files(df.where("doc_id is null")).collect()
+    assert sorted(r.ids_crc32 for r in only) == sorted(r[3] for r in rest)
+    f = token_files.opened(token_files.encode_file((0, 0), [(3, b"abcd"), (None, b"efgh"), (None, b"ijkl")]))
+    assert [x.tobytes() for x in f.find(None)] == [b"efgh", b"ijkl"] and f.find(3)[0].tobytes() == b"abcd" and f.find(0) == []
