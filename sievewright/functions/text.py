@@ -71,10 +71,10 @@ def canonical_url(url: Column) -> Column:
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path))
 
 
-def redacted(text: Column, limit: int = 400) -> Column:
-    """Diagnostics without keys, bearer tokens and home folders, cut to ``limit`` characters."""
+def redacted(text: Column, limit: int | None = 400) -> Column:
+    """Diagnostics without keys, bearer tokens and home folders, cut to ``limit`` characters if it is not None."""
     x = F.regexp_replace(text, r"(?i)\b(api[_-]?key|token|secret|password|authorization)(\s*[=:]\s*)(?:bearer\s+)?[\"']?[^\s\"',;]+[\"']?", "$1$2[redacted]")
     x = F.regexp_replace(x, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]")
     x = F.regexp_replace(x, r"\b(?:sk-[A-Za-z0-9_-]{8,}|gh[opsur]_[A-Za-z0-9]{8,})", "[redacted]")
     x = F.regexp_replace(x, r"(?:/home/|/Users/|[A-Za-z]:\\\\Users\\\\)[^\s/\\\\]+", "[home]")
-    return F.substring(x, 1, limit)
+    return x if limit is None else F.substring(x, 1, limit)

@@ -95,7 +95,8 @@ def enrich_metadata(spark, d):
 
 
 def diagnostics_redacted(spark, d):
-    return _t(spark, d, "documents").where(F.contains("text", F.lit("token = "))).select("doc_id", F.sha2(redacted(F.col("text"), 400), 256).alias("redacted_hash"))
+    cut, whole = redacted(F.col("text"), 400), redacted(F.col("text"), None)
+    return _t(spark, d, "documents").select("doc_id", F.sha2(cut, 256).alias("redacted_hash"), F.sha2(whole, 256).alias("whole_hash"))
 
 
 def live_grep(spark, d):
