@@ -61,11 +61,12 @@ def line_of(text: Column, offset: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, without the default port and the fragment; the path is / at least."""
+    """Scheme and host in lower case, without credentials, end dots, the default port and the fragment; the path is / at least."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    host = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)", 1))
     host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    host = F.regexp_replace(host, r"\.+(?=:[0-9]+$|$)", "")
     rest = F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$", 1)
     path = F.when((rest == "") | rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path))

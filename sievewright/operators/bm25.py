@@ -7,7 +7,7 @@ scoring join, and the query side is broadcast behind a size check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -46,18 +46,21 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(rows: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, by: tuple[str, ...] = ()) -> DataFrame:
+def scores(rows: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, by: tuple[str, ...] = (), keep: Column | None = None) -> DataFrame:
     """(by, qid, doc_id, score) with score above 0, rounded to 6 places.
 
-    The statistics are those of the whole collection, or of each partition named by ``by``.
+    The statistics are those of the whole collection, or of each partition named by ``by``. keep: a
+    condition on columns of ``rows``; postings of other documents count in the statistics and are not scored.
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be above 0 and b between 0 and 1")
     # one check, of the queries alone: the query side, and the statistics of its terms (a row for each term and partition), are as small
     side = F.broadcast if few(terms) else lambda x: x
-    post = postings(rows, side(terms.select("term").distinct()), by)
+    kept = keep if keep is not None else F.lit(True)
+    marked = postings(rows.withColumn("_keep", F.coalesce(kept, F.lit(False))), side(terms.select("term").distinct()), (*by, "_keep"))
+    post = marked.drop("_keep")
     stats = corpus_stats(rows, list(by))
-    weighed = post.join(side(term_stats(post, by)), [*by, "term"])
+    weighed = marked.where("_keep").drop("_keep").join(side(term_stats(post, by)), [*by, "term"])
     weighed = weighed.join(F.broadcast(stats), list(by)) if by else weighed.crossJoin(F.broadcast(stats))  # one row for each partition
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few, small
+
 BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED = 2000, 20260813
 
 
@@ -38,6 +40,26 @@ def ranking_metrics(queries: DataFrame, results: DataFrame, relevant: DataFrame,
     )
 
 
+ANCHOR = 5
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, doc_id) of every document (doc_id, text) that holds a passage (qid, query) verbatim.
+
+    The words of a passage but its first and last are whole words of a text that holds it, so the second to
+    sixth are looked up by their hash among all runs of five words; only what meets there is compared. Passages
+    of fewer words, a stated set, are held against every text.
+    """
+    asked = passages.where("query is not null").withColumn("w", F.split("query", " "))
+    long_ = asked.where(F.size("w") >= ANCHOR + 2).select("qid", "query", F.xxhash64(F.array_join(F.slice("w", 2, ANCHOR), " ")).alias("h"))
+    words = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= ANCHOR + 2)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(ANCHOR)), " ")))
+    met = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(small(long_.select("qid", "h")), "h").select("qid", "doc_id").distinct()
+    held = met.join(docs.select("doc_id", "text"), "doc_id").join(small(long_.select("qid", "query")), "qid").where(F.contains("text", "query")).select("qid", "doc_id")
+    short = asked.where(F.size("w") < ANCHOR + 2).select("qid", "query")
+    return held.unionByName(docs.join(F.broadcast(short) if few(short) else short, F.contains("text", "query")).select("qid", "doc_id"))
+
+
 def mean_present(x: str) -> Column:
     """Mean of the values that are there; 0.0 if none is."""
     return F.coalesce(F.avg(x), F.lit(0.0))
@@ -62,10 +84,31 @@ def macro_f1(rows: DataFrame, truth: str, said: str) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n_labels"), F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 9).alias("macro_f1"))
 
 
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+BLOCKS = 200
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, n, mean, p50, p95, p99): exact, linearly interpolated."""
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """(by, n, mean, p50, p95, p99): exact, linearly interpolated.
+
+    Approximate edges cut each group into BLOCKS ranges whose sizes are counted; only the ranges that hold a
+    wanted rank are sorted, so no buffer ever holds a group's values. Equal values are counted first.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    whole = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.percentile_approx(value, F.array(*(F.lit(k / BLOCKS) for k in range(1, BLOCKS))), 10 * BLOCKS).alias("edges")
+    )
+    blocked = counted.join(whole.select(*by, "edges"), by).withColumn("block", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = blocked.groupBy(*by, "block").agg(F.sum("c").alias("c")).withColumn("base", earlier(Window.partitionBy(*by).orderBy("block")))  # BLOCKS rows a group
+    sides = [(f"{name}{side}", f((F.col("n") - 1) * F.lit(q)).cast("long")) for name, q in QUANTILES.items() for side, f in (("l", F.floor), ("h", F.ceil))]
+    wanted = whole.select(*by, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), at.alias("at")) for side, at in sides))).alias("x")).select(*by, "x.*")
+    target = sizes.join(wanted, by).where((F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("c"))).select(*by, "block", "base", "side", "at")
+    inside = blocked.join(target.select(*by, "block", "base").distinct(), [*by, "block"]).withColumn("first", F.col("base") + earlier(Window.partitionBy(*by, "block").orderBy("v"))).drop("base")
+    found = inside.join(target.drop("base"), [*by, "block"]).where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("c")))
+    ends = found.groupBy(*by).agg(*(F.max(F.when(F.col("side") == side, F.col("v"))).cast("double").alias(side) for side, _ in sides))
+    part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    return whole.drop("edges").join(ends, by).select(*by, "n", "mean", *(F.round(F.col(f"{name}l") + (F.col(f"{name}h") - F.col(f"{name}l")) * part(q), 6).alias(name) for name, q in QUANTILES.items()))
 
 
 def deltas(summary: DataFrame, strategy: str, baseline: str, metrics: list[str]) -> DataFrame:
@@ -75,13 +118,13 @@ def deltas(summary: DataFrame, strategy: str, baseline: str, metrics: list[str])
     return rows.select(strategy, *metrics, *(F.round(F.col(m) - F.col(f"_{m}"), 9).alias(f"delta_{m}") for m in metrics))
 
 
-def paired_bootstrap(pairs: DataFrame, base: str, candidate: str, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, key: str, base: str, candidate: str, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """(n, mean_delta, ci_low, ci_high) of candidate - base over questions with both values.
 
     Draws are Poisson weights of a hash of (seed, round, question), so each row is seen
     once and nothing is collected; the rounds are summed in each task.
     """
-    rows = pairs.select((F.col(candidate) - F.col(base)).alias("d"), F.monotonically_increasing_id().alias("i")).where("d is not null")
+    rows = pairs.select((F.col(candidate) - F.col(base)).alias("d"), F.xxhash64(F.col(key).cast("string")).alias("i")).where("d is not null")
     u = F.pmod(F.xxhash64(F.lit(seed), "round", "i"), F.lit(1 << 30)) / float(1 << 30)
     cumulative = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
     weight = sum(F.when(u >= c, 1).otherwise(0) for c in cumulative)

@@ -10,7 +10,6 @@ from .common import top
 
 ITEM_CHARS, TOTAL_CHARS = 3500, 16_000
 CONTAINED, CONTAINED_CHARS, OVERLAP, OVERLAP_CHARS, SHINGLE = 0.55, 100, 0.82, 80, 7
-STOPWORDS = ("about", "between", "current", "describe", "explain", "implementation", "project", "repository", "should", "system", "there", "which", "without")
 
 
 def role(live: Column, corpus: Column, authority: Column) -> Column:
@@ -39,6 +38,16 @@ def citations(answer: Column, known: Column) -> tuple[Column, Column]:
     return F.filter(cited, lambda c: F.array_contains(known, c)), (F.size(cited) > 0) & (F.size(F.array_except(cited, known)) == 0)
 
 
+def within_budget_blocked(rows: DataFrame, by: str, order: str, block: Column, text: str, item: int = ITEM_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
+    """``within_budget`` for groups of any size: ``block`` cuts each group into ranges of ``order``, whose sums tell which ranges the budget reaches."""
+    sized = rows.withColumns({"size": F.least(F.length(text), F.lit(item)), "block": block})
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sized.groupBy(by, "block").agg(F.sum("size").alias("size")).withColumn("base", earlier(Window.partitionBy(by).orderBy("block"))).where(F.col("base") < total).drop("size")
+    before = F.col("base") + earlier(Window.partitionBy(by, "block").orderBy(order))
+    kept = sized.join(blocks, [by, "block"]).withColumn("before", before).where(F.col("before") < total)
+    return kept.withColumn("used", F.least(F.col("size"), F.lit(total) - F.col("before"))).drop("before", "base", "block", "size")
+
+
 def within_budget(rows: DataFrame, by: str, order: list[Column], text: str, item: int = ITEM_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
     """Rows with ``used`` characters of each, those before a row cut to ``item``, until ``total`` is used up."""
     size = F.least(F.length(text), F.lit(item))
@@ -71,16 +80,6 @@ def near_duplicate_pairs(rows: DataFrame, keys: list[str], item: str, text: str)
     return pair.where((F.col("t1") == F.col("t2")) | inside | shared).select(*keys, F.col("i1").alias("a"), F.col("i2").alias("b"))
 
 
-def verification_terms(query: Column, most: int = 6) -> Column:
-    """Back-ticked terms and identifiers of a query; without any, its words of 6 letters or more that are no stop words."""
-    ticked = F.regexp_extract_all(query, F.lit("`([^`\r\n]{1,128})`"), F.lit(1))
-    named = F.regexp_extract_all(query, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*(?:[._][A-Za-z0-9_]+)+\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"), F.lit(0))
-    plain = F.filter(F.regexp_extract_all(query, F.lit("[A-Za-z]{6,}"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOPWORDS))
-    given = F.concat(ticked, named)
-    chosen = F.transform(F.when(F.size(given) > 0, given).otherwise(plain), F.lower)
-    return F.slice(F.array_distinct(chosen), 1, most)
-
-
 def support_score(query_tokens: Column, symbol_tokens: Column, path_tokens: Column, content_tokens: Column, taken: Column, rank: Column) -> Column:
     """10 for each query token in the symbol, 2 in the path, 0.5 in the content, 3 for each new against the taken ones, and 1 / rank."""
     hit = lambda x: F.size(F.array_intersect(query_tokens, x))

@@ -70,11 +70,11 @@ def revision(*parts: Column) -> Column:
 
 
 def set_hash(df: DataFrame, by: list[str], hash_col: str) -> DataFrame:
-    """(by, n, set_hash): a hash of a set of hashes that no order changes: exclusive-ors of their 60-bit parts, and the count.
+    """(by, n, set_hash): a hash of a set of hashes that no order changes: sums of their 60-bit parts, and the count.
 
-    Sums up in each task, so a group of any size is never gathered.
+    Sums up in each task, so a group of any size is never gathered; repeated hashes count as often as they stand.
     """
-    parts = [F.bit_xor(F.conv(F.substring(hash_col, 15 * k + 1, 15), 16, 10).cast("long")).alias(f"x{k}") for k in range(4)]
+    parts = [F.sum(F.conv(F.substring(hash_col, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"x{k}") for k in range(4)]
     summed = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *parts)
     return summed.select(*by, "n", F.sha2(F.concat_ws(":", "n", "x0", "x1", "x2", "x3"), 256).alias("set_hash"))
 
@@ -87,11 +87,14 @@ def diff(current: DataFrame, previous: DataFrame, key: str, rev: str) -> DataFra
     return new.join(old, key, "full_outer").select(key, change.alias("change")).where("change is not null")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, rev: str) -> DataFrame:
-    """Rows after an upsert with their ``outcome``: added, updated, skipped (same revision) or kept."""
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, rev: str, order: str | None = None) -> DataFrame:
+    """Rows after an upsert with their ``outcome``: added, updated, skipped (same revision) or kept.
+
+    Of incoming rows with one key the last by ``order`` (the revision if there is none) counts.
+    """
     columns = existing.columns
     mine = existing.withColumn("_e", F.lit(True)).select("_e", F.struct(*columns).alias("e"), F.col(key).alias("_k"))
-    theirs = incoming.select(*columns).withColumn("_i", F.lit(True)).select("_i", F.struct(*columns).alias("i"), F.col(key).alias("_k"))
+    theirs = incoming.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), order or rev).alias("i"), F.lit(True).alias("_i"))
     both = mine.join(theirs, "_k", "full_outer")
     same = F.col(f"e.{rev}").eqNullSafe(F.col(f"i.{rev}"))
     outcome = F.when(F.col("_e").isNull(), "added").when(F.col("_i").isNull(), "kept").when(same, "skipped").otherwise("updated")

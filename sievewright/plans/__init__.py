@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, corpus, retrieval
+from . import answers, assess, build, corpus, guarding, judge, loading, retrieval
 
-MODULES = (retrieval, corpus, answers)
+MODULES = (retrieval, corpus, answers, assess, judge, guarding, build, loading)
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, redacted, tidy
-from ..operators import evaluate, evidence, ingest, routing, sqltool
+from ..operators import evaluate, evidence, guards, ingest, routing, sqltool
 from ..operators.common import top
 from ..sources import html
 from . import retrieval
@@ -119,7 +119,7 @@ def intent_route(spark, d):
 
 
 def verification_terms(spark, d):
-    return _questions(spark, d).select("conv_id", "turn", F.array_join(evidence.verification_terms(F.col("query")), ",").alias("terms"))
+    return _questions(spark, d).select("conv_id", "turn", F.array_join(guards.verification_terms(F.col("query"), F.array().cast("array<string>"), F.array().cast("array<string>")), ",").alias("terms"))
 
 
 def evidence_contract(spark, d):
@@ -138,7 +138,7 @@ def citation_check(spark, d):
 
 def context_budget(spark, d):
     rows = _t(spark, d, "documents").select("source", "doc_id", "text")
-    kept = evidence.within_budget(top(rows, ["source"], [F.asc("doc_id")], 50), "source", [F.asc("rank")], "text")
+    kept = evidence.within_budget_blocked(rows, "source", "doc_id", F.floor(F.col("doc_id") / 1000), "text")
     return kept.select("source", "doc_id", F.col("used").cast("long").alias("used"))
 
 
@@ -276,6 +276,14 @@ _BM25 = retrieval._BM25
 _NORM = f"regexp_replace({fold('text')}, '\\s+', '', 'g')"
 _SHINGLE = "list_distinct(list_transform(range(1, length(t) - 5), lambda i: substr(t, i, 7)))"
 
+_REDACTED = "text"
+for _pattern, _to in (
+    ("(?i)\\b(api[_-]?key|token|secret|password|authorization)(\\s*[=:]\\s*)(?:bearer\\s+)?[\"'']?[^\\s\"'',;]+[\"'']?", "\\1\\2[redacted]"),
+    ("(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"),
+    ("\\b(?:sk-[A-Za-z0-9_-]{8,}|gh[opsur]_[A-Za-z0-9]{8,})", "[redacted]"),
+    ("(?:/home/|/Users/|[A-Za-z]:\\\\Users\\\\)[^\\s/\\\\]+", "[home]"),
+):
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_to}', 'g')"
 SQL = {
     "chunk_spans": f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE trim(text, ' ' || chr(10)) <> ''),
 c AS (SELECT doc_id, n, text, 0::BIGINT AS ordinal, 0::BIGINT AS s, ({{FIRST}})::BIGINT AS e FROM d
@@ -287,7 +295,8 @@ SELECT doc_id, ordinal::INTEGER AS ordinal, s::INTEGER AS char_start, e::INTEGER
     "upsert_merge": f"WITH {_VERSIONS} SELECT doc_id, coalesce(cur.source, prev.source) AS source, coalesce(cur.rev, prev.rev) AS rev, CASE WHEN prev.rev IS NULL THEN 'added' WHEN cur.rev IS NULL THEN 'kept' WHEN cur.rev = prev.rev THEN 'skipped' ELSE 'updated' END AS outcome FROM cur FULL JOIN prev USING (doc_id)",
     "delete_by_ids": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "dedupe_keep_last": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_position, max_by(lang, doc_id) AS lang, max_by(source, doc_id) AS source, count(*) AS n FROM documents GROUP BY 1",
-    "source_hash": "WITH h AS (SELECT source, sha256(doc_id || chr(0) || sha256(text)) AS h FROM documents), x AS (SELECT source, count(*) AS n, " + ", ".join(f"bit_xor(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT) AS x{k}" for k in range(4)) + " FROM h GROUP BY 1) SELECT source, n, sha256(concat_ws(':', n, x0, x1, x2, x3)) AS set_hash FROM x",
+    "diagnostics_redacted": f"SELECT doc_id, sha256(substr({_REDACTED}, 1, 400)) AS redacted_hash, sha256({_REDACTED}) AS whole_hash FROM documents",
+    "source_hash": "WITH h AS (SELECT source, sha256(doc_id || chr(0) || sha256(text)) AS h FROM documents), x AS (SELECT source, count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT)::VARCHAR AS x{k}" for k in range(4)) + " FROM h GROUP BY 1) SELECT source, n, sha256(concat_ws(':', n, x0, x1, x2, x3)) AS set_hash FROM x",
     "partition_infer": f"WITH {_PART} SELECT * FROM paths",
     "partition_stats": f"WITH {_PART} SELECT corpus, authority, count(*) AS n, min(doc_id) AS first_id FROM paths GROUP BY 1, 2",
     "text_normalize": f"SELECT doc_id, sha256({_TIDY}) AS tidy_hash, length({_TIDY})::INTEGER AS n_tidy FROM documents",
@@ -298,7 +307,7 @@ SELECT doc_id, ordinal::INTEGER AS ordinal, s::INTEGER AS char_start, e::INTEGER
     "intent_route": f"WITH {_INTENT} SELECT conv_id, turn, intent, corpora, authorities, intent || '_rule' AS rule, CASE " + " ".join(f"WHEN {_rule(r, 'query')} THEN '{why}'" for r, why in routing.REASONS) + f" ELSE 'outside_configured_corpus' END AS reason FROM i JOIN {_ROUTES} ON name = intent",
     "evidence_contract": f"WITH {_BM25}, t AS ({_TOP.format(k=5)}), {_PART}, r AS (SELECT DISTINCT qid, CASE WHEN corpus = 'official' THEN 'external_normative' WHEN authority = 'design' THEN 'internal_design' ELSE 'indexed_implementation' END AS role FROM t JOIN paths USING (doc_id)), a AS (SELECT qid, list_sort(list(role)) AS roles FROM r GROUP BY 1) SELECT qid, array_to_string(roles, ',') AS roles, 'missing_current_implementation_evidence' AS implementation, CASE WHEN list_contains(roles, 'internal_design') THEN 'sufficient' ELSE 'missing_internal_design_evidence' END AS design, CASE WHEN list_contains(roles, 'external_normative') THEN 'sufficient' ELSE 'missing_official_evidence' END AS official, 'missing_comparison_evidence' AS comparison FROM a",
     "citation_check": "SELECT conv_id, turn, concat_ws(',', CASE WHEN turn BETWEEN 1 AND 5 THEN 'E' || turn END, CASE WHEN turn BETWEEN 0 AND 4 THEN 'E' || (turn + 1) END) AS cited, turn BETWEEN 1 AND 4 AS valid FROM conversations WHERE role = 'assistant'",
-    "context_budget": "WITH r AS (SELECT source, doc_id, least(length(text), 3500) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM r WHERE rank <= 50) SELECT source, doc_id, least(n, 16000 - before) AS used FROM b WHERE before < 16000",
+    "context_budget": "WITH r AS (SELECT source, doc_id, least(length(text), 3500) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM r) SELECT source, doc_id, least(n, 16000 - before) AS used FROM b WHERE before < 16000",
     "per_page_cap": f"WITH {_BM25}, t AS ({_TOP.format(k=10)}) SELECT * FROM (SELECT qid, doc_id, source, row_number() OVER (PARTITION BY qid, source ORDER BY rank)::INTEGER AS in_page FROM t JOIN documents USING (doc_id)) WHERE in_page <= 2",
     "near_dup_pairs": f"""WITH {_BM25}, t5 AS ({_TOP.format(k=5)}), n AS (SELECT qid, lang, doc_id, {_NORM} AS t FROM t5 JOIN documents USING (doc_id)),
 s AS (SELECT *, CASE WHEN length(t) >= 7 THEN {_SHINGLE} WHEN t = '' THEN [] ELSE [t] END AS s FROM n)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefold, tokens
 from ..operators import bm25, dense, evaluate, fusion
-from ..operators.common import small, top
+from ..operators.common import spread, top
 from . import sqltext
 
 TOP = 5
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def _bench(spark, d):
@@ -44,10 +45,10 @@ def bm25_topk(spark, d, k1=bm25.K1, b=bm25.B, k=TOP):
 
 
 def bm25_filtered(spark, d):
-    docs = _t(spark, d, "documents")
-    found = bm25.scores(bm25.tokenised(docs, keep=("lang",)).drop("lang"), bm25.query_terms(_bench(spark, d), "qid", "query"))
-    kept = found.join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    return top(kept, ["qid"], [F.desc("score"), F.asc("doc_id")], TOP)
+    """Only documents that pass the filter are scored; the statistics are those of all."""
+    rows = bm25.tokenised(_t(spark, d, "documents"), keep=("lang",))
+    found = bm25.scores(rows, bm25.query_terms(_bench(spark, d), "qid", "query"), keep=F.col("lang") == "en")
+    return top(found, ["qid"], [F.desc("score"), F.asc("doc_id")], TOP)
 
 
 def _asked(spark, d):
@@ -117,9 +118,7 @@ def federated_topk(spark, d):
 
 
 def _relevant(spark, d):
-    docs, asked = _t(spark, d, "documents").select("doc_id", "text"), _bench(spark, d)
-    # passages are a stated query set held against every text
-    return docs.join(small(asked), F.contains("text", "query")).select("qid", "doc_id", F.lit(1).alias("grade"))
+    return evaluate.holders(_t(spark, d, "documents"), _bench(spark, d)).withColumn("grade", F.lit(1))
 
 
 def eval_per_query(spark, d):

@@ -10,30 +10,70 @@ from pyspark.sql import functions as F
 
 MAX_BYTES = 20 << 20
 # Folders, names and suffixes that are never read.
-EXCLUDED_DIRS = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache")
-SECRET_NAMES = (".env", ".netrc", ".npmrc", ".pypirc", "credentials.json", "id_rsa", "id_ed25519", "secrets.json", "secrets.yaml", "secrets.yml")
-KEY_SUFFIXES = "pem|key|p12|pfx|jks|keystore"
-# File types by suffix and by MIME type.
+EXCLUDED_DIRS = (".git", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", ".cache", ".pytest_cache", ".mypy_cache")
+SECRET_NAMES = (".env", ".env.local", "credentials.json", "token.json", "secrets.json", "id_rsa", "id_ed25519")
+KEY_SUFFIXES = "pem|key|p12|pfx|jks"
+# File types by suffix, MIME type, explicit name and special file name; languages by suffix.
 BY_SUFFIX = {
-    "py": "code", "pyi": "code", "js": "code", "ts": "code", "tsx": "code", "go": "code", "rs": "code", "java": "code", "md": "markdown", "rst": "text", "txt": "text", "json": "json", "jsonl": "json",
-    "yaml": "yaml", "yml": "yaml", "toml": "toml", "csv": "csv", "xlsx": "xlsx", "pdf": "pdf", "html": "html", "htm": "html",
+    "md": "markdown", "markdown": "markdown", "txt": "text", "rst": "text", "py": "code", "js": "code", "jsx": "code", "ts": "code", "tsx": "code", "java": "code", "go": "code", "rs": "code",
+    "c": "code", "h": "code", "cpp": "code", "hpp": "code", "sh": "code", "ps1": "code", "sql": "code", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "csv": "csv", "xlsx": "xlsx", "pdf": "pdf",
+}
+BY_MIME = {
+    "text/markdown": "markdown", "text/plain": "text", "text/x-python": "code", "text/javascript": "code", "application/javascript": "code", "application/json": "json", "application/yaml": "yaml", "text/yaml": "yaml",
+    "application/toml": "toml", "text/csv": "csv", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/pdf": "pdf",
+}
+BY_NAME = {
+    "md": "markdown", "markdown": "markdown", "txt": "text", "plain": "text", "text": "text", "source": "code", "source_code": "code", "code": "code", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "csv": "csv", "excel": "xlsx", "spreadsheet": "xlsx", "xlsx": "xlsx", "pdf": "pdf",
+}
+SPECIAL = {"dockerfile": "code", "makefile": "code"}
+LANGUAGES = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "sh": "shell", "ps1": "powershell", "sql": "sql",
 }
-BY_MIME = {"text/markdown": "markdown", "text/plain": "text", "application/json": "json", "text/csv": "csv", "application/pdf": "pdf", "text/html": "html"}
 
 
 def safe_path(path: Column) -> Column:
-    """Whether a relative path stays inside, outside excluded folders, and names no secret or key."""
-    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
-    name = F.lower(F.element_at(parts, -1))
-    bad_dir = F.arrays_overlap(parts, F.array(*map(F.lit, (*EXCLUDED_DIRS, "..")))) | path.startswith("/")
-    return ~(bad_dir | name.isin(*SECRET_NAMES) | name.startswith(".env.") | name.rlike(rf"\.(?:{KEY_SUFFIXES})$"))
+    """Whether a relative path stays inside, outside excluded folders, and names no secret or key, whatever the case."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    parts = F.split(low, "/")
+    name = F.element_at(parts, -1)
+    bad_dir = F.arrays_overlap(parts, F.array(*map(F.lit, (*EXCLUDED_DIRS, "..")))) | low.startswith("/")
+    return ~(bad_dir | name.isin(*SECRET_NAMES) | name.startswith(".env.") | name.rlike(rf"[^.]\.(?:{KEY_SUFFIXES})$"))
+
+
+def _look(x: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in table.items()))
+
+
+def suffix_of(path: Column) -> Column:
+    return F.lower(F.regexp_extract(F.substring_index(path, "#", 1), r"[^./\\]\.([A-Za-z0-9]+)$", 1))
 
 
 def file_type(path: Column, mime: Column | None = None, given: Column | None = None) -> Column:
-    """The given type, else that of the MIME type, else of the suffix; binary otherwise."""
-    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    look = lambda x, table: F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in table.items()))
-    return F.coalesce(given if given is not None else F.lit(None), look(F.lower(mime), BY_MIME) if mime is not None else F.lit(None), look(suffix, BY_SUFFIX), F.lit("binary"))
+    """The given type by its names, else that of the MIME type, of a special file name, or of the suffix; binary otherwise."""
+    said = _look(F.lower(F.trim(given)), BY_NAME) if given is not None else F.lit(None)
+    by_mime = _look(F.lower(F.trim(F.substring_index(mime, ";", 1))), BY_MIME) if mime is not None else F.lit(None)
+    return F.coalesce(said, by_mime, _look(F.lower(F.substring_index(path, "/", -1)), SPECIAL), _look(suffix_of(path), BY_SUFFIX), F.lit("binary"))
+
+
+def language(path: Column) -> Column:
+    """The programming language of a path's suffix, or null."""
+    return _look(suffix_of(path), LANGUAGES)
+
+
+def inferred_type(path: Column, media_type: Column, lang: Column) -> Column:
+    """A document's file type where no parser said one: by its media type, suffix or language."""
+    media, suffix = F.lower(media_type), suffix_of(path)
+    return (
+        F.when((media == "application/pdf") | (suffix == "pdf"), "pdf").when((media == "text/csv") | (suffix == "csv"), "csv").when(F.contains(media, F.lit("spreadsheetml")) | (suffix == "xlsx"), "xlsx")
+        .when(F.contains(media, F.lit("markdown")) | suffix.isin("md", "markdown"), "markdown").when((media == "application/json") | (suffix == "json"), "json")
+        .when(F.lower(lang).isin(*sorted({*LANGUAGES.values(), *SPECIAL})), "code").when(suffix.isin("yaml", "yml"), "yaml").when(suffix == "toml", "toml").otherwise("text")
+    )
+
+
+def content_format(media_type: Column) -> Column:
+    media = F.lower(media_type)
+    return F.when(F.contains(media, F.lit("markdown")), "markdown").when(media == "application/json", "json").when(media == "application/pdf", "pdf-text").otherwise("text")
 
 
 def included(path: Column, include: list[str], exclude: list[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_COMMITS, MAX_BYTES, GROUP = 500, 2 << 20, 200
 LOG_SCHEMA = "commit_sha string, author_date string, subject string, body string, paths array<string>"
-FILE_SCHEMA = "relative_path string, size long, content binary"
+FILE_SCHEMA = "relative_path string, size long, content binary, skipped string"
 
 
 def _git(repo: str, *args: str) -> bytes:
@@ -64,11 +64,14 @@ class _FileReader(_Reader):
         for name in partition.value:
             path = os.path.join(root, name)
             if os.path.islink(path) or not os.path.isfile(path) or not os.path.realpath(path).startswith(root + os.sep):
-                continue  # links and paths that leave the work tree
+                yield name, None, None, "link or outside"
+                continue
             size = os.path.getsize(path)
-            if size <= MAX_BYTES:
-                with open(path, "rb") as f:
-                    yield name, size, f.read()
+            if size > MAX_BYTES:
+                yield name, size, None, "large"
+                continue
+            with open(path, "rb") as f:
+                yield name, size, f.read(), None
 
 
 class GitLog(DataSource):

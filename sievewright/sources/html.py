@@ -67,11 +67,14 @@ def _tidy(text: str) -> str:
 
 
 def clean(html: str | None) -> tuple[str, str]:
-    """(title, content) of a page: the main elements if they hold text, else the whole page."""
+    """(title, content) of a page: the main elements if they hold text, else the whole page, under the title as a heading."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return " ".join("".join(reader.title).split()), _tidy("".join(reader.main)) or _tidy("".join(reader.all))
+    title, content = " ".join("".join(reader.title).split()), _tidy("".join(reader.main)) or _tidy("".join(reader.all))
+    if title and not content.startswith(f"# {title}"):
+        content = f"# {title}\n\n{content}" if content else f"# {title}"
+    return title, content
 
 
 def cleaned(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
