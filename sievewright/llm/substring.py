@@ -7,18 +7,23 @@ always meet there, and overlapping words are sent once for a run, not for each
 window. In a bucket, the windows of packed strings are sorted by a 128-bit digest
 and equal digests are compared as bytes, so windows are matched exactly.
 
-A first pass counts minimisers over all texts (summed in each task before the
-shuffle). One that holds more than a TARGET-th of all super-k-mers is hot: its
-windows are dealt one by one, by their own digest, over many buckets. There are at
-most TARGET hot minimisers at any input size, so their list is bounded. In each
-task, of equal packed strings only the one with the least doc_id travels; the
+A first pass counts every minimiser over all texts (8 bytes a super-k-mer are
+shuffled). A super-k-mer whose minimiser occurs nowhere else has no equal, so only
+those of shared minimisers are packed and sent, and only texts that have one are read
+again. A minimiser of more than HOT super-k-mers is hot: its windows are dealt one by
+one, by their own digest, and equal ones, sorted by doc_id, are read as a stream. The
+counts reach the texts by a join; minimisers with over 1 / TARGET of all super-k-mers,
+at most TARGET at any input size, are left out of that join and known by a list. In
+each task, of equal packed strings only the one with the least doc_id travels; the
 others are known to be covered at once.
 
 A word is removed if a window that covers it also starts in a text with a smaller
-doc_id. Null and empty texts have no words; of rows with the same doc_id neither
-covers the other (a smaller doc_id is asked for), and an empty table gives no rows.
-Repeated doc_ids are told apart nowhere: their rows get the union of the ranges
-found, cut at their length.
+doc_id. Null and empty texts have no words; a text with a null doc_id neither covers
+nor is covered; of rows with the same doc_id neither covers the other (a smaller doc_id
+is asked for); an empty table gives no rows. Repeated doc_ids are told apart nowhere:
+their rows get the union of the ranges found, cut at their length. A very long text is
+one row like any other; what it sends is cut into super-k-mers. Extra columns are not
+read (``replaced`` carries them along, whatever their names).
 """
 
 from __future__ import annotations
@@ -37,11 +42,13 @@ from .common import id_and_text, prepare, written
 WINDOW = 50
 #: Words whose hash is compared to choose minimisers.
 MMER = 5
-#: At most so many minimisers are hot: those with over 1 / TARGET of all super-k-mers.
+#: Super-k-mers of one minimiser that a bucket holds at most; those of a larger one are dealt window by window.
+HOT = 2000
+#: At most so many minimisers are listed on the driver: those with over 1 / TARGET of all super-k-mers.
 TARGET = 20_000
-#: Super-k-mers that one bucket should hold, and packed bytes that a task gathers before it sends them on.
-BUCKET_ROWS = 20_000
+#: Bytes that a task gathers before it sends them on.
 FLUSH_BYTES = 48 << 20
+_SENT = "key long, hot boolean, tie long, doc long, starts binary, packed binary"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -81,91 +88,92 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _counts(window: int, mmer: int):
+def _found(window: int, mmer: int):
+    """Rows (doc_id, keys): the minimisers of a text's super-k-mers, repeats included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for text in batch.column(1).to_pylist():
+            docs, keys = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
-                if len(words) >= window:
-                    found.append(runs(words, window, mmer)[0])
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            alone = n == 1  # those that occur once in a batch are only counted, under key 0
-            keys, n = np.append(keys[~alone], np.uint64(0)), np.append(n[~alone], alone.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+                if doc is not None and len(words) >= window:
+                    docs.append(doc)
+                    keys.append(runs(words, window, mmer)[0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
     return run
 
 
-def hot_minimisers(texts: DataFrame, window: int, mmer: int, target: int = TARGET) -> tuple[np.ndarray, int]:
-    """(hot minimisers, super-k-mers in all). Every text is read."""
-    counted = texts.mapInArrow(_counts(window, mmer), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = written(counted, "minimisers")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    # a minimiser that never occurs twice in a batch of a task is at most one in a batch, so it is not hot
-    rows = counted.where((F.col("key") != 0) & (F.col("n") > max(total // target, 200))).select("key").collect()
-    return np.array(sorted(r[0] for r in rows), np.int64).view(np.uint64), total
-
-
-def _send(window: int, mmer: int, hot: np.ndarray, buckets: int):
-    """Rows (bucket, blob): bucket -1 holds ranges known in the task, others super-k-mers packed by ``pack``."""
+def shared_minimisers(texts: DataFrame, window: int, mmer: int, hot: int = HOT, target: int = TARGET) -> tuple[DataFrame, list[int]]:
+    """((doc_id, cold, hot): the minimisers of a text that others share, as arrays; minimisers listed as hot for all texts)."""
+    keys = written(texts.mapInArrow(_found(window, mmer), "doc_id long, keys array<long>"), "minimisers")
+    each = keys.select(F.explode("keys").alias("key"))
+    counts = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-minimisers")
+    total = keys.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    listed = sorted(r.key for r in counts.where(F.col("n") > max(total // target, hot)).select("key").collect())  # at most ``target``
+    owned = keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    if listed:
+        few = F.broadcast(texts.sparkSession.createDataFrame([(k,) for k in listed], "key long"))
+        common = owned.join(few, "key", "left_semi").select("doc_id", F.lit(None).cast("long").alias("key"), F.lit(True).alias("hot"))
+        owned = owned.join(few, "key", "left_anti")
+    met = owned.join(counts, "key").select("doc_id", "key", (F.col("n") > hot).alias("hot"))
+    if listed:
+        met = met.unionByName(common.distinct())
+    take = lambda flag: F.collect_set(F.when(F.col("hot") == flag, F.col("key")))  # noqa: E731  nulls are left out
+    return met.groupBy("doc_id").agg(take(False).alias("cold"), take(True).alias("hot")), listed
+
+
+def _send(window: int, mmer: int, listed: list[int]):
+    """Rows of _SENT from (doc_id, text, cold, hot): super-k-mers, windows of hot ones, and, with a null key, ranges known in the task."""
+    everywhere = frozenset(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
-        hot_set = set(hot.tolist())
-        held: dict[bytes, list] = {}  # digest: the least doc_id, its first windows, minimiser, packed words, bucket
+        held: dict[bytes, list] = {}  # digest: the least doc_id, its first windows, key, tie, packed words
         covered: dict[int, list[tuple[int, int]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, covered, size
-            by: dict[int, list] = {}
-            for doc, at, key, packed, bucket in held.values():
-                by.setdefault(bucket, []).extend((key, doc, start, packed) for start in at)
-            names, blobs = [], []
-            for bucket, rows in by.items():
-                head = np.array([(k, d & 0xFFFFFFFFFFFFFFFF, s, len(p)) for k, d, s, p in rows], np.uint64)
-                names.append(bucket)
-                blobs.append(squeeze.compress(np.uint64(len(rows)).tobytes() + head.T.tobytes() + b"".join(p for *_, p in rows)))
-            for k, (doc, ranges) in enumerate(covered.items()):
-                names.append(-1 - k % buckets)
-                blobs.append(np.array([doc, *np.array(merged(ranges)).ravel()], np.int64).tobytes())
+            rows = [(key, tie is not None, tie or 0, doc, np.array(at, np.int64).tobytes(), packed) for doc, at, key, tie, packed in held.values()]
+            rows += [(None, False, 0, doc, np.array(merged(ranges), np.int64).tobytes(), None) for doc, ranges in covered.items()]
             held, covered, size = {}, {}, 0
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "hot", "tie", "doc", "starts", "packed"])
 
-        def offer(doc: int, start: int, n: int, key: int, packed: bytes, digest: bytes, bucket: int) -> None:
+        def offer(doc: int, start: int, n: int, key: int, tie: int | None, packed: bytes, digest: bytes) -> None:
             nonlocal size
             was = held.get(digest)
             if was is None:
-                held[digest] = [doc, [start], key, packed, bucket]
-                size += len(packed) + 200
-            elif was[0] < doc:
+                held[digest] = [doc, [start], key, tie, packed]
+                size += len(packed) + 300
+                return
+            size += 100
+            if was[0] < doc:
                 covered.setdefault(doc, []).append((start, start + n + window - 1))
             elif was[0] > doc:
                 covered.setdefault(was[0], []).extend((x, x + n + window - 1) for x in was[1])
                 was[0], was[1] = doc, [start]
             else:  # the same text repeats itself
                 was[1].append(start)
-                size += len(packed)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, cold, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
-                if doc is None or len(words) < window:
+                if len(words) < window:
                     continue
+                cold, hot = set(cold), everywhere.union(hot)
                 keys, first, count = runs(words, window, mmer)
-                for key, start, n in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True):
-                    if key in hot_set:
+                for key, start, n in zip(keys.view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
+                    if key in cold:
+                        packed = b" ".join(words[start : start + n + window - 1])
+                        offer(doc, start, n, key, None, packed, xxhash.xxh3_128_digest(packed))
+                    elif key in hot:
                         for at in range(start, start + n):
                             packed = b" ".join(words[at : at + window])
                             digest = xxhash.xxh3_128_digest(packed)
-                            offer(doc, at, 1, int.from_bytes(digest[:8], "little"), packed, digest, int.from_bytes(digest[8:], "little") % buckets)
-                    else:
-                        packed = b" ".join(words[start : start + n + window - 1])
-                        offer(doc, start, n, key, packed, xxhash.xxh3_128_digest(packed), (key >> 20) % buckets)
+                            offer(doc, at, 1, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), packed, digest)
                 if size >= FLUSH_BYTES:
                     yield flush()
         if held or covered:
@@ -210,62 +218,69 @@ def match(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, texts: list[by
 
 
 def _meet(window: int):
-    """Rows (bucket, blob) of a partition, sorted by bucket, to (doc_id, ranges)."""
-
-    def load(blobs: list[bytes]):
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor()
-        heads, texts = [], []
-        for blob in blobs:
-            raw = open_.decompress(blob)
-            n = int(np.frombuffer(raw[:8], np.uint64)[0])
-            head = np.frombuffer(raw, np.uint64, 4 * n, 8).reshape(4, n)
-            ends = np.cumsum(head[3].astype(np.int64)) + 8 + 32 * n
-            texts += [raw[int(e) - int(k) : int(e)] for e, k in zip(ends, head[3], strict=True)]
-            heads.append(head[:3])
-        keys, docs, starts = np.concatenate(heads, axis=1)
-        return keys, docs.view(np.int64), starts.view(np.int64), texts
-
-    def rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        by: dict[int, list[tuple[int, int]]] = {}
-        for doc, lo, hi in found:
-            by.setdefault(doc, []).append((lo, hi))
-        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([np.array(merged(x), np.int64).tobytes() for x in by.values()], pa.binary())], ["doc_id", "ranges"])
+    """Rows of _SENT of a partition, sorted by key, hot, tie and doc, to (doc_id, ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
+        found: dict[int, list[tuple[int, int]]] = {}
+        known: list[tuple[int, bytes]] = []
+        n_found = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal found, known, n_found
+            rows = [(doc, np.array(merged(x), np.int64).tobytes()) for doc, x in found.items()] + known
+            found, known, n_found = {}, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ranges"])
+
+        def bucket(rows: list[tuple[int, int, bytes]], key: int) -> int:
+            if len(rows) > 1:
+                hits = match(np.full(len(rows), key), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], window)
+                for doc, lo, hi in hits:
+                    found.setdefault(doc, []).append((lo, hi))
+                return len(hits)
+            return 0
+
+        last: tuple = ()
+        held: list[tuple[int, int, bytes]] = []  # super-k-mers of one minimiser, at most HOT
+        firsts: list[tuple[bytes, int]] = []  # of windows with one digest: the words and the least doc of each
         for batch in batches:
-            known_docs, known = [], []
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b < 0:
-                    values = np.frombuffer(blob, np.int64)
-                    known_docs.append(int(values[0]))
-                    known.append(values[1:].tobytes())
+            for key, hot, tie, doc, starts, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key is None:
+                    known.append((doc, starts))
+                    n_found += 1
+                    continue
+                at = np.frombuffer(starts, np.int64).tolist()
+                if (key, hot, tie) != last:
+                    n_found += bucket(held, last[0]) if held else 0
+                    held, firsts, last = [], [], (key, hot, tie)
+                if not hot:
+                    held += [(doc, x, packed) for x in at]
                     continue
-                if b != bucket and blobs:
-                    yield rows(match(*load(blobs), window))
-                    blobs = []
-                bucket = b
-                blobs.append(blob)
-            if known:
-                yield pa.RecordBatch.from_arrays([pa.array(known_docs, pa.int64()), pa.array(known, pa.binary())], ["doc_id", "ranges"])
-        if blobs:
-            yield rows(match(*load(blobs), window))
+                least = next((d for words, d in firsts if words == packed), None)
+                if least is None:  # two texts with one 128-bit digest would only make this list longer
+                    firsts.append((packed, doc))
+                elif least < doc:
+                    found.setdefault(doc, []).extend((x, x + window) for x in at)
+                    n_found += len(at)
+            if n_found > 500_000:
+                yield out()
+        if held:
+            bucket(held, last[0])
+        yield out()
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, hot: int = HOT, target: int = TARGET) -> DataFrame:
     """(doc_id, ranges): word ranges to remove, as pairs of longs (first, end) in a binary; only texts that have any."""
     spark = docs.sparkSession
     prepare(spark)
     texts = id_and_text(docs)
-    hot, total = hot_minimisers(texts, window, mmer)
+    shared, listed = shared_minimisers(texts, window, mmer, hot, target)
+    asked = texts.join(shared, "doc_id").select("doc_id", "text", "cold", "hot")
+    sent = asked.mapInArrow(_send(window, mmer, listed), _SENT)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * parts, -(-total // BUCKET_ROWS))
-    sent = texts.mapInArrow(_send(window, mmer, hot, buckets), "bucket int, blob binary")
-    met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(window), "doc_id long, ranges binary")
+    dealt = F.when(F.col("key").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("key", "tie"))  # ranges need no meeting
+    met = sent.repartition(parts, dealt).sortWithinPartitions("key", "hot", "tie", "doc").mapInArrow(_meet(window), "doc_id long, ranges binary")
     return written(met.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.hex("ranges"))), "").alias("hex")).select("doc_id", F.unhex("hex").alias("ranges")), "ranges")
 
 

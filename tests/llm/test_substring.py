@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sievewright.llm import substring
+from sievewright.llm import common, substring
 from sievewright.llm.common import documents
 
 
@@ -32,8 +32,9 @@ def test_documents_against_brute_force(spark):
     assert sum(r[2] > 0 for r in expected) > 20
 
 
-@pytest.mark.parametrize("target", [20_000, 1])
-def test_small_windows_and_hot_minimisers(spark, monkeypatch, target):
+@pytest.mark.parametrize(("hot", "target"), [(20_000, 20_000), (5, 1), (5, 20_000)])
+def test_small_windows_and_hot_minimisers(spark, monkeypatch, hot, target):
+    """Minimisers in buckets; dealt by window, known by the join; dealt by window, known by the list."""
     import random
 
     rng = random.Random(5)
@@ -44,13 +45,31 @@ def test_small_windows_and_hot_minimisers(spark, monkeypatch, target):
         at = rng.randrange(len(body) + 1)
         rows.append((i, " ".join(body[:at] + (passage if i % 2 else []) + body[at:])))
     rng.shuffle(rows)
-    monkeypatch.setattr(substring, "TARGET", target)
-    real = substring.hot_minimisers
-    monkeypatch.setattr(substring, "hot_minimisers", lambda t, w, m: real(t, w, m, 30 if target == 1 else target))
+    real, listed = substring.shared_minimisers, []
+    monkeypatch.setattr(substring, "shared_minimisers", lambda t, w, m, *_: (x := real(t, w, m, hot, target), listed.extend(x[1]))[0])
     monkeypatch.setattr(substring, "FLUSH_BYTES", 2000)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = sorted(map(tuple, substring.deduplicated(df, 8, 3).collect()))
     assert got == brute(rows, 8)
+    assert bool(listed) == (hot == 5 and target > 1)
+
+
+def test_batches_of_one_text(spark, monkeypatch):
+    """A passage is found though no batch holds it twice."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(70)) + " " + passage) for i in range(60)]
+    monkeypatch.setattr(common, "BATCH_ROWS", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, substring.deduplicated(df).collect())) == brute(rows, 50)
+
+
+def test_repeated_ids(spark):
+    """Rows of one doc_id do not cover one another; their rows share the ranges found, cut at their length."""
+    one, two = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(2, one), (2, one), (2, two[:20]), (3, one), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as key", "1 as cold", "2 as hot")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.op10_substring(df).collect()]
+    assert sorted(got, key=str) == [(2, 7, 0), (2, 80, 0), (2, 80, 0), (3, 80, 80), (None, 80, 0)]
 
 
 def test_odd_rows(spark):
