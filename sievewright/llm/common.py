@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
 
+#: A join broadcasts the keys with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS.
+HOT_KEYS = 10_000
+HOT_ROWS = 1000
+
 _left: dict[str, list[str]] = {}
 
 
@@ -22,19 +27,27 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local session, as in tests; a cluster's executors
+    could not read one, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sievewright-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that ``sweep`` deletes."""
+    """A path in the shared folder that ``sweep`` deletes, at the latest when the program ends."""
     path = f"{shared_dir(spark)}/sievewright-{what}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_sweep_at_exit)
     _left.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -65,6 +78,12 @@ def sweep(spark: SparkSession) -> None:
         drop_path(spark, path)
 
 
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        sweep(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -74,6 +93,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def spread(spark: SparkSession, rows: int, each: int) -> int:
-    """Partitions for so many rows: the session's number, or more so that none gets over ``each``."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row a key, without a task for all rows of a hot key.
+
+    Keys with more than 1 / HOT_KEYS of the rows of ``left`` are at most HOT_KEYS; their rows of ``right`` are
+    broadcast, and the others shuffled. ``left`` is read three times, so it should be a written table.
+    """
+    rows = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > max(rows // HOT_KEYS, HOT_ROWS)) & F.col(key).isNotNull())
+    keys = written(hot.select(key), "hot-keys")  # at most HOT_KEYS rows
+    if keys.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(keys)
+    return left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how).unionByName(left.join(few, key, "left_anti").join(right, key, how))

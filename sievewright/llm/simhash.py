@@ -12,7 +12,10 @@ Buckets of more than TILE fingerprints are dealt out as pairs of tiles to many
 tasks. A task sends on a spanning forest of the links it finds, never all pairs.
 
 Null, empty and blank texts have fingerprint 0 and are linked like any other;
-repeated rows share a component; an empty table gives no rows.
+repeated rows share a component; an empty table gives no rows. A null doc_id is no
+smallest one unless its component has no other. A fingerprint bit that half the
+shingles have is 0. A very long text is one row, fingerprinted in parts. Only doc_id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, prepare, written
+from .common import dealt_join, id_and_text, prepare, written
 from .graph import components
 
 SEED = 42
@@ -204,10 +207,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, radius, tile))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "grouped")
     best = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(grouped.join(best, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = written(dealt_join(grouped, best, "root").select("fp", "component_id"), "classes")
+    return dealt_join(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
