@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, assess, build, corpus, guarding, judge, loading, retrieval
+from . import answers, assess, build, corpus, guarding, judge, loading, retrieval, verifying
 
-MODULES = (retrieval, corpus, answers, assess, judge, guarding, build, loading)
+MODULES = (retrieval, corpus, answers, assess, judge, guarding, build, loading, verifying)
 
 
 def queries() -> dict:

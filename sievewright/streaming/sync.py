@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import ingest
 
+#: Parts of the state of documents: a batch rewrites those that its keys fall into.
+PARTS = 64
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -16,24 +23,73 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
-def sync(versions: DataFrame, state: str, changes: str, checkpoint: str, key: str = "doc_id", rev: str = "rev", order: str = "version") -> StreamingQuery:
+def _pointers(spark: SparkSession, state: str, number: int) -> dict[int, int]:
+    """{part: batch that wrote it last} as of a batch; empty before the first one."""
+    if number < 0:
+        return {}
+    return {r.part: r.at for r in spark.read.schema("part int, at long").json(f"{state}/pointers/batch={number}").collect()}  # at most PARTS rows
+
+
+def _read(spark: SparkSession, state: str, schema: StructType, where: dict[int, int]) -> DataFrame:
+    """The rows of parts, each as the batch that wrote it last left it."""
+    paths = [f"{state}/data/batch={at}/part={part}" for part, at in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def current(spark: SparkSession, state: str, schema: StructType | str, number: int) -> DataFrame:
+    """The state table after a batch."""
+    return _read(spark, state, spark.createDataFrame([], schema).schema, _pointers(spark, state, number))
+
+
+def sync(versions: DataFrame, state: str, changes: str, checkpoint: str, key: str = "doc_id", rev: str = "rev", order: str = "version", parts: int = PARTS) -> StreamingQuery:
     """Apply a stream of document versions to a state table, and append what each batch changed.
 
-    State is kept by batch (``state``/batch=n), so a batch that is run again after a
-    failure reads the state before it and writes the same rows: the result is exactly once.
+    The state lies in parts by the hash of the key. A batch rewrites the parts that its keys fall into, beside
+    those before it (``state``/data/batch=n/part=k), and then says which batch wrote each part last
+    (``state``/pointers/batch=n). One that is run again after a failure reads what the batch before it left
+    and writes the same, and a query that is started anew goes on where its checkpoint ends: the result is
+    exactly once. Parts that neither this batch nor the one before it points to are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        mine = latest(batch, key, order).select(key, rev)
-        before = spark.createDataFrame([], mine.schema) if number == 0 else spark.read.schema(mine.schema).parquet(f"{state}/batch={number - 1}")
-        merged = ingest.upsert(before, mine, key, rev)
-        merged.drop("outcome").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        mine = latest(batch, key, order).select(key, rev).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        rows = mine.schema
+        before = _pointers(spark, state, number - 1)
+        touched = sorted(r.part for r in mine.select("part").distinct().collect())
+        old = _read(spark, state, StructType([f for f in rows if f.name != "part"]), {p: before[p] for p in touched if p in before})
+        merged = ingest.upsert(old, mine.drop("part"), key, rev).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        merged.drop("outcome").write.mode("overwrite").partitionBy("part").parquet(f"{state}/data/batch={number}")
         merged.where("outcome in ('added', 'updated')").select(key, "outcome").write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        after = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(after.items()), "part int, at long").coalesce(1).write.mode("overwrite").json(f"{state}/pointers/batch={number}")
+        for part, at in _pointers(spark, state, number - 2).items() if number > 1 else ():
+            if before.get(part) != at and after.get(part) != at:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/data/batch={at}/part={part}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return versions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def running(stream: DataFrame, key: str, value: str, idle: str = "1 hour") -> DataFrame:
+    """(key, n, total) of each key so far, as each batch changes it: keyed state that is dropped after a key has been idle."""
+    kind = dict(stream.dtypes)[key]
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + len(batch), total + float(batch[value].sum())
+        state.update((n, total))
+        state.setTimeoutDuration(milliseconds)
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total]})
+
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(path)
 

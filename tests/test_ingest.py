@@ -79,5 +79,5 @@ def test_catalog_and_publish(spark, tmp_path):
 def test_html():
     page = "<html><head><title>T &amp; t</title></head><body><nav>no</nav><main><h2>Head</h2><p>a <b>b</b></p><ul><li>x</li><li>y</li></ul><main>inner</main></main>out</body></html>"
     title, content = html.clean(page)
-    assert title == "T & t" and content.startswith("## Head") and "- x\n- y" in content and "inner" in content and "out" not in content and "no" not in content.split()
+    assert title == "T & t" and content.startswith("# T & t\n\n## Head") and "- x\n- y" in content and "inner" in content and "out" not in content and "no" not in content.split()
     assert html.clean(None) == ("", "")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import canonical_url, redacted, tidy, tokens
-from sievewright.operators import bm25, dense, evaluate, evidence, fusion, routing, sqltool
+from sievewright.operators import bm25, dense, evaluate, evidence, fusion, guards, routing, sqltool
 
 
 def one(spark, column):
@@ -66,7 +66,8 @@ def test_routing(spark):
 def test_evidence(spark):
     kept, valid = evidence.citations(F.lit("a [E2] b [E1] [E2] [E9]"), F.array(F.lit("E1"), F.lit("E2")))
     assert one(spark, kept) == ["E2", "E1"] and one(spark, valid) is False
-    assert one(spark, evidence.verification_terms(F.lit("`x.y` or load_it.now"))) == ["x.y", "load_it.now"]
+    empty = F.array().cast("array<string>")
+    assert one(spark, guards.verification_terms(F.lit("`x.y` or load_it.now"), empty, empty)) == ["x.y", "load_it.now"]
     assert one(spark, evidence.contract(F.lit("comparison"), F.array(F.lit("external_normative")))) == "missing_comparison_evidence"
 
 
@@ -79,8 +80,8 @@ def test_metrics_fixture(spark):
     assert rows.where("qid = 3").first().hit is None
     p = evaluate.percentiles(spark.createDataFrame([(2.0, 1), (3.0, 1), (1.0, 1)], "v double, k int"), "v", ["k"]).first()
     assert (p.p50, p.p95, p.p99) == (2.0, 2.9, 2.98)
-    pairs = spark.createDataFrame([(0.0, 1.0)] * 30 + [(1.0, 1.0)] * 10 + [(None, 1.0)], "a double, b double")
-    ci = evaluate.paired_bootstrap(pairs, "a", "b", 200).first()
+    pairs = spark.createDataFrame([(k, 0.0 if k < 30 else 1.0, 1.0) for k in range(40)] + [(99, None, 1.0)], "id long, a double, b double")
+    ci = evaluate.paired_bootstrap(pairs, "id", "a", "b", 200).first()
     assert ci.n == 40 and ci.mean_delta == 0.75 and 0.5 < ci.ci_low < 0.75 < ci.ci_high < 0.95
 
 

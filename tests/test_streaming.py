@@ -10,12 +10,36 @@ def test_sync_matches_a_batch(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
         sync.sync(stream, str(tmp_path / "state"), str(tmp_path / "changes"), str(tmp_path / "ck")).awaitTermination(60)
-    state = spark.read.parquet(str(tmp_path / "state/batch=1"))
-    assert {tuple(r) for r in state.select("doc_id", "rev").collect()} == {("a", "1"), ("b", "2"), ("c", "1")}
+    found = lambda n: {tuple(r) for r in sync.current(spark, str(tmp_path / "state"), "doc_id string, rev string", n).collect()}
+    assert found(0) == {("a", "1"), ("b", "2")} and found(1) == {("a", "1"), ("b", "2"), ("c", "1")}
     changed = spark.read.parquet(str(tmp_path / "changes"))
     assert {(r.batch, r.doc_id, r.outcome) for r in changed.collect()} == {(0, "a", "added"), (0, "b", "added"), (1, "c", "added")}
 
 
+def test_sync_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    """Each start goes on where the last one ended; parts that no pointer needs any more are deleted."""
+    schema = "doc_id string, rev string, version long"
+    state = tmp_path / "state"
+    for k in range(4):
+        rows = [(f"k{i}", "0", 0) for i in range(200)] if k == 0 else [("k7", str(k), k), (f"new{k}", "x", k)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        sync.sync(stream, str(state), str(tmp_path / "changes"), str(tmp_path / "ck"), parts=8).awaitTermination(60)
+    rows = {tuple(r) for r in sync.current(spark, str(state), "doc_id string, rev string", 3).collect()}
+    assert len(rows) == 203 and ("k7", "3") in rows and ("new2", "x") in rows and ("k8", "0") in rows
+    kept = lambda n: len(list((state / f"data/batch={n}").glob("part=*")))
+    assert kept(3) <= 2 and kept(0) < 8
+
+
+def test_running_totals_of_keys(spark, tmp_path):
+    for k, rows in enumerate([[("a", 1.0), ("a", 2.0), ("b", 5.0)], [("a", 4.0)]]):
+        spark.createDataFrame(rows, "u string, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema("u string, v double").parquet(str(tmp_path / "in/*"))
+        seen = []
+        sync.running(stream, "u", "v").writeStream.foreachBatch(lambda df, n, seen=seen: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).outputMode("update").trigger(availableNow=True).start().awaitTermination(60)
+        assert sorted(seen) == ([("a", 2, 3.0), ("b", 1, 5.0)] if k == 0 else [("a", 3, 7.0)])
+
+
 def test_windows(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
