@@ -93,6 +93,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
+def hash_bound(rows: int, wanted: int) -> int:
+    """A 64-bit hash that about four times as many of ``rows`` rows lie under as are wanted; the largest one if there are few."""
+    return (1 << 63) - 1 if rows <= 8 * wanted else -(1 << 63) + (4 * wanted << 64) // rows
+
+
 def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has a row a key, without a task for all rows of a hot key.
 

@@ -11,6 +11,13 @@ bit counts; pairs of tiles whose counts differ by more than the radius are skipp
 Buckets of more than TILE fingerprints are dealt out as pairs of tiles to many
 tasks. A task sends on a spanning forest of the links it finds, never all pairs.
 
+``representatives`` keeps one row of each group of texts whose word shingles (five words)
+have a Jaccard similarity of 0.8 or more. Such texts differ by more bits than whole blocks
+can cover, so their fingerprints meet in the buckets of band keys (least hashes of their
+shingles), where they are compared in the same way, with a radius that such pairs keep
+within; what is found is then held against the shingles themselves. See there for what a
+large bucket compares.
+
 Null, empty and blank texts have fingerprint 0 and are linked like any other;
 repeated rows share a component; an empty table gives no rows. A null doc_id is no
 smallest one unless its component has no other. A fingerprint bit that half the
@@ -25,10 +32,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_join, id_and_text, prepare, written
+from .common import HOT_KEYS, HOT_ROWS, dealt_join, id_and_text, prepare, written
 from .graph import components
 
 SEED = 42
@@ -36,6 +43,12 @@ SHINGLE = 4
 RADIUS = 4
 #: Fingerprints compared as one block; larger buckets are dealt out in pairs of tiles.
 TILE = 2048
+#: Of similar texts: words of a shingle, the least Jaccard similarity, and the bits that such texts' fingerprints keep within.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
+#: Band keys of a text and the least hashes that make one: a pair at 0.8 shares none with a probability of 3e-5.
+BANDS, ROWS = 20, 4
+#: Classes of a bucket that are all compared with one another, and classes of a part of a larger one.
+ALL_PAIRS, PART_ROWS = 64, 100_000
 _TIE, _NTH = "simhash: tie", "simhash: nth"
 
 
@@ -58,21 +71,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, tie: Column | None = None) -> DataFrame:
-    """(doc_id, fp[, tie]): fp is the fingerprint as a signed long; tie is a long of each row that goes along."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long."""
     prepare(docs.sparkSession)
-    tied = tie is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x, shingle) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            more = {"tie": batch.column(2)} if tied else {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *more.values()], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    if tie is None:
-        return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), tie.alias("tie"))
-    return rows.mapInArrow(run, "doc_id long, fp long, tie long")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_keys(radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -213,16 +221,188 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return dealt_join(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each component, whole: that with the smallest doc_id, null ids last, and of those with one id that with the least hash of its columns."""
+def shingle_hashes(text: bytes | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; fewer words are one shingle, none are none."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of the least values that ROWS random functions take on the hashes."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 2048):
+        with np.errstate(over="ignore"):
+            mixed = hashes[at : at + 2048, None] * factors[None, :]
+        np.minimum(least, mixed.min(axis=0), out=least)
+    keys = np.zeros(BANDS, np.uint64)
+    with np.errstate(over="ignore"):
+        for k, column in enumerate(least.reshape(BANDS, ROWS).T):
+            keys = (keys ^ (column + np.arange(BANDS, dtype=np.uint64) + np.uint64(k))) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tie, cls, fp, keys) from (doc_id, text, tie): cls names the set of a text's shingles, keys are its bands."""
+    import xxhash
+
+    for batch in batches:
+        classes, prints, keys = [], [], []
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(text)
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(hashes), 65536):
+                ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            prints.append(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+            distinct = np.unique(hashes)
+            classes.append(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64) if len(distinct) else 0)
+            keys.append(band_keys(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "cls", "fp", "keys"])
+
+
+def _near(radius: int):
+    """Pairs (a, b) of classes to compare, from rows (key, part, cls, fp, first_cls, first_fp) sorted by key, part and cls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # key and part; the classes and fingerprints of a small bucket, or the leaders of a large one
+        large = False
+        out: list[np.ndarray] = []
+
+        def pairs_within(cls: np.ndarray, fps: np.ndarray) -> None:
+            count = np.bitwise_count(fps).astype(np.int16)
+            near = (np.abs(count[:, None] - count) <= radius) & (np.bitwise_count(fps[:, None] ^ fps) <= radius)
+            i, j = np.nonzero(np.triu(near, 1))
+            out.append(np.column_stack([cls[i], cls[j]]))
+
+        def lead(cls: np.ndarray, fps: np.ndarray) -> None:
+            """Each class goes with the nearest leader, or becomes one."""
+            nonlocal held
+            leaders, prints = list(held[0]), list(held[1])
+            for c, f in zip(cls.tolist(), fps.tolist(), strict=True):
+                far = np.bitwise_count(np.array(prints, np.uint64) ^ np.uint64(f))
+                k = int(np.argmin(far))
+                if far[k] > radius:
+                    leaders.append(c)
+                    prints.append(f)
+                elif leaders[k] != c:
+                    out.append(np.array([[leaders[k], c]]))
+            held = np.array(leaders, np.int64), np.array(prints, np.uint64)
+
+        def close() -> None:
+            if held is not None and not large and len(held[0]) > 1:
+                pairs_within(*held)
+
+        def sent() -> pa.RecordBatch:
+            nonlocal out
+            rows = np.unique(np.sort(np.concatenate([x for x in out if len(x)] or [np.zeros((0, 2), np.int64)]), axis=1), axis=0)
+            out = []
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(np.ascontiguousarray(rows[:, 0]))], ["a", "b"])
+
+        for batch in batches:
+            key, part, cls, fp, first_cls, first_fp = (np.asarray(c) for c in batch.columns)
+            fp, first_fp = fp.view(np.uint64), first_fp.view(np.uint64)
+            starts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(key)], strict=True):
+                if lo == hi:
+                    continue
+                if last != (key[lo], part[lo]):
+                    close()
+                    last, large = (key[lo], part[lo]), False
+                    held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                if not large and len(held[0]) + hi - lo > ALL_PAIRS:
+                    rest, large = held, True
+                    held = first_cls[lo : lo + 1], first_fp[lo : lo + 1]  # the same leader in every part of the bucket
+                    lead(*rest)
+                if large:
+                    lead(cls[lo:hi], fp[lo:hi])
+                else:
+                    held = np.concatenate([held[0], cls[lo:hi]]), np.concatenate([held[1], fp[lo:hi]])
+            if len(out) > 20_000:
+                yield sent()
+        close()
+        yield sent()
+
+    return run
+
+
+def _overlapping(similarity: float):
+    """Pairs (a, b) whose shingle sets are similar enough, from (a, b, left, right) with sorted hashes as binaries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): classes whose texts have a similarity of ``similarity`` or more.
+
+    distinct: (cls, fp, keys). texts: (cls, text) of each class. In a bucket of up to ALL_PAIRS classes every pair
+    within SIMILAR_RADIUS bits is compared exactly. In a larger one a class is compared with its nearest leader:
+    the first class, or another that was further from all leaders than the radius; so its pairs grow with its
+    classes. Very large buckets are dealt out in parts that share the first leader.
+    """
+    spark = distinct.sparkSession
+    each = written(distinct.select(F.explode("keys").alias("key"), "cls", "fp"), "bands")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "fp")).alias("first")).where("n > 1")
+    met = dealt_join(each, written(counts, "shared-bands"), "key")
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / PART_ROWS)).cast("int")
+    rows = met.select("key", part.alias("part"), "cls", "fp", F.col("first.cls").alias("first_cls"), F.col("first.fp").alias("first_fp"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "cls").mapInArrow(_near(SIMILAR_RADIUS), "a long, b long")
+    pairs = written(near.distinct(), "similar-pairs")
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["cls", "hashes"])
+
+    hashed = written(texts.join(asked, "cls", "left_semi").select("cls", "text").mapInArrow(sets, "cls long, hashes binary"), "shingle-sets")
+    side = lambda name, out: hashed.select(F.col("cls").alias(name), F.col("hashes").alias(out))
+    left = dealt_join(pairs, side("a", "left"), "a")
+    # the second join deals its hot keys by the counts of the pairs, not of the joined rows
+    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(pairs.count() // HOT_KEYS, HOT_ROWS)).select("b")
+    few = F.broadcast(written(hot, "hot-keys"))  # at most HOT_KEYS rows
+    right = side("b", "right")
+    both = left.join(few, "b", "left_semi").join(F.broadcast(right.join(few, "b", "left_semi")), "b").unionByName(left.join(few, "b", "left_anti").join(right, "b"))
+    return both.select("a", "b", "left", "right").mapInArrow(_overlapping(similarity), "a long, b long")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts, whole: that with the smallest doc_id, null ids last, and of those with one id that with the least hash of its columns.
+
+    Texts of the same shingles are one class, whatever their number; blank ones are a class of their own. Classes
+    are linked at a Jaccard similarity of ``similarity``, and linked ones are a group. Repeated rows leave one; a
+    row with a null doc_id stays if its group has no other; an empty table gives no rows; the columns, of any
+    name, stay as they are.
+    """
+    prepare(docs.sparkSession)
     names = docs.columns
     # the hash leaves nulls out, so it is told where they stand
     tie = F.xxhash64(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{c}`").isNull() for c in names))
-    prints = written(fingerprints(docs, shingle, tie), "fingerprints")
+    text = F.col("text").cast("string").cast("binary")
+    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie"))
+    prints = written(tied.mapInArrow(_signed, "doc_id long, tie long, cls long, fp long, keys array<long>"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    distinct = written(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct, radius, tile))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    distinct = written(prints.groupBy("cls").agg(F.min(order).alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
+    least = distinct.select("cls", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"))
+    texts = tied.select("text", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).join(least, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    roots = components(similar_links(distinct.where(F.size("keys") > 0), texts, similarity))
+    grouped = distinct.join(roots, distinct.cls == roots.node, "left").select(F.coalesce("root", "cls").alias("root"), "least")
     best = grouped.groupBy("root").agg(F.min("least").alias("best")).select(F.col("best.doc_id").alias("id"), F.col("best.tie").alias("tie"))
     equal = prints.groupBy(F.col("doc_id").alias("id"), "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     b, e = best.alias("b"), equal.alias("e")
