@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import top
-from .common import id_and_text, prepare, written
+from .common import hash_bound, id_and_text, prepare, written
 from .tokens import vocabulary
 
 #: Labelled texts of each language that the model is learned from, at most.
@@ -225,8 +225,19 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     train = docs.where("lang is not null and text is not null").where("pmod(crc32(cast(doc_id as string)), 5) <> 0")
     rows = train.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string").alias("text"))
     # first the bound of each language from the hashes alone, then the texts under it; equal hashes (repeated ids) are cut at the number
-    bounds = top(rows.select("lang", "h"), ["lang"], [F.asc("h")], sample).groupBy("lang").agg(F.max("h").alias("bound"))
-    under = rows.join(F.broadcast(bounds), "lang").where("h <= bound")  # a row a language
+    sizes = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not sizes:
+        return rows.select("lang", "text")
+    spark = docs.sparkSession
+
+    def bounds(limits: dict[str, int]) -> DataFrame:
+        limited = rows.select("lang", "h").join(F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most long")), "lang").where("h <= most")
+        return written(top(limited.select("lang", "h"), ["lang"], [F.asc("h")], sample).groupBy("lang").agg(F.max("h").alias("bound"), F.count(F.lit(1)).alias("n")), "hash-bounds")
+
+    found = bounds({lang: hash_bound(n, sample) for lang, n in sizes.items()})
+    if any(r["n"] < min(sample, sizes[r.lang]) for r in found.collect()) or found.count() < len(sizes):  # too many rows share too few ids
+        found = bounds(dict.fromkeys(sizes, (1 << 63) - 1))
+    under = rows.join(F.broadcast(found.select("lang", "bound")), "lang").where("h <= bound")
     return top(under, ["lang"], [F.asc("h")], sample).select("lang", "text")
 
 

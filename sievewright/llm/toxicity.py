@@ -3,15 +3,20 @@
 Voters are lexicon words, word stems and patterns: a fixed seed list of insults, and
 words and stems mined from labelled rows (those far more frequent in toxic rows than in
 others, shorter stems standing for all words they begin). A generative label model
-estimates by expectation-maximisation how often each voter fires on either class, and
-weighs a voter down by its correlation with others beyond what the class explains; the
-given labels are one more voter. A logistic regression is then trained on the model's
-posterior labels over counts of the voters' hits, and scores every text.
-
-The model is fitted on at most SAMPLE labelled rows, taken by a hash of their id over
-all of them; every text is scored as a whole. Null and empty texts get the score of a
-text without any hit. Repeated labels of an id count once (toxic if any says so), null
-ones not at all; without labels of both classes only the seed list votes.
+estimates by expectation-maximisation, over labelled and unlabelled texts together, how
+often each voter fires on either class, and weighs a voter down by its correlation with
+others beyond what the class explains; where a text has a given label, that is one more
+voter. A logistic regression is then trained on the model's posterior labels of all
+these texts over counts of the voters' hits, and scores every text.
+
+The model is fitted on the SAMPLE labelled ids and the UNLABELLED_SAMPLE other ids with
+the least hashes, bounded numbers at any input size; every text is scored as a whole.
+Null and empty texts get the score of a text without any hit; a very long text is one
+row. Repeated labels of an id count once (toxic if any says so), null ones not at all;
+without labels of both classes only the seed list votes. Of documents that share an id
+the sample has one (the least text), and each is scored. A score at THRESHOLD is
+predicted toxic. An empty table gives no rows. Columns besides doc_id and text, and
+toxic of the labels, are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, prepare, written
+from .common import hash_bound, id_and_text, prepare, written
 
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled ids, and others, that the model is fitted on, at most.
 SAMPLE = 20_000
+UNLABELLED_SAMPLE = 10_000
+#: Longest word or stem that may become a voter.
+VOTER_CHARS = 64
 #: Mined voters, at most, and how much likelier in toxic rows a voter must be.
 VOTERS = 256
 LIFT = 6.0
@@ -124,35 +132,39 @@ def features_of(text: bytes | None) -> tuple[set[str], int]:
     import xxhash
 
     words = words_of(text)
-    found = set(words)
+    found = {w for w in words if len(w) <= VOTER_CHARS}
     found |= {"^" + w[:n] for w in words if len(w) > 3 for n in STEMS if len(w) > n}
     runs = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
     return found, min(map(xxhash.xxh3_64_intdigest, runs))
 
 
-def _counter(wanted: set[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[str, set[int]] = defaultdict(set)
-            for text in batch.column(0).to_pylist():
-                found, signature = features_of(text)
-                for f in found if wanted is None else found & wanted:
-                    seen[f].add(signature)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([len(s) for s in seen.values()], pa.int64())], ["feature", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (feature, toxic, n) from (text, toxic): copies within a batch are counted once by their signature."""
+    for batch in batches:
+        seen: dict[tuple[str, int], set[int]] = defaultdict(set)
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, signature = features_of(text)
+            for f in found:
+                seen[f, toxic].add(signature)
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array([len(seen[k]) for k in keys], pa.int64())], ["feature", "toxic", "n"])
 
 
 def mined(sample: DataFrame, n_toxic: int, n_clean: int, voters: int = VOTERS, lift: float = LIFT) -> list[str]:
-    """Words and '^stem's that are ``lift`` times as frequent in toxic rows. Copies are counted once by their signature."""
+    """Words and '^stem's that are ``lift`` times as frequent in toxic rows, best first.
+
+    They are counted, compared and ordered in Spark; 16 for each voter that is asked for reach the driver,
+    as stems in use cover many of them.
+    """
     least = max(3, min(8, n_toxic // 50))
-    count = lambda y, wanted, floor: {r.feature: r["n"] for r in sample.where(F.col("toxic") == y).select("text").mapInArrow(_counter(wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).collect()}
-    toxic = count(1, None, least)
-    clean = count(0, set(toxic), 1)
-    ratio = lambda f: (toxic[f] + 0.5) / (n_toxic + 1) / ((clean.get(f, 0) + 0.5) / (n_clean + 1))
-    good = sorted((f for f in toxic if ratio(f) >= lift), key=lambda f: (-toxic[f] * np.log(ratio(f)), len(f), f))
+    counts = sample.where("toxic >= 0").select("text", "toxic").mapInArrow(_counted, "feature string, toxic int, n long")
+    of = lambda y: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0))
+    both = counts.groupBy("feature").agg(of(1).alias("t"), of(0).alias("c")).where(F.col("t") >= least)
+    ratio = (F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1))
+    best = both.withColumn("ratio", ratio).where(F.col("ratio") >= lift).orderBy((F.col("t") * F.ln("ratio")).desc(), F.length("feature"), "feature").limit(16 * voters).collect()
+    toxic = {r.feature: r.t for r in best}
     out: list[str] = []
-    for f in good:
+    for f in toxic:
         bare = f.lstrip("^")
         # a stem in use stands for all it begins; one that a single word makes up is left to that word
         covered = any(o[0] == "^" and bare.startswith(o[1:]) or f[0] == "^" and o.lstrip("^").startswith(bare) and toxic.get(o, 0) > 0.8 * toxic[f] for o in (*SEED_WORDS, *out))
@@ -206,15 +218,45 @@ def logistic(x: np.ndarray, target: np.ndarray, times: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1."""
-    spark = docs.sparkSession
-    prepare(spark)
-    given = labels.where("doc_id is not null and toxic is not null").where("pmod(crc32(cast(doc_id as string)), 3) <> 1").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = given.count()
-    part = min(1.0, 0.97 * sample / max(1, total))  # by a hash of the id, so close to the bound, never far over it
-    few = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = written(id_and_text(docs).join(F.broadcast(few), "doc_id"), "toxicity-sample")
+def least_hashed(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id): the ``most`` ids with the least hashes, exact at any size.
+
+    Only hashes under a bound that a few times as many rows keep are looked at; if so many rows share an id that
+    too few ids are under it, all are. Each task sends on ``most`` different ones at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(0, [("h", np.int64), ("i", np.int64)])
+        for batch in batches:
+            own = np.zeros(batch.num_rows, best.dtype)
+            own["h"], own["i"] = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            best = np.unique(np.concatenate([best, own]))[:most]  # sorted by hash, then id
+        yield pa.RecordBatch.from_arrays([pa.array(best["h"]), pa.array(best["i"])], ["h", "doc_id"])
+
+    ids = docs.where("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    bound = hash_bound(docs.count(), most)
+    first = lambda rows: rows.mapInArrow(run, "h long, doc_id long").distinct().orderBy("h", "doc_id").limit(most)
+    found = written(first(ids.where(F.col("h") <= bound)), "least-hashes")  # at most ``most`` rows
+    if bound < (1 << 63) - 1 and found.count() < most:
+        found = written(first(ids), "least-hashes")
+    return found.select("doc_id")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED_SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic): texts of labelled ids, and of ids without a label (toxic -1); none whose crc32(doc_id) mod 3 is 1."""
+    learnt = F.expr("doc_id is not null and pmod(crc32(cast(doc_id as string)), 3) <> 1")
+    given = labels.where("toxic is not null").where(learnt).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    few = given.join(F.broadcast(least_hashed(given, sample)), "doc_id", "left_semi")
+    # an id whose label was not drawn is none without a label
+    others = least_hashed(docs.where(learnt), unlabelled).join(given, "doc_id", "left_anti").withColumn("toxic", F.lit(-1))
+    chosen = written(few.unionByName(others), "toxicity-ids")  # at most ``sample`` + ``unlabelled`` rows
+    return written(id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED_SAMPLE) -> Model:
+    """Fit on a sample of texts, labelled and not."""
+    prepare(docs.sparkSession)
+    rows = sampled(docs, labels, sample, unlabelled)
     classes = {r.toxic: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = mined(rows, classes[1], classes[0]) if classes.get(1) and classes.get(0) else []
     words = dict.fromkeys([*SEED_WORDS, *(f for f in found if f[0] != "^")])
@@ -227,15 +269,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.features(*model.hits(t)).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
+            rows = [model.features(*model.hits(t)) for t in batch.column(0).to_pylist()]
+            x = [np.packbits(r[:-2] > 0).tobytes() + r[-2:].astype("<f4").tobytes() for r in rows]  # a bit for each step of a voter
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "toxic"])
 
-    # at most ``sample`` rows; equal ones, as those without any hit, are counted before they are sent
+    # at most the sample's rows; equal ones, as those without any hit, are counted before they are sent
     table = rows.select("text", "toxic").mapInArrow(votes, "x binary, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "toxic").toPandas()
-    x = np.frombuffer(b"".join(table.x), "<f4").reshape(len(table), -1).astype(float)
-    fires = x[:, :-2] > 0
+    raw = np.frombuffer(b"".join(table.x), np.uint8).reshape(len(table), -1)
+    bits = np.unpackbits(raw[:, :-8], axis=1, count=len(STEPS) * model.size)
+    x = np.column_stack([bits, np.ascontiguousarray(raw[:, -8:]).view("<f4")]).astype(float)
+    fires, given = bits > 0, table.toxic.to_numpy()
     times = table.n.to_numpy(float)
-    model.weights, model.bias = logistic(x, label_model(fires, table.toxic.to_numpy(), times), times)
+    posterior = label_model(fires, given, times)
+    model.weights, model.bias = logistic(x, posterior, times * np.where(given < 0, UNLABELLED, 1.0))
     return model
 
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from sievewright.llm import langid, toxicity
+from sievewright.llm import common, langid, toxicity
 from sievewright.llm.common import documents
 
 ODD = [(-1, None), (-2, ""), (-3, "1 2 3 !"), (-4, "the " * 30000), (-5, "x" * 5000), (-6, "\n")]
@@ -96,6 +96,74 @@ def test_forward_sums_all_segmentations():
         scorer.learn_words(words)
         for w in words:
             assert np.allclose(scorer.total([w, w]), 2 * langid.forward(w, known, np.column_stack([p, p[::-1]])))
-    into = np.zeros(len(names))
-    langid.expected(word, known, p[:, 0].tolist(), 1.0, into)
-    assert np.isclose(sum(n * len(x) for n, x in zip(into, names, strict=True)), len(word))
+    into = {}
+    langid.expected(word, known, 4, p[:, 0].tolist(), 1.0, into)
+    assert np.isclose(sum(n * len(names[k]) for k, n in into.items()), len(word))
+    exact, weights = {}, []
+    for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+        edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(word)]
+        parts = [word[a:b] for a, b in itertools.pairwise(edges)]
+        if all(x in known for x in parts):
+            weights.append(float(np.prod([p[known[x], 0] for x in parts])))
+            for x in parts:
+                exact[known[x]] = exact.get(known[x], 0) + weights[-1]
+    assert all(np.isclose(n, exact[k] / sum(weights)) for k, n in into.items())
+
+
+def test_long_words_and_long_pieces():
+    """Whole words and whole pieces: nothing is cut at a length, and nothing underflows."""
+    assert max(map(len, langid.pieces())) > 8
+    names = ["▁", "a", "b", "abababababab"]
+    known, p = {x: k for k, x in enumerate(names)}, np.array([[0.2, 0.2], [0.3, 0.1], [0.1, 0.3], [0.4, 0.4]])
+    for word in ["▁" + "ab" * 40, "▁" + "ab" * 15, "▁" + "☃" * 60 + "a" * 900, "▁" + "b" * 3000]:
+        got = langid.forward(word, known, p)
+        assert np.isfinite(got).all() and got[0] != got[1] or word.count("a") == word.count("b")
+        scorer = langid.Scorer(names, p)
+        scorer.learn_words({word})
+        assert np.allclose(scorer.total([word]), got)
+    a, b = langid.forward("▁" + "☃" * 400 + "a", known, p)
+    assert np.isclose(a - b, np.log(0.3 / 0.1))
+    assert np.isclose(langid.forward("▁" + "a" * 2000, known, p)[0], np.log(0.2) + 2000 * np.log(0.3))
+    into = {}
+    langid.expected("▁" + "ab" * 2000, known, 12, p[:, 0].tolist(), 2.0, into)
+    assert np.isclose(sum(n * len(names[k]) for k, n in into.items()), 2 * 4001)
+
+
+def test_words_are_runs_of_letters(spark):
+    assert langid.words_of("½ ² Ⅷ 12 a_b x½y") == ["▁a", "▁b", "▁x", "▁y"]
+    rows = [(1, "hello there", "en"), (2, "hello there", "en"), (2, "hello there", "en"), (3, "½ ² Ⅷ", None), (4, "bonjour", "fr"), (6, "bonjour", "fr"), (None, "hello", None)]
+    got = [(r.doc_id, r.lang_pred) for r in langid.op9_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "en"), (2, "en"), (2, "en"), (3, "und"), (4, "fr"), (6, "fr"), (None, "en")], key=str)
+
+
+def test_samples_are_the_least_hashes_at_any_size(spark):
+    """Bounded numbers, never a share of the table that could round to nothing; ids repeated very often count once or are cut."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('w', id) as text", "if(id % 3 = 0, 'aa', 'bb') as lang")
+    hot = docs.unionByName(spark.range(3000).selectExpr("7L as doc_id", "'same' as text", "'bb' as lang")).repartition(6)
+    want = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(20).collect()]
+    assert [r.doc_id for r in toxicity.least_hashed(hot, 20).collect()] == want
+    assert common.hash_bound(10**11, 10_000) > -(1 << 63) and common.hash_bound(10**15, 800) > -(1 << 63) and common.hash_bound(5, 800) == (1 << 63) - 1
+    found = langid.sampled(hot, 30).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in found} == {"aa": 30, "bb": 30}
+    labels = spark.range(5000).selectExpr("id as doc_id", "0 as quality", "if(id % 2 = 0, 1, null) as toxic")
+    rows = toxicity.sampled(hot, labels, 50, 40).collect()
+    assert sum(r.toxic == 1 for r in rows) == 50 and 0 < sum(r.toxic == -1 for r in rows) <= 40
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_unlabelled_texts_reach_the_label_model(spark, monkeypatch):
+    seen = []
+    real = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda fires, given, times: seen.append(times[given < 0].sum()) or real(fires, given, times))
+    docs = documents(spark, "/root/testdata/sf0.01")
+    toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert seen[0] > 100
+
+
+def test_toxicity_repeated_rows_and_ties(spark):
+    model = toxicity.Model({"fool": 0}, {}, [], np.zeros(5), float(np.log(0.7 / 0.3)))
+    rows = [(1, "x"), (1, "x"), (None, "x"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as toxic", "2 as n")
+    assert [round(r.score, 9) for r in toxicity.scored(df, model).collect()] == [0.7] * 4
+    out = toxicity.op7_toxicity(df, spark.createDataFrame([(1, None)], "doc_id long, toxic int")).collect()
+    assert len(out) == 4 and {r.predicted for r in out} == {0}
