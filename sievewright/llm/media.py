@@ -2,12 +2,20 @@
 
 A page is parsed into an ordered sequence of structs: runs of text, and references to
 media with their digest and caption, each with its position. Payloads are kept once for
-each row in a media table, as binary greymaps: a header and 8-bit samples, lossless.
-The stored bytes are read back and their features computed where they lie; what is
-joined to the references by digest are those few features, never the payloads.
-
-Null and empty texts are a payload of 64 zero bytes; repeated rows resolve to the same
-media; a reference whose digest the media table lacks stays, with null features.
+each task and digest in a media table, as binary greymaps: a header and 8-bit samples,
+lossless. ``payloads`` joins the stored bytes to references by digest; ``described``
+reads the stored bytes back and computes their features where they lie, and
+``resolved`` joins those few, so a payload that very many references share is not moved
+to each of them. Positions and captions stay with their reference.
+
+The query shows each document as a page: its paragraphs, with the figure of its payload
+after the first one and the start of the text as caption.
+
+Null and empty texts are a payload of 64 zero bytes, with an empty caption; repeated
+rows, and rows with a null doc_id, are pages of their own and resolve to the same media;
+a very long text is one payload and one page. A reference whose digest the media table
+lacks stays, with null features. An empty table gives no rows. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, prepare, written
+from .common import dealt_join, id_and_text, prepare, written
 
 BLOCK = 64
+CAPTION_CHARS = 80
 SCHEME = "sha256:"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -141,7 +150,7 @@ def store(texts: DataFrame, what: str = "media") -> DataFrame:
         for batch in batches:
             seen: dict[str, bytes] = {}  # copies within a batch are stored once
             for raw in batch.column(1).to_pylist():
-                seen.setdefault(hashlib.sha256(padded(raw or b"")).hexdigest() + f"-{len(raw or b'')}", greymap(raw or b""))
+                seen.setdefault(digest_of(raw), greymap(raw or b""))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.binary())], ["digest", "stored"])
 
     return written(texts.mapInArrow(run, "digest string, stored binary"), what)
@@ -162,26 +171,40 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def resolved(references: DataFrame, features_table: DataFrame) -> DataFrame:
-    """References (id, position, digest, caption) with the features of their media; a digest that very many share is dealt out by the join."""
-    return references.join(features_table, "digest", "left")
+    """References (a written table with a digest) with the features of their media; a digest that very many share is dealt out."""
+    return dealt_join(references, features_table, "digest", "left")
+
+
+def payloads(references: DataFrame, media: DataFrame) -> DataFrame:
+    """References (a written table with a digest) with the stored bytes of their media."""
+    return dealt_join(references, media.groupBy("digest").agg(F.any_value("stored").alias("stored")), "digest", "left")
+
+
+def digest_of(raw: bytes | None) -> str:
+    """The name of a payload: the digest of its padded bytes, and their number before padding."""
+    return f"{hashlib.sha256(padded(raw or b'')).hexdigest()}-{len(raw or b'')}"
 
 
-def page(doc_id: int | None, raw: bytes | None) -> str:
-    """The page that shows a document: a heading, and the figure of its media with a caption."""
-    digest = hashlib.sha256(padded(raw or b"")).hexdigest() + f"-{len(raw or b'')}"
-    return f'<article><h1>document {doc_id}</h1><figure><img src="{SCHEME}{digest}" alt="samples"><figcaption>{escape(f"{len(raw or b'')} bytes <text>")}</figcaption></figure><p>end</p></article>'
+def page(raw: bytes | None) -> str:
+    """The page that shows a document: its paragraphs, and the figure of its payload after the first one."""
+    text = (raw or b"").decode("utf-8", "replace")
+    paragraphs = [f"<p>{escape(x, quote=False)}</p>" for x in text.split("\n\n")]
+    caption = escape(" ".join(text[:400].split())[:CAPTION_CHARS], quote=False)
+    figure = f'<figure><img src="{SCHEME}{digest_of(raw)}" alt=""><figcaption>{caption}</figcaption></figure>'
+    return "<article>" + paragraphs[0] + figure + "".join(paragraphs[1:]) + "</article>"
 
 
 def op8_media(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and the place of the media in its page (position), its caption, and the page's items and texts."""
     prepare(docs.sparkSession)
     texts = id_and_text(docs)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = [page(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string())], ["id", "html"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page(t) for t in batch.column(1).to_pylist()], pa.string())], ["id", "html"])
 
     items = sequences(texts.mapInArrow(show, "id long, html string"), "id", "html")
-    references = items.select("id", F.explode("items").alias("i")).select("id", "i.*").where("kind = 'media'").select("id", "position", "digest", "caption")
+    counted = items.select("id", F.size("items").alias("n_items"), F.size(F.filter("items", lambda i: i["kind"] == "text")).alias("n_texts"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i"))
+    references = written(counted.select("id", "n_items", "n_texts", "i.position", "i.digest", "i.caption"), "media-references")
     found = resolved(references, described(store(texts)))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "n_texts")
