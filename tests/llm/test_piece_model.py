@@ -20,7 +20,7 @@ def test_documents_and_odd_texts(spark):
     for i, text in rows:
         ids = np.array(peer.encode(text or ""), "<u4").tobytes()
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids) // 4, zlib.crc32(ids)), repr(text)[:80]
-        assert got[i].round_trip
+        assert got[i].round_trip and got[i].parity
     back = {r.doc_id: r.text for r in piece_model.decoded(piece_model.encoded(df.limit(50))).collect()}
     assert back == {i: t for i, t in rows if i in back}
 
@@ -35,6 +35,33 @@ def test_the_rebuilt_tokenizer_agrees_by_itself():
     codec.encode(texts)
     assert codec.differing == 0
     assert [codec.library.decode(x) for x in mine[:100]] == texts[:100]
+    assert codec.decode([x for x, _, _ in codec.encode(texts)]) == [t.replace("▁", " ") for t in texts]
+
+
+def test_ids_are_the_rebuilt_tokenizers():
+    """sentencepiece decides nothing: ids of a stub are only reported."""
+
+    class Stub:
+        def encode(self, texts, num_threads=1):
+            return [[7] for _ in texts]
+
+    codec = piece_model.Codec(vocabulary("piece_bpe_32k.model"))
+    right = codec.encode(["Hello World", "a"])
+    assert all(same and back for _, same, back in right)
+    codec = piece_model.Codec(vocabulary("piece_bpe_32k.model"))
+    codec.peer = Stub()
+    found = codec.encode(["Hello World", "a", ""])
+    assert [x for x, _, _ in found] == [right[0][0], right[1][0], b""] and [same for _, same, _ in found] == [False, False, True]
+    assert codec.differing == 3
+
+
+def test_odd_tables(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as parity", "3 as n_tokens")
+    got = [(r.doc_id, r.n_tokens, r.round_trip, r.parity) for r in piece_model.op1_sentencepiece(df).collect()]
+    n = got[0][1]
+    assert sorted(got, key=str) == sorted([(1, n, True, True), (1, n, True, True), (None, n, True, True), (2, 0, True, True)], key=str)
+    assert piece_model.op1_sentencepiece(df.where("false")).collect() == []
 
 
 def proto(pieces, kind):
