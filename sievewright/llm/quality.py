@@ -6,7 +6,10 @@ count. Applying one is a bitwise AND with the stored bits, and ablations (what a
 policy would keep without one of its rules) are bitwise aggregations over the ledger,
 so neither reads the texts again.
 
-Null and empty texts have no words and fail ``few_words``; repeated rows are judged each.
+Null and empty texts have no words and fail ``few_words``; repeated rows, and rows with a
+null doc_id, are judged each; a measurement at a rule's limit passes; an empty table
+gives no rows. A very long text is measured whole, in one row. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, prepare
+from .common import id_and_text, prepare, written
 
 SYMBOLS = "#*$%&|<>"
 BREAKS = " \t\n\x0b\x0c\r"
@@ -119,8 +122,9 @@ def ablations(table: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def op3_quality(docs: DataFrame) -> DataFrame:
-    judged = apply(ledger(docs))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed_bits", "policy",
-    )
+    """The contract's columns, all measurements and bits of the stored ledger, what each policy version keeps, and the rule that alone speaks against a text."""
+    stored = written(ledger(docs), "quality-ledger")
+    judged = apply(stored)
+    versions = [(F.col("failed_bits").bitwiseAND(F.lit(mask)) == 0).alias(f"kept_{name.replace('-', '_')}") for name, mask in POLICIES.items()]
+    only = F.coalesce(*(F.when(F.col("failed_bits").bitwiseAND(F.lit(POLICIES[POLICY])) == bit, F.lit(name)) for name, bit in BITS.items())).alias("only_rule")
+    return judged.select("doc_id", *MEASURES, (F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed_bits", "policy", *versions, only)

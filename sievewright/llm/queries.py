@@ -22,7 +22,9 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
  coalesce(near.n, 0) AS n_neighbour_words, coalesce(dups.n, 0) AS n_lines, coalesce(longest, 0) AS longest_word
  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN near USING (doc_id)),
 b AS (SELECT *, ({' + '.join(f'CASE WHEN {fails} THEN {1 << k} ELSE 0 END' for k, (_, fails) in enumerate(quality.RULES))})::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality.BASE} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.POLICY]} = 0 AS kept, failed_bits, '{quality.POLICY}' AS policy FROM b"""
+SELECT doc_id, {', '.join(quality.MEASURES)}, failed_bits & {quality.BASE} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.POLICY]} = 0 AS kept, failed_bits, '{quality.POLICY}' AS policy,
+ {', '.join(f"failed_bits & {mask} = 0 AS kept_{name.replace('-', '_')}" for name, mask in quality.POLICIES.items())},
+ CASE failed_bits & {quality.POLICIES[quality.POLICY]} {' '.join(f"WHEN {bit} THEN '{name}'" for name, bit in quality.BITS.items())} END AS only_rule FROM b"""
 _REPEATS = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 wins AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {substring.WINDOW - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {substring.WINDOW})),
 firsts AS (SELECT k, min(doc_id) AS m FROM wins GROUP BY 1),

@@ -49,3 +49,20 @@ def test_policies_and_ablations(spark):
             assert r.n_kept == kept
             assert r.n_kept_without == table.where(f"failed_bits & {mask & ~bit} = 0").count()
             assert r.n_failed == table.where(f"failed_bits & {bit} != 0").count()
+
+
+def test_the_ledger_answers_every_policy(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = quality.op3_quality(docs).collect()
+    for policy, mask in quality.POLICIES.items():
+        assert all(r[f"kept_{policy.replace('-', '_')}"] == (r.failed_bits & mask == 0) for r in rows)
+    found = {r.rule: r.n_only for r in quality.ablations(quality.ledger(docs)).collect()}
+    for rule, n in found.items():
+        assert sum(r.only_rule == rule for r in rows) == n
+
+
+def test_repeated_and_nameless_rows(spark):
+    text = " ".join(f"word{k}" for k in range(12))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (1, "few"), (None, None)], "doc_id long, text string").selectExpr("*", "1 as kept", "2 as n_words")
+    got = sorted(((r.doc_id, r.n_words, r.kept) for r in quality.op3_quality(df).collect()), key=str)
+    assert got == sorted([(1, 12, True), (1, 12, True), (None, 12, True), (1, 1, False), (None, 0, False)], key=str)
