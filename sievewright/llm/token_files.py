@@ -1,11 +1,12 @@
 """Token files: independent zstandard frames with a trailing seek table.
 
-A file holds the ids of consecutive documents (little-endian unsigned 32-bit):
+A file holds the ids of consecutive documents (little-endian, unsigned):
 
-* zstandard frames, each of whole documents, compressed on their own;
-* a skippable frame (0x184D2A50) with the directory: shard, number of documents, how
-  many of them have no doc_id (they are the last), doc_ids of the others (int64), ids
-  of each document (uint64), frame of each (uint32);
+* zstandard frames, each of whole documents, compressed on their own; ids are of 16
+  bits in a file whose ids all are below 65,536, else of 32;
+* a skippable frame (0x184D2A50) with the directory: shard, bytes of an id, number of
+  documents, how many of them have no doc_id (they are the last), doc_ids of the others
+  (int64), ids of each document (uint64), frame of each (uint32);
 * the seek table of the public seekable format: a skippable frame (0x184D2A5E) with
   the compressed and raw size and the checksum (low 32 bits of XXH64) of each frame,
   and a footer of the number of frames, a flag byte and the magic 0x8F92EAB1.
@@ -17,7 +18,9 @@ line end is set to 0x8F, the last byte of the footer, which the row leaves out.
 
 Null and empty texts are the end id alone; an empty table gives no files and no rows;
 repeated rows are stored each. Documents with a null doc_id follow all others, by the
-hash of their text, and are read back with a null doc_id.
+hash of their text, and are read back with a null doc_id. A very long text is one
+document in a frame of its own. Only doc_id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -46,7 +49,9 @@ def encode_file(shard: tuple[int, int], docs: list[tuple[int | None, bytes]]) ->
     import xxhash
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=1)
+    arrays = [np.frombuffer(raw, "<u4") for _, raw in docs]
+    width = 2 if all(int(a.max(initial=0)) < 1 << 16 for a in arrays) else 4
     frames, table, frame_of, held, size = [], [], [], [], 0
 
     def close() -> None:
@@ -57,7 +62,8 @@ def encode_file(shard: tuple[int, int], docs: list[tuple[int | None, bytes]]) ->
             table.append((len(frames[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         held, size = [], 0
 
-    for _, raw in docs:
+    for a in arrays:
+        raw = a.astype(f"<u{width}").tobytes()
         if held and size + len(raw) > FRAME_BYTES:
             close()
         frame_of.append(len(frames))
@@ -65,7 +71,7 @@ def encode_file(shard: tuple[int, int], docs: list[tuple[int | None, bytes]]) ->
         size += len(raw)
     close()
     named = [d for d, _ in docs if d is not None]
-    directory = struct.pack("<IIQQ", *shard, len(docs), len(docs) - len(named)) + np.array(named, "<i8").tobytes() + np.array([len(r) // 4 for _, r in docs], "<u8").tobytes() + np.array(frame_of, "<u4").tobytes()
+    directory = struct.pack("<IIQQQ", *shard, width, len(docs), len(docs) - len(named)) + np.array(named, "<i8").tobytes() + np.array([len(a) for a in arrays], "<u8").tobytes() + np.array(frame_of, "<u4").tobytes()
     frames.append(struct.pack("<II", DIRECTORY_MAGIC, len(directory)) + directory)
     table.append((len(frames[-1]), 0, 0))
     entries = b"".join(struct.pack("<III", *x) for x in table)
@@ -83,12 +89,12 @@ class TokenFile:
         self.read, self.table = read, table
         self.offsets = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
         raw = read(int(self.offsets[n - 1]) + 8, int(table[n - 1, 0]) - 8)
-        part, seq, docs, nameless = struct.unpack("<IIQQ", raw[:24])
+        part, seq, self.width, docs, nameless = struct.unpack("<IIQQQ", raw[:32])
         self.shard = (part, seq)
         named = docs - nameless
-        self.doc_ids = np.frombuffer(raw, "<i8", named, 24)
-        self.counts = np.frombuffer(raw, "<u8", docs, 24 + 8 * named).astype(np.int64)
-        self.frame_of = np.frombuffer(raw, "<u4", docs, 24 + 8 * named + 8 * docs)
+        self.doc_ids = np.frombuffer(raw, "<i8", named, 32)
+        self.counts = np.frombuffer(raw, "<u8", docs, 32 + 8 * named).astype(np.int64)
+        self.frame_of = np.frombuffer(raw, "<u4", docs, 32 + 8 * named + 8 * docs)
         starts = np.cumsum(self.counts) - self.counts
         first = np.searchsorted(self.frame_of, self.frame_of, side="left")
         self.within = starts - starts[first] if docs else starts
@@ -108,7 +114,7 @@ class TokenFile:
     def document(self, row: int) -> np.ndarray:
         """The ids of the row-th document; only its frame is decompressed."""
         raw = self.frame(int(self.frame_of[row]))
-        return np.frombuffer(raw, "<u4", int(self.counts[row]), 4 * int(self.within[row]))
+        return np.frombuffer(raw, f"<u{self.width}", int(self.counts[row]), self.width * int(self.within[row])).astype("<u4")
 
     def find(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of the documents with this doc_id, or without any if it is None."""
@@ -184,6 +190,8 @@ def op6_token_files(docs: DataFrame) -> DataFrame:
     rows = written(read(spark, path), "token-rows")
     # one row for each file: the sums before a file are taken over files, not documents
     files = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = files.select("part", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the files of a partition are summed in its own task; only a row for each partition, a set number, meets in one
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    firsts = files.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("own")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("first"))
     return rows.join(firsts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

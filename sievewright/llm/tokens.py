@@ -1,11 +1,12 @@
-"""Batch encoding with a byte-level BPE of the tokenizers library, with bounded caches.
+"""Encoding with a byte-level BPE of the tokenizers library, with bounded caches.
 
 The pre-tokeniser of such a vocabulary never joins what stands on either side of a
 space that follows a character other than white space or precedes one. Texts are
 therefore cut before such spaces; the ids of each piece are kept, as most pieces of
-a corpus repeat. A new piece is cut by the vocabulary's own pattern, and the library's
-model encodes each part that is new as well. A text with white space on both sides of
-a space, or with a NUL, is given to the library whole.
+a corpus repeat. A new piece of a space and letters is one word to the pre-tokeniser
+and goes to the library's model as it is; any other one is cut by the vocabulary's own
+pattern first. A text with white space on both sides of a space, or with the string of an
+added token, is given to the library whole.
 """
 
 from __future__ import annotations
@@ -15,30 +16,36 @@ import re
 import numpy as np
 
 #: Pieces and parts whose ids a worker keeps (in two halves, the older one is dropped), and the longest one kept.
-CACHE_ROWS = 700_000
+CACHE_ROWS = 1_100_000
 CACHE_CHARS = 64
 
-_WIDE = re.compile(r"\s \s|\x00")
-_loaded: dict[str, ByteBpe] = {}
+_WIDE = re.compile(r"\s \s")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_loaded: dict[tuple[str, bool], ByteBpe] = {}
 
 
-class Kept(dict):
-    """A dictionary of two generations: when the younger is full, the older one is dropped."""
+class Odd(Exception):
+    """A piece whose ids depend on what stands beside it, or that holds an added token."""
 
-    def __init__(self, rows: int, make):
-        super().__init__()
-        self.rows, self.make, self.old = rows // 2, make, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= self.rows:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+def kept(rows: int, make) -> dict[str, bytes]:
+    """A dictionary that makes what it lacks, in two generations: when the younger is full, the older one is dropped."""
+    half, old = rows // 2, {}
+
+    class Kept(dict):
+        def __missing__(self, key: str) -> bytes:
+            nonlocal old
+            value = old.get(key)
+            if value is None:
+                value = make(key)
+            if len(key) <= CACHE_CHARS:
+                if len(self) >= half:
+                    old = self.copy()
+                    self.clear()
+                self[key] = value
+            return value
+
+    return Kept()
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,36 +56,71 @@ def byte_letters() -> dict[int, str]:
 
 
 class ByteBpe:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
+
+    plain: strings of added tokens in a text are ordinary text; else they are the tokens, as the library has it by default.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
         self.library.no_padding()
         self.library.no_truncation()
+        self.added = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         letters, model, cut = byte_letters(), self.library.model, regex.compile(PATTERN)
-        parts = Kept(CACHE_ROWS, lambda x: np.array([t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))], "<u4").tobytes())
-        self.pieces = Kept(CACHE_ROWS, lambda x: b"".join([parts[p] for p in cut.findall(x)]))
+        space, tokenize = letters[32], model.tokenize
+        holds_added = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
+        raw = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size(with_added_tokens=True))]
+
+        def part(x: str) -> bytes:
+            return b"".join([raw[t.id] for t in tokenize(x.encode().decode("latin-1").translate(letters))])
+
+        def word(x: str) -> bytes:
+            """The ids of a space and ``x``, which holds no space."""
+            if x.isalpha():
+                return b"".join([raw[t.id] for t in tokenize(space + (x if x.isascii() else x.encode().decode("latin-1").translate(letters)))])
+            if not x or x[0].isspace() or holds_added(x):
+                raise Odd
+            return regular(" " + x)
+
+        def regular(x: str) -> bytes:
+            bare = x.rstrip(_SIGNS)
+            if bare[1:].isalpha() and bare[0] == " ":  # a word, and signs that stand together
+                return words[bare[1:]] + parts[x[len(bare) :]]
+            # a word after a space is a piece of its own elsewhere
+            return b"".join([words[p[1:]] if p[0] == " " and p[1:].isalpha() else parts[p] for p in cut.findall(x)])
+
+        parts, words = kept(CACHE_ROWS // 8, part), kept(CACHE_ROWS, word)
+        self.words, self.regular, self.holds_added = words, regular, holds_added
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, without special tokens."""
-        if _WIDE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, text.replace(" ", "\x00 ").split("\x00"))) if text else b""
-
-
-def load(path: str) -> ByteBpe:
+        """The ids of a text, without the special tokens that a template would add."""
+        if not text:
+            return b""
+        first, *rest = text.split(" ")
+        try:
+            if self.holds_added(first):
+                raise Odd
+            return b"".join([self.regular(first) if first else b"", *map(self.words.__getitem__, rest)])
+        except Odd:
+            if _WIDE.search(text) or self.holds_added(text):
+                return self.whole(text)
+            odd = lambda x: not x or x[0].isspace()
+            return b"".join([self.regular(first) if first else b"", *(self.regular(" " + x) if odd(x) else self.words[x] for x in rest)])
+
+
+def load(path: str, plain: bool = False) -> ByteBpe:
     """The encoder of a vocabulary file, one for each worker process."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = ByteBpe(path, plain)
+    return _loaded[path, plain]
 
 
 def vocabulary(name: str) -> str:
