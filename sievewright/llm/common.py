@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import spread
+
 #: Rows and bytes of one Arrow batch handed to a Python worker; long texts make small batches.
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
@@ -85,7 +87,8 @@ def _sweep_at_exit() -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; a table of fewer files than there are cores is dealt over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
