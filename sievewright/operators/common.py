@@ -19,10 +19,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+#: Bytes of files for each core below which a table is dealt out, if it has fewer files than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, dealt over the cores; one of many files stays as it is."""
+    """A small table of fewer files than there are cores, dealt over the cores; a larger one, which its scan splits, stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

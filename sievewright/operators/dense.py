@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import top
 
-#: Query vectors that one pass over the collection carries; more are searched in further passes.
+#: Query vectors that are multiplied at once, and values of query vectors that one pass over the collection carries; more take further passes.
 BLOCK = 4096
+PASS_VALUES = 8 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,35 +30,45 @@ def normalised(v: Column) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str, query_col: str, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank): the k best vectors of each query.
 
-    Each task multiplies its batches with a block of queries and keeps its own k best,
-    so k rows a query and task are shuffled. Query vectors are a stated set, collected
-    in blocks of BLOCK; the collection never moves.
+    Each task multiplies its batches with blocks of queries and keeps its own k best, so k rows a query and task
+    are shuffled. Query vectors are a stated set, of which at most PASS_VALUES values are held and sent at a
+    time; the collection is read once for so many, and never moves.
     """
-    asked = [(r[0], r[1]) for r in queries.where(F.col(query_col).isNotNull()).select(qid_col, query_col).orderBy(qid_col).toLocalIterator()]
     kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)[qid_col]
-    parts = []
-    for at in range(0, max(1, len(asked)), BLOCK):
-        ids = [q for q, _ in asked[at : at + BLOCK]]
-        matrix = np.array([v for _, v in asked[at : at + BLOCK]], np.float64)
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+    def searched(ids: list, matrix: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: list[pd.DataFrame] = []
+            short = lambda: pd.concat(best).sort_values(["score", "id"], ascending=[False, True]).groupby("qid").head(k)
             for batch in batches:
                 batch = batch.dropna()
-                if not len(batch) or not len(ids):
+                if not len(batch):
                     continue
-                score = np.round(np.array(batch.v.tolist(), np.float64) @ matrix.T, digits)
                 own = batch.id.to_numpy()
                 order = np.argsort(own, kind="stable")
-                score, own = score[order], own[order]
-                keep = np.argsort(-score, axis=0, kind="stable")[:k]
-                best.append(pd.DataFrame({"qid": np.tile(ids, len(keep)), "id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()}))
-                if len(best) > 16:
-                    best = [pd.concat(best).sort_values(["score", "id"], ascending=[False, True]).groupby("qid").head(k)]
+                mine, own = np.array(batch.v.tolist(), np.float64)[order], own[order]
+                for at in range(0, len(ids), BLOCK):
+                    some = ids[at : at + BLOCK]
+                    score = np.round(mine @ matrix[at : at + BLOCK].T, digits)
+                    keep = np.argsort(-score, axis=0, kind="stable")[:k]
+                    best.append(pd.DataFrame({"qid": np.tile(some, len(keep)), "id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()}))
+                    if len(best) > 16:
+                        best = [short()]
             if best:
-                yield pd.concat(best).sort_values(["score", "id"], ascending=[False, True]).groupby("qid").head(k)
+                yield short()
 
-        parts.append(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(run, f"qid {qkind}, id {kind}, score double"))
+        return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(run, f"qid {qkind}, id {kind}, score double")
+
+    parts, ids, rows, held = [], [], [], 0
+    for q, v in queries.where(F.col(query_col).isNotNull()).select(qid_col, query_col).orderBy(qid_col).toLocalIterator():
+        ids.append(q)
+        rows.append(np.array(v, np.float64))
+        held += len(v)
+        if held >= PASS_VALUES:
+            parts.append(searched(ids, np.array(rows)))
+            ids, rows, held = [], [], 0
+    if ids or not parts:
+        parts.append(searched(ids, np.array(rows)))
     found = parts[0]
     for other in parts[1:]:
         found = found.unionByName(other)
