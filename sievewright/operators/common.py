@@ -26,7 +26,7 @@ SPREAD_BYTES = 32 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table of fewer files than there are cores, dealt over the cores; a larger one, which its scan splits, stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= cores * SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
 
 
