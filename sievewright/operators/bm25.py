@@ -17,8 +17,8 @@ K1, B = 1.5, 0.75
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, tokens, dl, kept columns)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("tokens"))
+    """(id, tokens, dl, kept columns). The tokens come out of a generator, so whatever reads them twice has them made once."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.explode(F.array(tokens(F.col(text_col)))).alias("tokens"))
     return rows.withColumn("dl", F.size("tokens"))
 
 
@@ -36,8 +36,8 @@ def postings(rows: DataFrame, terms: DataFrame | None = None, by: tuple[str, ...
 
 
 def term_stats(post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, term, df)."""
-    return post.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    """(by, term, df). It looks at ``tf``, so the postings below are the very plan of their other use, whose exchange Spark reuses."""
+    return post.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,11 +56,14 @@ def scores(rows: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, by:
         raise ValueError("k1 must be above 0 and b between 0 and 1")
     # one check, of the queries alone: the query side, and the statistics of its terms (a row for each term and partition), are as small
     side = F.broadcast if few(terms) else lambda x: x
-    kept = keep if keep is not None else F.lit(True)
-    marked = postings(rows.withColumn("_keep", F.coalesce(kept, F.lit(False))), side(terms.select("term").distinct()), (*by, "_keep"))
-    post = marked.drop("_keep")
+    wanted = side(terms.select("term").distinct())
+    if keep is None:
+        post = scored = postings(rows, wanted, by)
+    else:
+        post = postings(rows.withColumn("_keep", F.coalesce(keep, F.lit(False))), wanted, (*by, "_keep"))
+        scored = post.where(F.when(F.col("_keep"), F.col("tf")).otherwise(0) > 0).drop("_keep")  # on the counts, so that it stays above them
     stats = corpus_stats(rows, list(by))
-    weighed = marked.where("_keep").drop("_keep").join(side(term_stats(post, by)), [*by, "term"])
+    weighed = scored.join(side(term_stats(post, by)), [*by, "term"])
     weighed = weighed.join(F.broadcast(stats), list(by)) if by else weighed.crossJoin(F.broadcast(stats))  # one row for each partition
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
