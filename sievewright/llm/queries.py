@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, packing, pii, piece_model, quality, simhash, substring, token_files, toxicity
+from ..operators.common import spread
+from . import fill_middle, hard_negatives, langid, media, packing, pii, piece_model, quality, simhash, substring, token_files, top_k, toxicity
 from .common import documents
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -32,11 +33,29 @@ gone AS (SELECT DISTINCT wins.doc_id, i + j AS p FROM wins JOIN firsts USING (k)
 words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w),
 kept AS (SELECT words.doc_id, string_agg(w, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS t, count(*) FILTER (gone.p IS NOT NULL) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+_CUT = "[A-Za-z]+|[^A-Za-z]"
+_FIM = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_CUT}') AS us, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(us)::BIGINT AS n, {', '.join(f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT AS h{k + 1}" for k in range(4))} FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fill_middle.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {fill_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(us[1:lo], '') AS pre, array_to_string(us[lo + 1:hi], '') AS mid, array_to_string(us[hi + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+_VECTORS = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_TOP_K = f"""WITH v AS (SELECT vec_id, {_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {top_k.EVERY} = 0)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= {top_k.K}"""
+_NEGATIVES = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_VECTORS} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % {hard_negatives.EVERY} = 0),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id)::INTEGER AS positive_rank FROM s WHERE same) WHERE positive_rank <= 5)
+SELECT * FROM (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score, positive_rank
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score) WHERE rank <= 10"""
 #: The others have no SQL: XXH64, CRC-32, tokenizers and learned models are not in DuckDB. They are tested in tests/llm.
-SQL: dict[str, str] = {"op3_quality": _QUALITY, "op10_substring": _REPEATS}
+SQL: dict[str, str] = {"op3_quality": _QUALITY, "op10_substring": _REPEATS, "op11_fill_middle": _FIM, "op12_top_k": _TOP_K, "op13_hard_negatives": _NEGATIVES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    vectors = lambda f: lambda spark, sf_dir: f(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
     over = lambda f: lambda spark, sf_dir: f(documents(spark, sf_dir))
     return {
         "op1_sentencepiece": over(piece_model.op1_sentencepiece),
@@ -49,4 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": over(media.op8_media),
         "op9_langid": over(langid.op9_langid),
         "op10_substring": over(substring.op10_substring),
+        "op11_fill_middle": over(fill_middle.op11_fill_middle),
+        "op12_top_k": vectors(top_k.op12_top_k),
+        "op13_hard_negatives": vectors(hard_negatives.op13_hard_negatives),
     }
