@@ -16,30 +16,34 @@ def casefold(x: Column) -> Column:
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
 
-def tokens(text: Column) -> Column:
-    """Index tokens of a text in order, repeats included.
+def raw_tokens(text: Column) -> Column:
+    """The identifiers, numbers and CJK runs of a text, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_TOKEN), F.lit(0))
+
+
+def expanded(raw: Column) -> Column:
+    """The index tokens of one raw token.
 
     An identifier gives itself, its components and the camel-case parts of each
     component that has several; a CJK run gives itself and its bigrams.
     """
 
-    def of_component(raw: Column):
-        def parts(c: Column) -> Column:
-            camel = F.regexp_extract_all(c, F.lit(CAMEL_PART), F.lit(0))
-            own = F.when(casefold(c) != casefold(raw), F.array(casefold(c))).otherwise(F.array().cast("array<string>"))
-            return F.concat(own, F.when(F.size(camel) > 1, F.transform(camel, casefold)).otherwise(F.array().cast("array<string>")))
+    def parts(c: Column) -> Column:
+        camel = F.regexp_extract_all(c, F.lit(CAMEL_PART), F.lit(0))
+        own = F.when(casefold(c) != casefold(raw), F.array(casefold(c))).otherwise(F.array().cast("array<string>"))
+        return F.concat(own, F.when(F.size(camel) > 1, F.transform(camel, casefold)).otherwise(F.array().cast("array<string>")))
 
-        return parts
+    n = F.length(raw)
+    bigrams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(raw, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    components = F.filter(F.split(raw, r"[.:/\\-]+"), lambda c: c != "")
+    plain = F.concat(F.array(casefold(raw)), F.flatten(F.transform(components, parts)))
+    # most words have neither joins nor inner capitals, digits or underscores: they are one token
+    return F.when(~raw.rlike(r".[A-Z0-9_.:/\\-]|[^\x00-\x7F]"), F.array(F.lower(raw))).when(raw.rlike(CJK_RUN), F.concat(F.array(raw), bigrams)).otherwise(plain)
 
-    def of_raw(raw: Column) -> Column:
-        n = F.length(raw)
-        bigrams = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(raw, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        components = F.filter(F.split(raw, r"[.:/\\-]+"), lambda c: c != "")
-        plain = F.concat(F.array(casefold(raw)), F.flatten(F.transform(components, of_component(raw))))
-        # most words have neither joins nor inner capitals, digits or underscores: they are one token
-        return F.when(~raw.rlike(r".[A-Z0-9_.:/\\-]|[^\x00-\x7F]"), F.array(F.lower(raw))).when(raw.rlike(CJK_RUN), F.concat(F.array(raw), bigrams)).otherwise(plain)
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_TOKEN), F.lit(0)), of_raw))
+def tokens(text: Column) -> Column:
+    """Index tokens of a text in order, repeats included."""
+    return F.flatten(F.transform(raw_tokens(text), expanded))
 
 
 def tidy(text: Column) -> Column:

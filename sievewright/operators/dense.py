@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import top
+from .workspace import new_path
 
-#: Query vectors that are multiplied at once, and values of query vectors that one pass over the collection carries; more take further passes.
+#: Query vectors that are multiplied at once, and values of query vectors that one pass over the collection carries.
 BLOCK = 4096
 PASS_VALUES = 8 << 20
 
@@ -27,49 +28,56 @@ def normalised(v: Column) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str, query_col: str, digits: int = 6) -> DataFrame:
-    """(qid, id, score, rank): the k best vectors of each query.
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str, query_col: str, digits: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, qid, id, score, rank): the k best vectors of each query, of each partition if ``by``, columns of ``vectors``, is given.
 
-    Each task multiplies its batches with blocks of queries and keeps its own k best, so k rows a query and task
-    are shuffled. Query vectors are a stated set, of which at most PASS_VALUES values are held and sent at a
-    time; the collection is read once for so many, and never moves.
+    Each task multiplies its batches with blocks of queries and keeps its own k best, so k rows a query, partition
+    and task are shuffled. Query vectors are a stated set. Sets of up to PASS_VALUES values are sent to the tasks at
+    once; a larger one takes several passes over the collection, whose results are written one after another, so the
+    driver never holds more than one pass.
     """
-    kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)[qid_col]
+    kinds, qkind = dict(vectors.dtypes), dict(queries.dtypes)[qid_col]
+    parts = list(by)
+    asked = queries.where(F.col(query_col).isNotNull()).select(F.col(qid_col).alias("qid"), F.col(query_col).cast("array<double>").alias("query"))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in parts), f"qid {qkind}", f"id {kinds[id_col]}", "score double"])
+
+    def searched(rows: list) -> DataFrame:
+        rows = sorted(rows, key=lambda r: r.qid)
+        ids, matrix = [r.qid for r in rows], np.array([r.query for r in rows], np.float64)
 
-    def searched(ids: list, matrix: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: list[pd.DataFrame] = []
-            short = lambda: pd.concat(best).sort_values(["score", "id"], ascending=[False, True]).groupby("qid").head(k)
+            short = lambda: pd.concat(best).sort_values(["score", "id"], ascending=[False, True]).groupby([*parts, "qid"], dropna=False).head(k)
             for batch in batches:
-                batch = batch.dropna()
-                if not len(batch):
-                    continue
-                own = batch.id.to_numpy()
-                order = np.argsort(own, kind="stable")
-                mine, own = np.array(batch.v.tolist(), np.float64)[order], own[order]
-                for at in range(0, len(ids), BLOCK):
-                    some = ids[at : at + BLOCK]
-                    score = np.round(mine @ matrix[at : at + BLOCK].T, digits)
-                    keep = np.argsort(-score, axis=0, kind="stable")[:k]
-                    best.append(pd.DataFrame({"qid": np.tile(some, len(keep)), "id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()}))
-                    if len(best) > 16:
-                        best = [short()]
+                batch = batch.dropna(subset=["id", "v"])
+                groups = [((), batch)] if not parts else batch.groupby(parts, dropna=False)
+                for key, some in groups:
+                    if not len(some):
+                        continue
+                    own = some.id.to_numpy()
+                    order = np.argsort(own, kind="stable")
+                    mine, own = np.array(some.v.tolist(), np.float64)[order], own[order]
+                    for at in range(0, len(ids), BLOCK):
+                        names = ids[at : at + BLOCK]
+                        score = np.round(mine @ matrix[at : at + BLOCK].T, digits)
+                        keep = np.argsort(-score, axis=0, kind="stable")[:k]
+                        best.append(pd.DataFrame(dict(zip(parts, key, strict=True)) | {"qid": np.tile(names, len(keep)), "id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()}))
+                        if len(best) > 16:
+                            best = [short()]
             if best:
                 yield short()
 
-        return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(run, f"qid {qkind}, id {kind}, score double")
-
-    parts, ids, rows, held = [], [], [], 0
-    for q, v in queries.where(F.col(query_col).isNotNull()).select(qid_col, query_col).orderBy(qid_col).toLocalIterator():
-        ids.append(q)
-        rows.append(np.array(v, np.float64))
-        held += len(v)
-        if held >= PASS_VALUES:
-            parts.append(searched(ids, np.array(rows)))
-            ids, rows, held = [], [], 0
-    if ids or not parts:
-        parts.append(searched(ids, np.array(rows)))
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.unionByName(other)
-    return top(found, ["qid"], [F.desc("score"), F.asc("id")], k)
+        return vectors.select(*parts, F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(run, schema)
+
+    values = asked.agg(F.coalesce(F.sum(F.size("query").cast("long")), F.lit(0))).first()[0]
+    passes = -(-values // PASS_VALUES)
+    if passes <= 1:
+        found = searched(asked.collect()) if values else vectors.sparkSession.createDataFrame([], schema)
+    else:
+        path = new_path(vectors.sparkSession, "passes")
+        for n in range(passes):
+            some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == n).collect()  # about PASS_VALUES values
+            if some:
+                searched(some).write.mode("append").parquet(path)
+        found = vectors.sparkSession.read.schema(schema).parquet(path)
+    return top(found, [*parts, "qid"], [F.desc("score"), F.asc("id")], k)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, tokens
-from ..operators import bm25, dense, evaluate, fusion
-from ..operators.common import spread, top
+from ..operators import bm25, dense, evaluate, fusion, ingest, inverted, workspace
+from ..operators.common import spread
 from . import sqltext
 
 TOP = 5
@@ -22,6 +22,48 @@ def _bench(spark, d):
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+KEYS = ("corpus", "authority", "lang")
+
+
+def placed(spark, d):
+    """The documents with the keys of the index: corpus and authority by source and path, and language, ? if it is not known."""
+    kind = F.when(F.col("lang") == "fr", ".py").when(F.col("lang") == "de", "_test.py").otherwise(".md")
+    path = F.concat("source", F.when(F.col("lang") == "es", "/tests/").otherwise("/lib/"), F.lit("doc_"), "doc_id", kind)
+    rows = _t(spark, d, "documents").withColumn("path", path).withColumn("source_type", F.when(F.col("source") == "src9", "official_web").otherwise("directory"))
+    corpus, authority = ingest.partition(F.col("source_type"), F.lit(None), F.lit(None), F.col("path"), F.lit(None))
+    return rows.withColumns({"corpus": corpus, "authority": authority, "lang": F.coalesce("lang", F.lit("?"))})
+
+
+def index(spark, d):
+    """The stored index of the documents, built once for each state of their files."""
+    source = f"{d}/documents.parquet"
+
+    def make(root):
+        rows = placed(spark, d).select("doc_id", "text", *KEYS, "source", "path")
+        inverted.publish(hash_embedding(rows, "doc_id", "text", "vector", rows.columns[1:]), root, "documents", KEYS, ("source", "path"), "vector")
+
+    root = workspace.kept(spark, "index", [source], make)
+    if root not in _OPEN:
+        _OPEN[root] = inverted.Index(spark, root)
+    return _OPEN[root]
+
+
+_OPEN: dict[str, inverted.Index] = {}
+
+
+def _terms(spark, d):
+    return inverted.query_terms(_bench(spark, d))
+
+
+def index_tables(spark, d):
+    """Rows of the stored index by partition."""
+    made = index(spark, d).tables
+    by = list(KEYS)
+    posted = made["postings"].groupBy(*by).agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"), F.max("dl").alias("longest"))
+    figures = made["terms"].groupBy(*by).agg(F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("most_documents"))
+    return made["totals"].join(posted, by, "left").join(figures, by, "left").join(made["vectors"].groupBy(*by).agg(F.count("vector").alias("n_vectors")), by)
+
+
 def tokenize_terms(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -41,14 +83,12 @@ def term_stats_df(spark, d):
 
 
 def bm25_topk(spark, d, k1=bm25.K1, b=bm25.B, k=TOP):
-    return bm25.search(_t(spark, d, "documents"), _bench(spark, d), k, k1=k1, b=b)
+    return index(spark, d).ranked(_terms(spark, d), k, k1=k1, b=b)
 
 
 def bm25_filtered(spark, d):
     """Only documents that pass the filter are scored; the statistics are those of all."""
-    rows = bm25.tokenised(_t(spark, d, "documents"), keep=("lang",))
-    found = bm25.scores(rows, bm25.query_terms(_bench(spark, d), "qid", "query"), keep=F.col("lang") == "en")
-    return top(found, ["qid"], [F.desc("score"), F.asc("doc_id")], TOP)
+    return index(spark, d).ranked(_terms(spark, d), TOP, keep=F.col("lang") == "en")
 
 
 def _asked(spark, d):
@@ -66,8 +106,8 @@ def dense_filtered(spark, d):
 BUCKETS = 12
 
 
-def hash_embedding(rows, id_col, text_col, out):
-    """(id, out): unit vector of token counts over BUCKETS; a text without tokens has only the first bucket.
+def hash_embedding(rows, id_col, text_col, out, keep=()):
+    """(id, kept columns, out): unit vector of token counts over BUCKETS; a text without tokens has only the first bucket.
 
     Three steps, each reading the one before: a lambda that stood in another would be evaluated again for each element.
     """
@@ -75,9 +115,9 @@ def hash_embedding(rows, id_col, text_col, out):
     bucket = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % BUCKETS
     zero = F.array(*[F.lit(0.0)] * BUCKETS)
     counted = F.aggregate(F.transform(words, bucket), zero, lambda acc, c: F.transform(acc, lambda x, k: F.when(k == c, x + 1.0).otherwise(x)))
-    steps = rows.select(F.col(id_col), counted.alias("_c")).select(id_col, "_c", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x)).alias("_n"))
+    steps = rows.select(F.col(id_col), *keep, counted.alias("_c")).select(id_col, *keep, "_c", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x)).alias("_n"))
     first = F.array(F.lit(1.0), *[F.lit(0.0)] * (BUCKETS - 1))
-    return steps.select(id_col, F.when(F.col("_n") > 0, F.transform("_c", lambda x: x / F.col("_n"))).otherwise(first).alias(out))
+    return steps.select(id_col, *keep, F.when(F.col("_n") > 0, F.transform("_c", lambda x: x / F.col("_n"))).otherwise(first).alias(out))
 
 
 def document_embeddings(spark, d):
@@ -86,9 +126,8 @@ def document_embeddings(spark, d):
 
 
 def _dense_documents(spark, d, k):
-    docs = hash_embedding(_t(spark, d, "documents"), "doc_id", "text", "v")
     asked = hash_embedding(_t(spark, d, "benchmark"), "item_id", "text", "query").withColumnRenamed("item_id", "qid")
-    return dense.search(docs, asked, k, "doc_id", "v", "qid", "query").withColumnRenamed("id", "doc_id")
+    return index(spark, d).nearest(asked, k)
 
 
 def rrf_fuse(spark, d):
@@ -110,9 +149,7 @@ LANG_WEIGHTS = {"en": 1.35, "fr": 1.2, "de": 1.0, "es": 0.8}
 
 
 def federated_topk(spark, d):
-    rows = bm25.tokenised(_t(spark, d, "documents"), keep=("lang",))
-    found = bm25.scores(rows, bm25.query_terms(_bench(spark, d), "qid", "query"), by=("lang",))
-    ranked = top(found, ["qid", "lang"], [F.desc("score"), F.asc("doc_id")], TOP * fusion.FEDERATED_FACTOR)
+    ranked = index(spark, d).ranked(_terms(spark, d), TOP * fusion.FEDERATED_FACTOR, by=("lang",))
     weight = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(w)) for lang, w in LANG_WEIGHTS.items()), F.lit(1.0))
     return _fused(fusion.federate(ranked, ["qid"], "lang", "doc_id", weight, TOP))
 
@@ -152,7 +189,7 @@ def ablation_deltas(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_terms, doc_stats, corpus_stats, term_stats_df, bm25_topk, bm25_filtered, dense_topk, dense_filtered, document_embeddings, rrf_fuse, hybrid_topk, federated_topk, eval_per_query, eval_summary, eval_refusals, ablation_deltas)
+    for f in (index_tables, tokenize_terms, doc_stats, corpus_stats, term_stats_df, bm25_topk, bm25_filtered, dense_topk, dense_filtered, document_embeddings, rrf_fuse, hybrid_topk, federated_topk, eval_per_query, eval_summary, eval_refusals, ablation_deltas)
 }
 
 _RANKED = "SELECT {cols}, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {table}"
@@ -203,7 +240,14 @@ LEFT JOIN (SELECT qid, count(*) AS n_ret FROM {results} GROUP BY 1) n ON n.qid =
 
 
 _FLAT = sqltext.bm25(0.9, 0.4, "flat_s").rsplit("\nflat_s AS", 1)[1]
+#: The partition of a document in the index, as SQL.
+PLACED = """CASE WHEN source = 'src9' THEN 'official' ELSE 'internal' END AS corpus, CASE WHEN source = 'src9' THEN 'official' WHEN lang IN ('es', 'de') THEN 'test' WHEN lang = 'fr' THEN 'code' ELSE 'design' END AS authority, coalesce(lang, '?') AS lang"""
 SQL = {
+    "index_tables": f"""WITH {sqltext.tokens('documents', 'doc_id', 'text')}, pl AS (SELECT doc_id, {PLACED} FROM documents), po AS (SELECT k AS doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
+dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM po GROUP BY 1), df AS (SELECT corpus, authority, lang, term, count(*) AS df FROM po JOIN pl USING (doc_id) GROUP BY ALL),
+a AS (SELECT corpus, authority, lang, count(*) AS n_docs, sum(coalesce(dl, 0))::BIGINT AS sum_dl, max(dl) AS longest, count(*) AS n_vectors FROM pl LEFT JOIN dl USING (doc_id) GROUP BY ALL),
+b AS (SELECT corpus, authority, lang, count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens FROM po JOIN pl USING (doc_id) GROUP BY ALL), c AS (SELECT corpus, authority, lang, count(*) AS n_terms, max(df) AS most_documents FROM df GROUP BY ALL)
+SELECT * FROM a LEFT JOIN b USING (corpus, authority, lang) LEFT JOIN c USING (corpus, authority, lang)""",
     "tokenize_terms": f"WITH {sqltext.tokens('documents', 'doc_id', 'text')} SELECT k AS doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2",
     "doc_stats": f"WITH {sqltext.tokens('documents', 'doc_id', 'text')} SELECT doc_id, count(term) AS dl FROM documents LEFT JOIN toks ON k = doc_id GROUP BY 1",
     "corpus_stats": f"WITH {sqltext.tokens('documents', 'doc_id', 'text')}, dl AS (SELECT doc_id, lang, count(term) AS dl FROM documents LEFT JOIN toks ON k = doc_id GROUP BY 1, 2) SELECT lang, count(*) AS n_docs, round(avg(dl), 6) AS avgdl FROM dl GROUP BY 1",
@@ -215,7 +259,7 @@ SQL = {
     "document_embeddings": f"WITH {_hash_vectors('documents', 'doc_id', 'dv')} SELECT doc_id, " + ", ".join(f"round(v[{k + 1}], 6) AS v{k}" for k in range(BUCKETS)) + " FROM dv",
     "rrf_fuse": f"WITH {_BM25}, flat_s AS {_FLAT}, lists AS (SELECT *, 0 AS list_no, 'wide' AS retriever, 1.0::DOUBLE AS w FROM ({_topk('scored', 10)}) UNION ALL SELECT *, 1, 'flat', 1.0 FROM ({_topk('flat_s', 10)})), {_FUSE}",
     "hybrid_topk": f"WITH {_BM25}, {_DENSE_DOCS}, lists AS (SELECT *, 0 AS list_no, 'dense' AS retriever, 1.0::DOUBLE AS w FROM ({_topk('dense_s', 15)}) UNION ALL SELECT *, 1, 'bm25', 1.0 FROM ({_topk('scored', 15)})), {_FUSE}",
-    "federated_topk": f"WITH {sqltext.bm25(by='lang')}, ranked AS ({_topk('scored', 15, 'qid, p', 'p, qid, doc_id, score')}), lists AS (SELECT qid, doc_id, rank, dense_rank() OVER (PARTITION BY qid ORDER BY p) AS list_no, p AS retriever, CASE p "
+    "federated_topk": f"WITH {sqltext.bm25(by="coalesce(lang, '?')")}, ranked AS ({_topk('scored', 15, 'qid, p', 'p, qid, doc_id, score')}), lists AS (SELECT qid, doc_id, rank, dense_rank() OVER (PARTITION BY qid ORDER BY p) AS list_no, p AS retriever, CASE p "
     + " ".join(f"WHEN '{k}' THEN {w}" for k, w in LANG_WEIGHTS.items())
     + f" ELSE 1.0 END::DOUBLE AS w FROM ranked), {_FUSE}",
     "eval_per_query": f"WITH {_BM25}, res AS ({_topk('scored', 5)}), {_REL} {_metrics('res')}",
