@@ -22,13 +22,15 @@ doc_id. Null and empty texts have no words; a text with a null doc_id neither co
 nor is covered; of rows with the same doc_id neither covers the other (a smaller doc_id
 is asked for); an empty table gives no rows. Repeated doc_ids are told apart nowhere:
 their rows get the union of the ranges found, cut at their length. A very long text is
-one row like any other; what it sends is cut into super-k-mers. Extra columns are not
-read (``replaced`` carries them along, whatever their names).
+one row like any other; a super-k-mer holds the windows of one place of its minimiser at
+most, so one that a text repeats is cut, and what a task holds is sent on in parts, in the
+midst of a text too. Extra columns are not read (``replaced`` carries them along, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,9 +74,31 @@ def runs(words: list[bytes], window: int, mmer: int) -> tuple[np.ndarray, np.nda
             mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-    least = _sliding_min(mixed, window - mmer + 1)
+    most = window - mmer + 1  # one place of a minimiser is in so many windows; where it recurs, a run is cut there
+    least = _sliding_min(mixed, most)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[first], first, np.diff(np.append(first, len(least)))
+    sizes = np.diff(np.append(first, len(least)))
+    pieces = -(-sizes // most)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, sizes = np.repeat(first, pieces) + nth * most, np.minimum(most, np.repeat(sizes, pieces) - nth * most)
+    return least[first], first, sizes
+
+
+def spans(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Sorted, disjoint ranges that stretches of ``size`` words from ``starts`` cover."""
+    at = np.unique(starts)
+    if not len(at):
+        return []
+    gap = np.flatnonzero(np.diff(at) > size)
+    return list(zip(at[np.append(0, gap + 1)].tolist(), (at[np.append(gap, len(at) - 1)] + size).tolist(), strict=True))
+
+
+def cover(ranges: list[tuple[int, int]], lo: int, hi: int) -> None:
+    """Add a range to a list; one that goes on from the last makes that longer."""
+    if ranges and ranges[-1][0] <= lo <= ranges[-1][1]:
+        ranges[-1] = (ranges[-1][0], max(hi, ranges[-1][1]))
+    else:
+        ranges.append((lo, hi))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,7 +160,7 @@ def _send(window: int, mmer: int, listed: list[int]):
 
         def flush() -> pa.RecordBatch:
             nonlocal held, covered, size
-            rows = [(key, tie is not None, tie or 0, doc, np.array(at, np.int64).tobytes(), packed) for doc, at, key, tie, packed in held.values()]
+            rows = [(key, tie is not None, tie or 0, doc, at.tobytes(), packed) for doc, at, key, tie, packed in held.values()]
             rows += [(None, False, 0, doc, np.array(merged(ranges), np.int64).tobytes(), None) for doc, ranges in covered.items()]
             held, covered, size = {}, {}, 0
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -146,15 +170,15 @@ def _send(window: int, mmer: int, listed: list[int]):
             nonlocal size
             was = held.get(digest)
             if was is None:
-                held[digest] = [doc, [start], key, tie, packed]
-                size += len(packed) + 300
+                held[digest] = [doc, array("q", [start]), key, tie, packed]
+                size += len(packed) + 400
                 return
-            size += 100
+            size += 20
             if was[0] < doc:
-                covered.setdefault(doc, []).append((start, start + n + window - 1))
+                cover(covered.setdefault(doc, []), start, start + n + window - 1)
             elif was[0] > doc:
-                covered.setdefault(was[0], []).extend((x, x + n + window - 1) for x in was[1])
-                was[0], was[1] = doc, [start]
+                covered.setdefault(was[0], []).extend(spans(np.array(was[1]), n + window - 1))
+                was[0], was[1] = doc, array("q", [start])
             else:  # the same text repeats itself
                 was[1].append(start)
 
@@ -174,8 +198,8 @@ def _send(window: int, mmer: int, listed: list[int]):
                             packed = b" ".join(words[at : at + window])
                             digest = xxhash.xxh3_128_digest(packed)
                             offer(doc, at, 1, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), packed, digest)
-                if size >= FLUSH_BYTES:
-                    yield flush()
+                    if size >= FLUSH_BYTES:
+                        yield flush()
         if held or covered:
             yield flush()
 
@@ -235,7 +259,7 @@ def _meet(window: int):
             if len(rows) > 1:
                 hits = match(np.full(len(rows), key), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], window)
                 for doc, lo, hi in hits:
-                    found.setdefault(doc, []).append((lo, hi))
+                    cover(found.setdefault(doc, []), lo, hi)
                 return len(hits)
             return 0
 
@@ -248,19 +272,20 @@ def _meet(window: int):
                     known.append((doc, starts))
                     n_found += 1
                     continue
-                at = np.frombuffer(starts, np.int64).tolist()
+                at = np.frombuffer(starts, np.int64)
                 if (key, hot, tie) != last:
                     n_found += bucket(held, last[0]) if held else 0
                     held, firsts, last = [], [], (key, hot, tie)
                 if not hot:
-                    held += [(doc, x, packed) for x in at]
+                    held += [(doc, x, packed) for x in at.tolist()]
                     continue
                 least = next((d for words, d in firsts if words == packed), None)
                 if least is None:  # two texts with one 128-bit digest would only make this list longer
                     firsts.append((packed, doc))
                 elif least < doc:
-                    found.setdefault(doc, []).extend((x, x + window) for x in at)
-                    n_found += len(at)
+                    more = spans(at, window)
+                    found.setdefault(doc, []).extend(more)
+                    n_found += len(more)
             if n_found > 500_000:
                 yield out()
         if held:

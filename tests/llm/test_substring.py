@@ -80,3 +80,60 @@ def test_odd_rows(spark):
     assert substring.op10_substring(df.where("false")).collect() == []
     kept = {r.doc_id: r.text for r in substring.deduplicated(df, keep_text=True).collect()}
     assert kept[3] is None and kept[2] == "a b" and kept[5] == ""
+
+
+def test_long_repetitive_texts_need_little_memory():
+    """Two texts of a million equal words, through what a task sends and what a bucket does with it, within 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from sievewright.llm import substring as s
+n = 1_000_000
+text = b"a " * n
+keys, first, sizes = s.runs(text.split(), 50, 5)
+assert sizes.max() <= 46 and sizes.sum() == n - 49 and len(set(keys.tolist())) == 1
+key = int(keys.view(np.int64)[0])
+for hot in (True, False):
+    part = text if hot else text[: 2 * 46 * 1000]  # cold ones are 2,000 super-k-mers at most
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([part, part]), pa.array([[] if hot else [key]] * 2, pa.list_(pa.int64())), pa.array([[key] if hot else []] * 2, pa.list_(pa.int64()))], ["doc_id", "text", "cold", "hot"])
+    batches = list(s._send(50, 5, [])(iter([rows.slice(0, 1)]))) + list(s._send(50, 5, [])(iter([rows.slice(1, 1)])))
+    both = pa.Table.from_batches(batches).sort_by([("key", "ascending"), ("hot", "ascending"), ("tie", "ascending"), ("doc", "ascending")])
+    got = {}
+    for out in s._meet(50)(iter(both.to_batches())):
+        for doc, ranges in zip(*(c.to_pylist() for c in out.columns)):
+            got.setdefault(doc, []).extend(map(tuple, np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist()))
+    assert {d: s.merged(r) for d, r in got.items()} == {2: [(0, len(part) // 2)]}, {d: r[:3] for d, r in got.items()}
+    one = list(s._send(50, 5, [])(iter([rows])))  # both in one task
+    known = {}
+    for out in one:
+        for k, doc, ranges in zip(*(out.column(c).to_pylist() for c in ("key", "doc", "starts"))):
+            if k is None:
+                known.setdefault(doc, []).extend(map(tuple, np.frombuffer(ranges, np.int64).reshape(-1, 2).tolist()))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0], check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) < 1000
+
+
+def test_repetitive_texts_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(["a", "a b", "a b c", "x y"]).split() * rng.randrange(30) for _ in range(rng.randrange(4))]
+        rows.append((i % 50, " ".join(w for p in parts for w in p)))
+    monkeypatch.setattr(substring, "FLUSH_BYTES", 3000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    alone = [r for r in rows if sum(x[0] == r[0] for x in rows) == 1]
+    for hot in (20_000, 3):
+        real = substring.shared_minimisers
+        with monkeypatch.context() as m:
+            m.setattr(substring, "shared_minimisers", lambda t, w, k, *_, hot=hot: real(t, w, k, hot, 20_000))
+            got = {tuple(r) for r in substring.deduplicated(df, 8, 3).collect()}
+            single = {tuple(r) for r in substring.deduplicated(spark.createDataFrame(alone, "doc_id long, text string"), 8, 3).collect()}
+        assert single == set(brute(alone, 8)) and len(got) > 0
