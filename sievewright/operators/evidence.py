@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.text import casefold
 from .common import top
@@ -44,7 +48,9 @@ def within_budget_blocked(rows: DataFrame, by: str, order: str, block: Column, t
     earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sized.groupBy(by, "block").agg(F.sum("size").alias("size")).withColumn("base", earlier(Window.partitionBy(by).orderBy("block"))).where(F.col("base") < total).drop("size")
     before = F.col("base") + earlier(Window.partitionBy(by, "block").orderBy(order))
-    kept = sized.join(blocks, [by, "block"]).withColumn("before", before).where(F.col("before") < total)
+    # rows with a null key or order are a group and a block of their own
+    b = blocks.select(F.col(by).alias("_by"), F.col("block").alias("_block"), "base")
+    kept = sized.join(b, F.col(by).eqNullSafe(F.col("_by")) & F.col("block").eqNullSafe(F.col("_block"))).drop("_by", "_block").withColumn("before", before).where(F.col("before") < total)
     return kept.withColumn("used", F.least(F.col("size"), F.lit(total) - F.col("before"))).drop("before", "base", "block", "size")
 
 
@@ -60,24 +66,54 @@ def per_page(rows: DataFrame, by: str, page: str, order: list[Column], most: int
     return top(rows, [by, page], order, most, "in_page")
 
 
-def shingles(text: Column, width: int = SHINGLE) -> Column:
-    """Different runs of ``width`` characters; of a shorter text itself."""
-    n = F.length(text)
-    return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.filter(F.array(text), lambda x: x != ""))
-
-
 def near_duplicate_pairs(rows: DataFrame, keys: list[str], item: str, text: str) -> DataFrame:
     """(keys, a, b) of redundant items within the same keys (a query's results: a few dozen rows a key).
 
     Contained texts, or texts that share most shingles of the shorter one.
     """
     bare = F.regexp_replace(casefold(F.col(text)), r"\s+", "")
-    each = rows.select(*keys, F.col(item).alias("i"), bare.alias("t")).select(*keys, "i", "t", shingles(F.col("t")).alias("s"))
-    pair = each.select(*keys, *(F.col(c).alias(f"{c}1") for c in "its")).join(each.select(*keys, *(F.col(c).alias(f"{c}2") for c in "its")), keys).where("i1 < i2")
+    each = rows.select(*keys, F.col(item).alias("i"), bare.alias("t"))
+    pair = each.select(*keys, *(F.col(c).alias(f"{c}1") for c in "it")).join(each.select(*keys, *(F.col(c).alias(f"{c}2") for c in "it")), keys).where("i1 < i2")
     short, long_ = F.least(F.length("t1"), F.length("t2")), F.greatest(F.length("t1"), F.length("t2"))
     inside = (short >= CONTAINED_CHARS) & (short >= CONTAINED * long_) & (F.contains("t1", "t2") | F.contains("t2", "t1"))
-    shared = (short >= OVERLAP_CHARS) & (F.size(F.array_intersect("s1", "s2")) >= OVERLAP * F.least(F.size("s1"), F.size("s2")))
-    return pair.where((F.col("t1") == F.col("t2")) | inside | shared).select(*keys, F.col("i1").alias("a"), F.col("i2").alias("b"))
+    plain = F.when((F.col("t1") == F.col("t2")) | inside, True).when(short < OVERLAP_CHARS, False)
+    # runs of characters are made where they are compared, for the pairs that nothing simpler decides
+    first = F.when(plain.isNull(), F.col("t1"))
+    pair = pair.withColumn("same", F.coalesce(plain, _share_most(first, F.when(first.isNotNull(), F.col("t2")))))
+    return pair.where("same").select(*keys, F.col("i1").alias("a"), F.col("i2").alias("b"))
+
+
+@F.pandas_udf(BooleanType())
+def _share_most(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two texts share most of the runs of SHINGLE characters of the one with fewer; null texts do not."""
+
+    @lru_cache(256)
+    def runs(t: str) -> frozenset[str]:
+        return frozenset(t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1)))
+
+    def most(a: str | None, b: str | None) -> bool:
+        return a is not None and len(runs(a) & runs(b)) >= OVERLAP * min(len(runs(a)), len(runs(b)))
+
+    return pd.Series([most(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+
+def selected(results: DataFrame, by: str, keys: list[str], text: str, order: str) -> DataFrame:
+    """Results of each query without those that repeat one kept before them: (.., place), places counted anew.
+
+    A result repeats another of the same keys (role and page, say) if their texts without blanks are equal, if one
+    holds the other and is not much longer, or if they share most runs of SHINGLE characters. Results are taken in
+    their order, and only those kept count; so what repeats a dropped one alone stays. Pairs that repeat one another
+    are found by a join, and a fold over the places of a query's results, a few dozen, keeps them one by one. A null
+    key is one like any other; ``order`` is different for each result of a query.
+    """
+    key = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)))
+    rows = results.select(by, key.alias("_k"), F.col(order).alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    near = near_duplicate_pairs(rows, [by, "_k"], "_o", "_t").groupBy(by, F.col("b").alias("_o")).agg(F.collect_list("a").alias("earlier"))
+    none = F.array().cast(f"array<{dict(results.dtypes)[order]}>")
+    listed = results.select(by, F.col(order).alias("_o")).join(near, [by, "_o"], "left").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_o", F.coalesce("earlier", none).alias("earlier")))).alias("rows"))
+    kept = F.aggregate("rows", none, lambda acc, r: F.when(F.arrays_overlap(acc, r["earlier"]), acc).otherwise(F.concat(acc, F.array(r["_o"]))))
+    places = listed.select(by, F.posexplode(kept).alias("place", order)).withColumn("place", F.col("place") + 1)
+    return results.join(places, [by, order])
 
 
 def support_score(query_tokens: Column, symbol_tokens: Column, path_tokens: Column, content_tokens: Column, taken: Column, rank: Column) -> Column:

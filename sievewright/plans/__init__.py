@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, assess, build, corpus, guarding, judge, loading, retrieval, verifying
+from . import answers, assess, build, corpus, guarding, judge, loading, retrieval, service, verifying
 
-MODULES = (retrieval, corpus, answers, assess, judge, guarding, build, loading, verifying)
+MODULES = (retrieval, corpus, answers, assess, judge, guarding, build, loading, verifying, service)
 
 
 def queries() -> dict:

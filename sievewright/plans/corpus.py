@@ -262,7 +262,7 @@ _ASKED = """asked AS (SELECT conv_id, turn, text AS query FROM conversations WHE
 (-1, 0, 'Where is QueryEngine.submit_message implemented?'), (-2, 0, 'Why was the architecture split?'), (-3, 0, 'What does the official MCP specification say?'), (-4, 0, 'weather forecast tomorrow'), (-5, 0, 'compare the current repo with the official MCP spec'),
 (-6, 0, 'production SLA numbers'), (-7, 0, 'what is langchian'), (-8, 0, 'exact cost of a call'), (-9, 0, ''), (-10, 0, 'which file holds `load_checkpoint`')) t(a, b, q))"""
 _X = "CASE WHEN query = 'what is langchian' THEN 'what is LangChain' ELSE trim(query) END"
-_INTENT = f"""{_ASKED}, n AS (SELECT conv_id, turn, query, {_X} AS x FROM asked),
+_INTENT_OF = f"""n AS (SELECT conv_id, turn, query, {_X} AS x FROM asked),
 f AS (SELECT *, {', '.join(f'{_rule(r)} AS r_{r}' for r in routing.RULES)}, regexp_matches(x, '{routing.IDENTIFIER}') AS r_id FROM n),
 g AS (SELECT *, r_project OR r_internal_topic AS hint, r_official_signal OR (r_official_topic AND NOT r_internal) AS off FROM f),
 h AS (SELECT *, r_internal OR (r_internal_topic AND NOT off) AS own FROM g),
@@ -270,6 +270,7 @@ i AS (SELECT *, CASE WHEN x = '' OR r_out_of_scope OR r_private_claim OR r_futur
  WHEN r_official_signal AND NOT r_official_topic AND NOT own THEN 'out_of_scope' WHEN r_comparison AND own AND off THEN 'comparison' WHEN off AND NOT own THEN 'official'
  WHEN (r_id OR r_artifact) AND NOT r_design_override THEN 'implementation' WHEN r_design_override OR r_strong_design THEN 'design' WHEN r_official_signal AND r_official_topic AND own THEN 'comparison'
  WHEN r_implementation OR own THEN 'implementation' ELSE 'design' END AS intent FROM h)"""
+_INTENT = f"{_ASKED}, {_INTENT_OF}"
 _ROUTES = "(VALUES " + ", ".join(f"('{k}', '{c}', '{a}')" for k, (c, a) in routing.ROUTES.items()) + ") r(name, corpora, authorities)"
 _TOP = "SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}"
 _BM25 = retrieval._BM25

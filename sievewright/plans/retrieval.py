@@ -205,8 +205,8 @@ s AS (SELECT qid, vec_id, round(list_inner_product(embedding::DOUBLE[], query::D
 SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10"""
 
 
-def _hash_vectors(table: str, key: str, name: str) -> str:
-    w = f"list_filter(regexp_split_to_array({sqltext.fold("coalesce(text, '')")}, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')"
+def _hash_vectors(table: str, key: str, name: str, text: str = "text") -> str:
+    w = f"list_filter(regexp_split_to_array({sqltext.fold(f"coalesce({text}, '')")}, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')"
     raw = f"list_transform(range(0, {BUCKETS}), lambda k: len(list_filter(b, lambda c: c = k))::DOUBLE)"
     return f"""{name}_b AS (SELECT {key}, list_transform({w}, lambda x: ('0x' || substr(sha256(x), 1, 2))::INTEGER % {BUCKETS}) AS b FROM {table}),
 {name}_r AS (SELECT {key}, CASE WHEN len(b) = 0 THEN list_concat([1.0::DOUBLE], list_transform(range(1, {BUCKETS}), lambda k: 0.0::DOUBLE)) ELSE {raw} END AS r FROM {name}_b),

@@ -26,11 +26,11 @@ def tokens(table: str, key: str, text: str, name: str = "toks") -> str:
 )"""
 
 
-def bm25(k1: float = 1.5, b: float = 0.75, name: str = "scored", by: str | None = None) -> str:
-    """CTEs ending in ``name`` ([by,] qid, doc_id, score) for benchmark passages over documents."""
+def bm25(k1: float = 1.5, b: float = 0.75, name: str = "scored", by: str | None = None, queries: tuple[str, str, str] = ("benchmark", "item_id", "text")) -> str:
+    """CTEs ending in ``name`` ([by,] qid, doc_id, score) for queries (table, key, text), passages of the benchmark at first, over documents."""
     part = f"{by} AS p" if by else "0 AS p"
     return f"""{tokens('documents', 'doc_id', 'text', 'dt')},
-{tokens('benchmark', 'item_id', 'text', 'qt')},
+{tokens(*queries, 'qt')},
 parts AS (SELECT doc_id, {part} FROM documents),
 dl AS (SELECT parts.doc_id, any_value(p) AS p, count(dt.term) AS dl FROM parts LEFT JOIN dt ON dt.k = parts.doc_id GROUP BY parts.doc_id),
 st AS (SELECT p, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY p),
