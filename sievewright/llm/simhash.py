@@ -13,10 +13,11 @@ tasks. A task sends on a spanning forest of the links it finds, never all pairs.
 
 ``representatives`` keeps one row of each group of texts whose word shingles (five words)
 have a Jaccard similarity of 0.8 or more. Such texts differ by more bits than whole blocks
-can cover, so their fingerprints meet in the buckets of band keys (least hashes of their
-shingles), where they are compared in the same way, with a radius that such pairs keep
-within; what is found is then held against the shingles themselves. See there for what a
-large bucket compares.
+can cover, so their fingerprints, here of the set of their shingles, meet in the buckets of
+band keys (least hashes of their shingles) and are compared there in tiles; what is found is
+held against the shingles themselves. First each text is compared with leaders only, which
+links most of a large group; then all pairs of a bucket that are not in one group yet are
+compared, so a large group of copies costs little and no pair is left out. See there.
 
 Null, empty and blank texts have fingerprint 0 and are linked like any other;
 repeated rows share a component; an empty table gives no rows. A null doc_id is no
@@ -43,12 +44,15 @@ SHINGLE = 4
 RADIUS = 4
 #: Fingerprints compared as one block; larger buckets are dealt out in pairs of tiles.
 TILE = 2048
-#: Of similar texts: words of a shingle, the least Jaccard similarity, and the bits that such texts' fingerprints keep within.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 20
+#: Of similar texts: words of a shingle, and the least Jaccard similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits by which texts differ at most to be held against one another: a bit of the fingerprints of two sets at 0.8
+#: differs with a probability of 0.19 at most, so more than 32 bits do with one of about 1e-8; and to follow a leader.
+SIMILAR_RADIUS, LEAD_RADIUS = 32, 20
 #: Band keys of a text and the least hashes that make one: a pair at 0.8 shares none with a probability of 3e-5.
 BANDS, ROWS = 20, 4
-#: Classes of a bucket that are all compared with one another, and classes of a part of a larger one.
-ALL_PAIRS, PART_ROWS = 64, 100_000
+#: Classes of a part of a large bucket in the first pass.
+PART_ROWS = 100_000
 _TIE, _NTH = "simhash: tie", "simhash: nth"
 
 
@@ -251,88 +255,118 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, tie, cls, fp, keys) from (doc_id, text, tie): cls names the set of a text's shingles, keys are its bands."""
+    """Rows (doc_id, tie, cls, fp, n, keys) from (doc_id, text, tie): cls names the set of a text's shingles, fp is its fingerprint, n their number, keys are its bands."""
     import xxhash
 
     for batch in batches:
-        classes, prints, keys = [], [], []
+        classes, prints, sizes, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
-            hashes = shingle_hashes(text)
+            distinct = np.unique(shingle_hashes(text))
             ones = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 65536):
-                ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            prints.append(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
-            distinct = np.unique(hashes)
+            for at in range(0, len(distinct), 65536):
+                ones += np.unpackbits(distinct[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            prints.append(np.packbits((2 * ones > len(distinct)).astype(np.uint8), bitorder="little").view(np.int64)[0])
             classes.append(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64) if len(distinct) else 0)
+            sizes.append(len(distinct))
             keys.append(band_keys(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "cls", "fp", "keys"])
+        columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "cls", "fp", "n", "keys"])
 
 
-def _near(radius: int):
-    """Pairs (a, b) of classes to compare, from rows (key, part, cls, fp, first_cls, first_fp) sorted by key, part and cls."""
+def _followers(radius: int):
+    """Pairs (a, b) of a class and its nearest leader, from rows (key, part, place, cls, fp, first_cls, first_fp) sorted by key, part and place.
+
+    A bucket's first class leads; another that is further from all leaders than the radius becomes one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # key and part; the classes and fingerprints of a small bucket, or the leaders of a large one
-        large = False
-        out: list[np.ndarray] = []
-
-        def pairs_within(cls: np.ndarray, fps: np.ndarray) -> None:
-            count = np.bitwise_count(fps).astype(np.int16)
-            near = (np.abs(count[:, None] - count) <= radius) & (np.bitwise_count(fps[:, None] ^ fps) <= radius)
-            i, j = np.nonzero(np.triu(near, 1))
-            out.append(np.column_stack([cls[i], cls[j]]))
-
-        def lead(cls: np.ndarray, fps: np.ndarray) -> None:
-            """Each class goes with the nearest leader, or becomes one."""
-            nonlocal held
-            leaders, prints = list(held[0]), list(held[1])
-            for c, f in zip(cls.tolist(), fps.tolist(), strict=True):
-                far = np.bitwise_count(np.array(prints, np.uint64) ^ np.uint64(f))
-                k = int(np.argmin(far))
-                if far[k] > radius:
-                    leaders.append(c)
-                    prints.append(f)
-                elif leaders[k] != c:
-                    out.append(np.array([[leaders[k], c]]))
-            held = np.array(leaders, np.int64), np.array(prints, np.uint64)
-
-        def close() -> None:
-            if held is not None and not large and len(held[0]) > 1:
-                pairs_within(*held)
+        last, leaders, prints, n = None, np.zeros(64, np.int64), np.zeros(64, np.uint64), 0
+        out: list[tuple[int, int]] = []
 
         def sent() -> pa.RecordBatch:
             nonlocal out
-            rows = np.unique(np.sort(np.concatenate([x for x in out if len(x)] or [np.zeros((0, 2), np.int64)]), axis=1), axis=0)
+            rows = np.unique(np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1), axis=0)
             out = []
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(np.ascontiguousarray(rows[:, 0]))], ["a", "b"])
 
         for batch in batches:
-            key, part, cls, fp, first_cls, first_fp = (np.asarray(c) for c in batch.columns)
-            fp, first_fp = fp.view(np.uint64), first_fp.view(np.uint64)
-            starts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(key)], strict=True):
-                if lo == hi:
+            key, part, _, cls, fp, first_cls, first_fp = (np.asarray(c) for c in batch.columns)
+            rows = zip(key.tolist(), part.tolist(), cls.tolist(), fp.view(np.uint64), first_cls.tolist(), first_fp.view(np.uint64), strict=True)
+            for k, p, c, f, lead, lead_fp in rows:
+                if last != (k, p):
+                    last, n = (k, p), 1
+                    leaders[0], prints[0] = lead, lead_fp  # the same leader in every part of the bucket
+                far = np.bitwise_count(prints[:n] ^ f)
+                at = int(np.argmin(far))
+                if far[at] <= radius:
+                    if leaders[at] != c:
+                        out.append((int(leaders[at]), c))
                     continue
-                if last != (key[lo], part[lo]):
-                    close()
-                    last, large = (key[lo], part[lo]), False
-                    held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                if not large and len(held[0]) + hi - lo > ALL_PAIRS:
-                    rest, large = held, True
-                    held = first_cls[lo : lo + 1], first_fp[lo : lo + 1]  # the same leader in every part of the bucket
-                    lead(*rest)
-                if large:
-                    lead(cls[lo:hi], fp[lo:hi])
-                else:
-                    held = np.concatenate([held[0], cls[lo:hi]]), np.concatenate([held[1], fp[lo:hi]])
+                if n == len(leaders):
+                    leaders, prints = np.concatenate([leaders, leaders]), np.concatenate([prints, prints])
+                leaders[n], prints[n] = c, f
+                n += 1
             if len(out) > 20_000:
                 yield sent()
-        close()
         yield sent()
 
     return run
 
 
+def _apart(radius: int, similarity: float):
+    """Pairs (a, b) of classes of different groups that may be similar, from rows (key, i, j, side, root, cls, fp, n) sorted by key, i, j.
+
+    Their fingerprints are within the radius, and their numbers of shingles allow the similarity.
+    """
+
+    def found(side, root, cls, fps, n) -> np.ndarray:
+        out = []
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else None
+        cols = left if right is None else right
+        order = cols[np.argsort(n[cols], kind="stable")]
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            # by size, only a stretch of the columns can be similar to these rows
+            lo = np.searchsorted(n[order], np.ceil(similarity * n[rows].min() - 1e-9))
+            hi = np.searchsorted(n[order], np.floor(n[rows].max() / similarity + 1e-9), "right")
+            for step in range(lo, hi, 4096):
+                some = order[step : min(hi, step + 4096)]
+                small, large = np.minimum(n[rows, None], n[some]), np.maximum(n[rows, None], n[some])
+                hit = (root[rows, None] != root[some]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fps[rows, None] ^ fps[some]) <= radius)
+                if right is None:
+                    hit &= cls[rows, None] > cls[some]
+                i, j = np.nonzero(hit)
+                out.append(np.column_stack([cls[rows[i]], cls[some[j]]]))
+        return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        batches = iter(batches)
+        more = True
+        while more:
+            batch = next(batches, None)
+            more = batch is not None
+            if more:
+                cols = [np.asarray(c) for c in batch.columns]
+                if rest is not None:
+                    cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+            else:
+                cols = rest
+            if cols is None or not len(cols[0]):
+                continue
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            starts = [0, *new.tolist()]
+            ends = [*new.tolist(), len(cols[0])]
+            whole = len(starts) - 1 if more else len(starts)
+            pairs = [found(*(c[lo:hi] for c in (cols[3], cols[4], cols[5], cols[6].view(np.uint64), cols[7]))) for lo, hi in zip(starts[:whole], ends[:whole], strict=True) if hi - lo > 1]
+            rows = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(np.ascontiguousarray(rows[:, 0]))], ["a", "b"])
+            rest = [c[starts[-1] :] for c in cols]
+
+    return run
+
+
 def _overlapping(similarity: float):
     """Pairs (a, b) whose shingle sets are similar enough, from (a, b, left, right) with sorted hashes as binaries."""
 
@@ -348,23 +382,8 @@ def _overlapping(similarity: float):
     return run
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): classes whose texts have a similarity of ``similarity`` or more.
-
-    distinct: (cls, fp, keys). texts: (cls, text) of each class. In a bucket of up to ALL_PAIRS classes every pair
-    within SIMILAR_RADIUS bits is compared exactly. In a larger one a class is compared with its nearest leader:
-    the first class, or another that was further from all leaders than the radius; so its pairs grow with its
-    classes. Very large buckets are dealt out in parts that share the first leader.
-    """
-    spark = distinct.sparkSession
-    each = written(distinct.select(F.explode("keys").alias("key"), "cls", "fp"), "bands")
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "fp")).alias("first")).where("n > 1")
-    met = dealt_join(each, written(counts, "shared-bands"), "key")
-    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / PART_ROWS)).cast("int")
-    rows = met.select("key", part.alias("part"), "cls", "fp", F.col("first.cls").alias("first_cls"), F.col("first.fp").alias("first_fp"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "cls").mapInArrow(_near(SIMILAR_RADIUS), "a long, b long")
-    pairs = written(near.distinct(), "similar-pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingles are similar enough; pairs is a written table, texts are (cls, text)."""
     asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,6 +401,40 @@ def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
     return both.select("a", "b", "left", "right").mapInArrow(_overlapping(similarity), "a long, b long")
 
 
+def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(a, b): links of classes whose texts have a similarity of ``similarity`` or more, enough to connect all that are so linked.
+
+    distinct: (cls, fp, n, keys). texts: (cls, text) of each class. A first pass compares each class of a bucket with
+    its nearest leader; a bucket's leaders differ from band to band, and very large buckets are dealt out in parts
+    that share the first leader. What is similar joins groups. A second pass compares all pairs of a bucket that are
+    in different groups by then, in pairs of tiles where the bucket is large; a bucket of one group is done. Pairs
+    of the second pass are those that no group spares: as many as there are texts of different groups which share a
+    band key, have about as many shingles and fingerprints within SIMILAR_RADIUS.
+    """
+    spark = distinct.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = written(distinct.select(F.explode("keys").alias("key"), "cls", "fp", "n"), "bands")
+    place = F.xxhash64("key", "cls")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(place.alias("place"), "cls", "fp")).alias("first")).where("size > 1")
+    shared = written(dealt_join(each, written(counts, "shared-bands"), "key").select("key", "cls", "fp", "n", "size", "first"), "shared")
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PART_ROWS)).cast("int")
+    rows = shared.select("key", part.alias("part"), place.alias("place"), "cls", "fp", F.col("first.cls").alias("first_cls"), F.col("first.fp").alias("first_fp"))
+    near = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "place").mapInArrow(_followers(LEAD_RADIUS), "a long, b long")
+    first = written(_verified(written(near.distinct(), "led-pairs"), texts, similarity), "first-links")
+
+    groups = written(components(first), "first-groups")
+    named = written(dealt_join(shared.drop("first"), groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
+    open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = dealt_join(named, written(open_.withColumn("open", F.lit(True)), "open-bands"), "key").drop("open")
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    own = left.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("tiles")).cast("int"))
+    dealt = own.select("key", "root", "cls", "fp", "n", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "root", "cls", "fp", "n")
+    apart = tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_apart(SIMILAR_RADIUS, similarity), "a long, b long")
+    more = _verified(written(apart.distinct(), "open-pairs"), texts, similarity)
+    return first.unionByName(more)
+
+
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts, whole: that with the smallest doc_id, null ids last, and of those with one id that with the least hash of its columns.
 
@@ -396,9 +449,9 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     tie = F.xxhash64(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{c}`").isNull() for c in names))
     text = F.col("text").cast("string").cast("binary")
     tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie"))
-    prints = written(tied.mapInArrow(_signed, "doc_id long, tie long, cls long, fp long, keys array<long>"), "signed")
+    prints = written(tied.mapInArrow(_signed, "doc_id long, tie long, cls long, fp long, n long, keys array<long>"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    distinct = written(prints.groupBy("cls").agg(F.min(order).alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
+    distinct = written(prints.groupBy("cls").agg(F.min(order).alias("least"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "classes")
     least = distinct.select("cls", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"))
     texts = tied.select("text", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).join(least, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
     roots = components(similar_links(distinct.where(F.size("keys") > 0), texts, similarity))

@@ -120,11 +120,12 @@ def test_odd_rows(spark):
     assert simhash.op2_simhash(df.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("all_pairs", [64, 4])
-def test_similar_texts(spark, monkeypatch, all_pairs):
-    """Groups at 0.8 against brute force, with reworded copies on both sides of it, in small and in large buckets."""
-    monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
-    monkeypatch.setattr(simhash, "PART_ROWS", 5)
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_similar_texts(spark, monkeypatch, tile):
+    """Groups at 0.8 are those of brute force, with reworded copies on both sides of it, in whole buckets and in tiles."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 5 if tile == 4 else 100_000)
+    real = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda d, t, s: real(d, t, s, tile))
     rng = random.Random(3)
     texts = {0: None, 1: "", 2: " \n ", 3: "one two", 4: "One  two", 5: "one two three"}
     for c in range(25):
@@ -137,10 +138,43 @@ def test_similar_texts(spark, monkeypatch, all_pairs):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want, got = similar(texts), {r.doc_id for r in simhash.representatives(df).collect()}
     assert 30 < len(set(want.values())) < len(texts)
-    if all_pairs == 64:
-        assert got == set(want.values())
-    else:  # a large bucket compares with leaders: no group is joined that is none, and nearly all links are found
-        assert set(want.values()) <= got and len(got) <= 1.02 * len(set(want.values())) + 1
+    assert got == set(want.values())
+
+
+def test_a_large_bucket_of_many_groups(spark):
+    """500 different texts around one: links by way of others are found though no leader has both ends."""
+    rng = random.Random(11)
+    centre = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(500):
+        own = list(centre)
+        for at in rng.sample(range(len(own)), rng.randrange(1, 9)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    want = set(similar(texts).values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert 5 < len(want) < 400 and got == want
+
+
+def test_repeated_shingles(spark):
+    """A text that repeats its passage many times has nearly the same set of shingles as one that has it once."""
+    passage, tail = " ".join(f"p{i}" for i in range(60)), " ".join(f"t{i}" for i in range(7))
+    texts = {1: f"{passage} {tail}", 2: f"{passage} " * 60 + tail, 3: f"other {tail} words"}
+    want = set(similar(texts).values())
+    got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert want == {1, 3} and got == want
+
+
+def test_short_texts_near_the_limit(spark):
+    """Pairs of sets of 4 and 5 shingles at exactly 0.8, whose fingerprints differ by many bits."""
+    texts = {}
+    for i in range(400):
+        words = [f"a{i}x{k}" for k in range(9)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[:-1])
+    want = set(similar(texts).values())
+    got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert len(want) == 400 and len(got) - len(want) <= 1 and want <= got  # a pair shares no band with a probability of 3e-5
 
 
 def test_band_keys_of_similar_sets():
