@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,20 +122,55 @@ def deltas(summary: DataFrame, strategy: str, baseline: str, metrics: list[str])
     return rows.select(strategy, *metrics, *(F.round(F.col(m) - F.col(f"_{m}"), 9).alias(f"delta_{m}") for m in metrics))
 
 
-def paired_bootstrap(pairs: DataFrame, key: str, base: str, candidate: str, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """(n, mean_delta, ci_low, ci_high) of candidate - base over questions with both values.
+#: Shares below which a Poisson variable of mean 1 is 0, at most 1, and so on, in units of 2**-32.
+POISSON = tuple(int(c * 2**32) for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
+_DRAWN = 128
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit integer hash of 32-bit integers, held as 64-bit ones."""
+    low = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & low
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
+
 
-    Draws are Poisson weights of a hash of (seed, round, question), so each row is seen
-    once and nothing is collected; the rounds are summed in each task.
+def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(by, ci_low, ci_high): the 95 % interval of the mean of a value over resampled questions, rounded to 6 places.
+
+    A question's weight in a round is a Poisson variable made of a hash of (seed, round, question), so it is the same
+    wherever the question lies. Each task sums up its questions, a block at a time, and sends ``rounds`` sums a group.
+    Null values take no part.
     """
-    rows = pairs.select((F.col(candidate) - F.col(base)).alias("d"), F.xxhash64(F.col(key).cast("string")).alias("i")).where("d is not null")
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", "i"), F.lit(1 << 30)) / float(1 << 30)
-    cumulative = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
-    weight = sum(F.when(u >= c, 1).otherwise(0) for c in cumulative)
-    drawn = rows.select("d", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = drawn.groupBy("round").agg(ratio(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    number = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long")
+    each = rows.where(F.col(value).isNotNull()).select(*by, number.alias("i"), F.col(value).cast("double").alias("d"))
+    kinds = dict(each.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets = (np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B9) + np.uint64(seed)) & np.uint64(0xFFFFFFFF)
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for group, some in frame.groupby(by, dropna=False) if by else [((), frame)]:
+                total = sums.setdefault(tuple(group), np.zeros((2, rounds)))
+                i, d = some.i.to_numpy().astype(np.uint64), some.d.to_numpy()
+                for at in range(0, len(i), _DRAWN):
+                    u = mixed((i[at : at + _DRAWN, None] + offsets) & np.uint64(0xFFFFFFFF))
+                    weight = np.searchsorted(np.array(POISSON, np.uint64), u.ravel(), "right").reshape(u.shape)
+                    total += np.stack([d[at : at + _DRAWN] @ weight, weight.sum(axis=0)])
+        for group, total in sums.items():
+            yield pd.DataFrame(dict(zip(by, group, strict=True)) | {"round": np.arange(1, rounds + 1), "wd": total[0], "w": total[1]})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "round int, wd double, w double"])
+    means = each.mapInPandas(run, schema).groupBy(*by, "round").agg(ratio(F.sum("wd"), F.sum("w")).alias("m"))
+    at = lambda q: F.round(F.percentile("m", F.lit(q)), 6)  # noqa: E731  ``rounds`` values a group
+    return means.groupBy(*by).agg(at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, base: str, candidate: str, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(n, mean_delta, ci_low, ci_high) of candidate - base over questions with both values."""
+    rows = pairs.select(key, (F.col(candidate) - F.col(base)).alias("d")).where("d is not null")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_delta"))
-    return total.crossJoin(F.broadcast(means.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))))  # one row each
+    return total.crossJoin(F.broadcast(bootstrap(rows, key, "d", [], rounds, seed)))  # one row each
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:

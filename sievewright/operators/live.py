@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold
-from . import fusion
+from . import fusion, patterns
 from .common import top
 
 SYMBOL_WEIGHT, TEXT_WEIGHT = 1.5, 1.0
@@ -47,10 +47,10 @@ def merged_hits(symbol_rows: DataFrame, text_rows: DataFrame, k: int, item: str
 def commits(history: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, commit_sha, content, score, rank): commits (commit_sha, committed_at, subject) whose subject holds a query's text, the last first.
 
-    Queries are a stated set; their texts are matched whatever the case.
+    Texts are matched whatever the case, by way of an index of their runs of characters.
     """
     asked = queries.where((F.trim("query") != "") & (F.length("query") <= 512) & ~F.col("query").rlike("[\\x00\\r\\n]")).select("qid", F.trim("query").alias("query"))
-    found = history.join(F.broadcast(asked), F.contains(F.lower("subject"), F.lower("query")))
+    found = patterns.holding(history, "commit_sha", "subject", asked).join(history, "commit_sha")
     rows = top(found, ["qid"], [F.desc("committed_at"), F.asc("commit_sha")], min(k, MAX_COMMITS))
     content = F.concat(F.lit("Commit "), "commit_sha", F.lit(": "), "subject", F.lit(" ("), F.col("committed_at").cast("string"), F.lit(")"))
     return rows.select("qid", "commit_sha", content.alias("content"), (1.0 / F.col("rank")).alias("score"), "rank")

@@ -6,14 +6,16 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, top
-from .workspace import new_path
+from .common import BROADCAST_ROWS, small, top
+from .workspace import new_path, written
 
 #: Hits of one term, characters of a file that is searched, and characters of a term, at most.
 MAX_HITS, MAX_FILE, MAX_TERM = 100, 1_000_000, 512
+#: Characters of the runs by which texts are looked up.
+GRAM = 3
 
 
 def usable(terms: DataFrame) -> DataFrame:
@@ -81,6 +83,36 @@ def term_hits(files: DataFrame, terms: DataFrame, limit: int = MAX_HITS, allowed
     return top(hits, ["term"], [F.asc("path"), F.asc("line_no")], limit, "_n").drop("_n")
 
 
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The different runs of so many characters."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+
+
+def holding(rows: DataFrame, item: str, text: str, queries: DataFrame) -> DataFrame:
+    """(qid, item) of every text that holds a query's text (qid, query), whatever the case; empty and null ones hold and are held by none.
+
+    Each query is looked up by the run of GRAM characters (or of all its characters, if it has fewer) that the fewest
+    texts have, by an equi-join; what meets there is compared. Runs of texts that no query has are left out first.
+    """
+    low = rows.select(F.col(item).alias("_item"), F.lower(text).alias("_text"))
+    asked = queries.select("qid", F.lower("query").alias("q")).where(F.length("q") > 0)
+    sizes = sorted(r.n for r in asked.select(F.least(F.length("q"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM numbers at most
+    if not sizes:
+        return asked.select("qid", F.lit(None).cast(dict(rows.dtypes)[item]).alias(item)).where("false")
+    own = F.coalesce(*(F.when(F.least(F.length("q"), F.lit(GRAM)) == n, _grams(F.col("q"), [n])) for n in sizes))
+    grams = asked.select("qid", "q", F.explode(own).alias("gram"))
+    posted = low.select("_item", F.explode(_grams(F.col("_text"), sizes)).alias("gram")).join(small(grams.select("gram").distinct()), "gram", "left_semi")
+    posted = written(posted, "grams")
+    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(small(counts), "gram").groupBy("qid", "q").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "gram")).alias("least"))
+    # a query one of whose runs no text has is held by none
+    whole = grams.groupBy("qid", "q").agg(F.count(F.lit(1)).alias("runs"))
+    first = rarest.join(whole, ["qid", "q"]).where("found = runs").select("qid", "q", F.col("least.gram").alias("gram"))
+    met = posted.join(small(first), "gram").select("qid", "q", "_item").distinct()
+    return met.join(low.where("_text is not null"), "_item").where(F.contains("_text", "q")).select("qid", F.col("_item").alias(item)).distinct()
+
+
 def query_hits(files: DataFrame, terms: DataFrame, k: int, allowed: str | None = None) -> DataFrame:
     """(qid, term, path, line_no, column, line, rank) of the terms (qid, place, term) of queries, k lines a query.
 

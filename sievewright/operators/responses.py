@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import ratio
+from .evaluate import bootstrap, ratio
+from .scoring import logical_source, suffixes
 
 # Metrics that a judge gives, and those computed from retrieval alone.
 JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_correctness")
@@ -73,6 +74,36 @@ def run_coverage(records: DataFrame, scores: DataFrame, attempts: DataFrame, lea
     return rows.withColumn("complete", complete).withColumn("publishable", complete & (F.col("judged_coverage") >= least))
 
 
+def retrieval_scores(samples: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, status, hit, required_claim_recall, mrr, source_precision, option_recall) of each sample; null where it is not scored.
+
+    samples: (id, answerable, retrieval_failed); claims: (id, claim_id, required, sources); results: (id, rank, source).
+    A claim is supported by any of its sources; a source is matched by itself or by a path that ends in it. Only required
+    claims count. Results of one logical source are one, the first. A sample is not_applicable if it cannot be answered,
+    failed if its retrieval failed, it has no required claim, or a required claim has no source; else scored.
+    """
+    first = results.groupBy("id", logical_source(F.col("source")).alias("key")).agg(F.min("rank").alias("rank"))
+    found = first.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("rank", "key")))
+    shown = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_shown"))
+    required = claims.where("required")
+    options = required.select("id", "claim_id", F.explode("sources").alias("source")).select("id", "claim_id", logical_source(F.col("source")).alias("key"))
+    wanted = required.groupBy("id").agg(F.count_distinct("claim_id").alias("n_claims"), F.bool_or(F.coalesce(F.size("sources"), F.lit(0)) <= 0).alias("bare"))
+    asked = options.groupBy("id").agg(F.count_distinct("key").alias("n_options"))
+    met = options.join(found.select("id", "place", F.explode(suffixes(F.col("key"))).alias("key")), ["id", "key"])
+    got = met.groupBy("id").agg(F.count_distinct("claim_id").alias("m_claims"), F.count_distinct("key").alias("m_options"), F.count_distinct("place").alias("m_shown"), F.min("place").alias("first"))
+    rows = samples.select("id", "answerable", "retrieval_failed")
+    for part in (wanted, asked, shown, got):
+        rows = rows.join(part, "id", "left")
+    rows = rows.fillna(0, ["n_claims", "n_options", "n_shown", "m_claims", "m_options", "m_shown"])
+    bad = F.coalesce("retrieval_failed", F.lit(False)) | (F.col("n_claims") == 0) | F.coalesce("bare", F.lit(False))
+    status = F.when(~F.coalesce("answerable", F.lit(False)), "not_applicable").when(bad, "failed").otherwise("scored")
+    only = lambda x: F.when(status == "scored", F.round(x, 9))
+    return rows.select(
+        "id", status.alias("status"), only(F.when(F.col("m_shown") > 0, 1.0).otherwise(0.0)).alias("hit"), only(ratio(F.col("m_claims"), F.col("n_claims"))).alias("required_claim_recall"),
+        only(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), only(ratio(F.col("m_shown"), F.col("n_shown"))).alias("source_precision"), only(ratio(F.col("m_options"), F.col("n_options"))).alias("option_recall"),
+    )
+
+
 def numbered_attempts(attempts: DataFrame) -> DataFrame:
     """Attempts with their number for each question and metric, by time."""
     return attempts.drop("number").withColumn("number", F.row_number().over(Window.partitionBy("id", "metric").orderBy("attempted_at", "code")))
@@ -92,12 +123,13 @@ def resume(questions: DataFrame, done: DataFrame, experiment: str, key: str = "i
 
 
 def paired(baseline: DataFrame, candidate: DataFrame, metrics: list[str], key: str = "id") -> DataFrame:
-    """(metric, n, mean_delta, n_better, n_worse) of candidate - baseline over questions where both have a value."""
+    """(metric, n, mean_delta, ci_low, ci_high, n_better, n_worse) of candidate - baseline over questions where both have a value."""
     b = baseline.select(key, *(F.col(m).alias(f"_{m}") for m in metrics))
     rows = candidate.join(b, key)
     cols = [x for m in metrics for x in (F.lit(m), (F.col(m) - F.col(f"_{m}")).cast("double"))]
-    long = rows.select(F.stack(F.lit(len(metrics)), *cols).alias("metric", "delta"))
-    return long.groupBy("metric").agg(F.count("delta").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("n_better"), F.count_if(F.col("delta") < 0).alias("n_worse"))
+    long = rows.select(key, F.stack(F.lit(len(metrics)), *cols).alias("metric", "delta"))
+    summed = long.groupBy("metric").agg(F.count("delta").alias("n"), F.round(F.avg("delta"), 9).alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("n_better"), F.count_if(F.col("delta") < 0).alias("n_worse"))
+    return summed.join(bootstrap(long, key, "delta", ["metric"]), "metric", "left")
 
 
 def unpaired(baseline: DataFrame, candidate: DataFrame, key: str = "id") -> DataFrame:

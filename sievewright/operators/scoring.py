@@ -2,8 +2,8 @@
 
 Tables are in long form: ``truth`` (sample_id, kind, source) with kind primary or
 supporting, ``results`` (strategy, sample_id, rank, source, symbol, live) and
-``samples`` with a row for each question. Suffix matches of sources are joined within a
-question, whose few dozen rows bound the comparison.
+``samples`` with a row for each question. A path is matched by every end of it, so sources
+meet by an equi-join of the ends with what is expected.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold
-from .evaluate import ratio
+from .common import small
+from .evaluate import percentiles, ratio
+from .workspace import written
 
 RAW_FACTOR = 3
 # Other names of the routes.
@@ -57,6 +59,22 @@ def source_match(expected: Column, actual: Column) -> Column:
     return (expected == actual) | ~expected.rlike("^https?://") & actual.endswith(F.concat(F.lit("/"), expected))
 
 
+def logical_source(x: Column) -> Column:
+    """One spelling of a source whose place in a file does not matter: of a path its parts in lower case without a fragment; a URL keeps query and fragment."""
+    text = F.replace(F.trim(x), F.lit("\\"), F.lit("/"))
+    part = lambda k: F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]+)?(#.+)?", k)
+    path = F.regexp_replace(part(3), "/+$", "")
+    url = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), part(4), part(5))
+    parts = F.filter(F.split(F.substring_index(text, "#", 1), "/"), lambda p: (p != "") & (p != "."))
+    return F.when(F.lower(part(1)).isin("http", "https"), url).otherwise(casefold(F.array_join(parts, "/")))
+
+
+def suffixes(key: Column) -> Column:
+    """The expected keys that a source key matches: itself and every end of whole parts, none of which is a URL."""
+    parts = F.split(key, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def symbol_match(expected: Column, actual: Column) -> Column:
     """Whether a symbol is the expected one, or a member of that name."""
     e, a = F.trim(expected), F.trim(actual)
@@ -93,7 +111,8 @@ def scored(samples: DataFrame, truth: DataFrame, results: DataFrame, strategies:
     by = ["strategy", "sample_id"]
     found = first_of_each_source(results, k)
     wanted = truth.select("sample_id", "kind", source_key(F.col("source")).alias("want")).distinct()
-    pairs = found.join(wanted, "sample_id").where(source_match(F.col("want"), F.col("key")))
+    ends = found.withColumn("want", F.explode(suffixes(F.col("key"))))  # a match is one of its ends, so the join is on equal keys
+    pairs = ends.join(wanted, ["sample_id", "want"])
     graded = pairs.groupBy(*by, "place").agg(F.max(F.when(F.col("kind") == "primary", 2).otherwise(1)).alias("grade"), F.max("live").alias("live"))
     gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("place") + 1.0)
     got = graded.groupBy(*by).agg(
@@ -104,7 +123,7 @@ def scored(samples: DataFrame, truth: DataFrame, results: DataFrame, strategies:
     matched = pairs.groupBy(*by).agg(of("primary").alias("m1"), of("supporting").alias("m2"))
     sizes = wanted.groupBy("sample_id").agg(F.count_if(F.col("kind") == "primary").alias("n1"), F.count_if(F.col("kind") == "supporting").alias("n2"))
     shown = found.groupBy(*by).agg(F.count(F.lit(1)).alias("shown"))
-    rows = samples.crossJoin(F.broadcast(strategies)).join(sizes, "sample_id", "left")  # a handful of strategies
+    rows = samples.crossJoin(small(strategies)).join(sizes, "sample_id", "left")  # a handful of strategies
     for part in (matched, got, shown):
         rows = rows.join(part, by, "left")
     rows = rows.fillna(0, ["n1", "n2", "m1", "m2", "dcg", "cited", "shown"]).fillna(False, ["live_hit"])
@@ -124,7 +143,7 @@ def scored(samples: DataFrame, truth: DataFrame, results: DataFrame, strategies:
 def symbol_recall(symbols: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """(strategy, sample_id, n_symbols, n_matched): asked symbols (sample_id, symbol) that the first k results name."""
     named = results.where((F.col("rank") <= k) & F.col("symbol").isNotNull()).select("strategy", "sample_id", F.col("symbol").alias("has"))
-    asked = symbols.distinct().join(F.broadcast(results.select("strategy").distinct()))  # a handful of strategies
+    asked = symbols.distinct().join(small(results.select("strategy").distinct()))
     hits = asked.join(named, ["strategy", "sample_id"]).where(symbol_match(F.col("symbol"), F.col("has"))).select("strategy", "sample_id", "symbol").distinct().withColumn("hit", F.lit(1))
     return asked.join(hits, ["strategy", "sample_id", "symbol"], "left").groupBy("strategy", "sample_id").agg(F.count(F.lit(1)).alias("n_symbols"), F.count("hit").alias("n_matched"))
 
@@ -136,23 +155,26 @@ def strategy_summary(rows: DataFrame) -> DataFrame:
     symbol_recall. A metric that does not apply to a question is left out of its mean; percentiles are
     exact and interpolated.
     """
+    rows = written(rows, "scored")  # the percentiles read it several times
     mean = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 9)
     answerable, refused = F.col("answerable"), F.col("refused")
     routed = ~F.col("oracle_route") & (F.col("wanted_route") != "")
     tp, fp, un, an = F.count_if(~answerable & refused), F.count_if(answerable & refused), F.count_if(~answerable), F.count_if(answerable)
     right = F.count_if(~answerable & refused & F.coalesce(F.col("wanted_reason") == F.col("found_reason"), F.lit(False)))
     live = F.when(F.col("wanted_route").isin("implementation", "comparison"), F.col("live_hit").cast("double"))
-    at = lambda q: F.round(F.coalesce(F.percentile("latency_ms", F.lit(q)), F.lit(0.0)), 6)
     rounded = lambda x: F.round(x, 9)
-    return rows.groupBy("strategy").agg(
+    summed = rows.groupBy("strategy").agg(
         rounded(F.avg(F.when(routed, (F.col("wanted_route") == F.col("found_route")).cast("double")))).alias("routing_accuracy"),
         *(mean(c).alias(c) for c in ("primary_recall", "hit", "supporting_recall", "ndcg", "citation_precision", "symbol_recall")),
         rounded(F.coalesce(F.avg(live), F.lit(0.0))).alias("live_hit"), mean("reciprocal_rank").alias("mrr"),
         rounded(ratio(tp, un)).alias("refusal_recall"), rounded(ratio(fp, an)).alias("answerable_refusal_rate"), rounded(ratio(tp, tp + fp)).alias("refusal_precision"),
         rounded(ratio(2 * tp, tp + fp + un)).alias("refusal_f1"), rounded(ratio(right, tp)).alias("refusal_reason_accuracy"), rounded(ratio(right, un)).alias("refusal_reason_recall"),
-        mean("latency_ms").alias("mean_latency_ms"), at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"), at(0.99).alias("p99_latency_ms"),
+        mean("latency_ms").alias("mean_latency_ms"),
         F.count(F.lit(1)).alias("question_count"), F.count_if(routed).alias("routing_eligible"), F.count("primary_recall").alias("file_eligible"), F.count("symbol_recall").alias("symbol_eligible"), un.alias("unanswerable_count"),
     )
+    latency = percentiles(rows, "latency_ms", ["strategy"]).select("strategy", "p50", "p95", "p99")
+    out = summed.join(latency, "strategy", "left")
+    return out.withColumnsRenamed({p: f"{p}_latency_ms" for p in ("p50", "p95", "p99")}).fillna(0.0, [f"{p}_latency_ms" for p in ("p50", "p95", "p99")])
 
 
 def route_macro_f1(rows: DataFrame) -> DataFrame:

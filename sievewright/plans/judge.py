@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import responses
+from ..operators import evaluate, responses
+from . import retrieval
+from .corpus import _TOP
 from .portable import ctes, table
 
 _ID = "conv_id * 100 + turn"
@@ -68,6 +70,20 @@ def paired_metrics(spark, d):
     return responses.paired(base, base.select("id", *(F.when(F.col("id") % 3 > 0, F.col(m) * F.col(m)).alias(m) for m in responses.JUDGED)), list(responses.JUDGED))
 
 
+def response_sources(spark, d):
+    """Passages are questions; each document that holds one is a claim, supported by its path without the folder; the best documents by BM25 are what was retrieved."""
+    docs = retrieval.placed(spark, d).select("doc_id", "path")
+    n = F.col("doc_id") % 3
+    shown = F.when(n == 0, F.concat(F.lit("./"), "path", F.lit("#symbol:x"))).when(n == 1, F.upper("path")).otherwise(F.col("path"))
+    results = retrieval.bm25_topk(spark, d, k=10).join(docs, "doc_id").select(F.col("qid").alias("id"), "rank", shown.alias("source"))
+    held = retrieval._relevant(spark, d).join(docs, "doc_id")
+    sources = F.array(F.concat(F.lit("lib//"), F.substring_index("path", "/", -1)), F.concat(F.lit("gone/"), "doc_id", F.lit(".md")))
+    claims = held.select(F.col("qid").alias("id"), F.col("doc_id").alias("claim_id"), (F.col("doc_id") % 5 != 0).alias("required"), sources.alias("sources"))
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"))
+    samples = asked.join(claims.select("id").distinct().withColumn("answerable", F.lit(True)), "id", "left").withColumn("retrieval_failed", F.col("id") % 11 == 10)
+    return responses.retrieval_scores(samples, claims, results)
+
+
 def unpaired_questions(spark, d):
     rows = table(spark, d, RECORDS)
     return responses.unpaired(rows.where("id % 5 <> 0"), rows.where("id % 7 <> 0"))
@@ -85,7 +101,7 @@ def question_leaks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (response_metrics, response_failures, response_tokens, response_coverage, attempt_numbers, judge_retries, resume_questions, paired_metrics, unpaired_questions, question_strata, question_leaks)
+    for f in (response_metrics, response_failures, response_tokens, response_coverage, attempt_numbers, judge_retries, resume_questions, response_sources, paired_metrics, unpaired_questions, question_strata, question_leaks)
 }
 
 _IN = "WITH " + ctes(records=RECORDS, scores=SCORES, attempts=ATTEMPTS)
@@ -106,7 +122,21 @@ SELECT *, round(judge_executed::DOUBLE / judge_slots, 9) AS execution_coverage,
     "attempt_numbers": f"{_IN} SELECT id, metric, attempted_at, coalesce(code, 'none') AS code, row_number() OVER (PARTITION BY id, metric ORDER BY attempted_at, code NULLS FIRST)::INTEGER AS number FROM attempts",
     "judge_retries": f"{_IN}, {_OK}, s AS (SELECT id, unnest([{_J[1:-1]}]) AS metric FROM ok WHERE judged), t AS (SELECT id, metric, count(*) AS tries FROM attempts GROUP BY 1, 2) SELECT s.id, s.metric, coalesce(tries, 0) AS tries FROM s LEFT JOIN t USING (id, metric) WHERE coalesce(tries, 0) < 3 AND NOT EXISTS (SELECT 1 FROM scores x WHERE x.id = s.id AND x.metric = s.metric AND x.value IS NOT NULL)",
     "resume_questions": f"{_IN} SELECT id FROM records WHERE NOT (generated AND id % 2 = 0)",
-    "paired_metrics": f"{_IN}, p AS (SELECT metric, CASE WHEN id % 3 > 0 THEN value * value - value END AS d FROM scores WHERE family = 'judged') SELECT metric, count(d) AS n, round(avg(d), 9) AS mean_delta, count(*) FILTER (d > 0) AS n_better, count(*) FILTER (d < 0) AS n_worse FROM p GROUP BY 1",
+    "paired_metrics": f"""{_IN}, p AS (SELECT id, metric, CASE WHEN id % 3 > 0 THEN value * value - value END AS d FROM scores WHERE family = 'judged'),
+i AS (SELECT metric, d, ('0x' || substr(sha256(id::VARCHAR), 1, 8))::UBIGINT AS i FROM p WHERE d IS NOT NULL), r AS (SELECT (unnest(range(1, {evaluate.BOOTSTRAP_ROUNDS + 1})))::UBIGINT AS r),
+h0 AS (SELECT metric, d, r, (i + r * 2654435769 + {evaluate.BOOTSTRAP_SEED}) % 4294967296 AS x FROM i, r), h1 AS (SELECT metric, d, r, (xor(x, x >> 16) * 2146121005) % 4294967296 AS x FROM h0), h2 AS (SELECT metric, d, r, (xor(x, x >> 15) * 2221713035) % 4294967296 AS x FROM h1),
+w AS (SELECT metric, d, r, {' + '.join(f'(u >= {t})::INTEGER' for t in evaluate.POISSON)} AS w FROM (SELECT metric, d, r, xor(x, x >> 16) AS u FROM h2)), m AS (SELECT metric, r, coalesce(sum(w * d) / nullif(sum(w), 0), 0.0) AS m FROM w GROUP BY 1, 2),
+c AS (SELECT metric, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY 1)
+SELECT * FROM (SELECT metric, count(d) AS n, round(avg(d), 9) AS mean_delta, count(*) FILTER (d > 0) AS n_better, count(*) FILTER (d < 0) AS n_worse FROM p GROUP BY 1) LEFT JOIN c USING (metric)""",
+    "response_sources": f"""WITH {retrieval._BM25}, {retrieval._REL}, t10 AS ({_TOP.format(k=10)}), pa AS (SELECT doc_id, source || CASE WHEN lang = 'es' THEN '/tests/' ELSE '/lib/' END || 'doc_' || doc_id || CASE lang WHEN 'fr' THEN '.py' WHEN 'de' THEN '_test.py' ELSE '.md' END AS path FROM documents),
+fo AS (SELECT qid AS id, lower(path) AS key, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM t10 JOIN pa USING (doc_id)),
+cl AS (SELECT qid AS id, doc_id AS claim_id, unnest(['lib/' || split_part(path, '/', -1), 'gone/' || doc_id || '.md']) AS key FROM rel JOIN pa USING (doc_id) WHERE doc_id % 5 <> 0),
+al AS (SELECT DISTINCT qid AS id FROM rel), wa AS (SELECT id, count(DISTINCT claim_id) AS n_claims, count(DISTINCT key) AS n_options FROM cl GROUP BY 1),
+me AS (SELECT cl.id, count(DISTINCT claim_id) AS m_claims, count(DISTINCT cl.key) AS m_options, count(DISTINCT place) AS m_shown, min(place) AS first FROM cl JOIN fo ON fo.id = cl.id AND (fo.key = cl.key OR ends_with(fo.key, '/' || cl.key)) GROUP BY 1),
+sh AS (SELECT id, count(*) AS n_shown FROM fo GROUP BY 1), sta AS (SELECT item_id AS id, CASE WHEN item_id NOT IN (SELECT id FROM al) THEN 'not_applicable' WHEN item_id % 11 = 10 OR item_id NOT IN (SELECT id FROM wa) THEN 'failed' ELSE 'scored' END AS status FROM benchmark)
+SELECT id, status, CASE status WHEN 'scored' THEN CASE WHEN m_shown > 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS hit, CASE status WHEN 'scored' THEN round(coalesce(m_claims, 0)::DOUBLE / n_claims, 9) END AS required_claim_recall,
+ CASE status WHEN 'scored' THEN round(coalesce(1.0::DOUBLE / first, 0.0), 9) END AS mrr, CASE status WHEN 'scored' THEN round(coalesce(coalesce(m_shown, 0)::DOUBLE / n_shown, 0.0), 9) END AS source_precision, CASE status WHEN 'scored' THEN round(coalesce(m_options, 0)::DOUBLE / n_options, 9) END AS option_recall
+FROM sta LEFT JOIN wa USING (id) LEFT JOIN sh USING (id) LEFT JOIN me USING (id)""",
     "unpaired_questions": f"{_IN} SELECT id, CASE WHEN id % 7 = 0 THEN 'baseline' ELSE 'candidate' END AS only_in FROM records WHERE (id % 5 = 0) <> (id % 7 = 0)",
     "question_strata": f"{_IN} SELECT answerable, route, CASE WHEN route = 'comparison' OR points >= 4 OR sources >= 3 THEN 'hard' WHEN points >= 2 OR sources >= 2 THEN 'medium' ELSE 'easy' END AS difficulty, CASE WHEN NOT answerable THEN 'boundary' WHEN route = 'comparison' THEN 'multi_hop' ELSE 'canonical' END AS variant, count(*) AS n FROM records GROUP BY ALL",
     "question_leaks": f"WITH {ctes(q=QUESTIONS)}, u AS (SELECT 'id' AS kind, id::VARCHAR AS value, split FROM q UNION ALL SELECT 'question', regexp_replace(replace(lower(question), 'ß', 'ss'), '[\\p{{P}}\\p{{Z}}]', '', 'g'), split FROM q) SELECT kind, value, count(*) AS n, count(DISTINCT split) AS n_splits FROM u GROUP BY 1, 2 HAVING count(*) > 1",
