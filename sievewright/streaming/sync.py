@@ -44,6 +44,9 @@ def current(spark: SparkSession, state: str, schema: StructType | str, number: i
 def sync(versions: DataFrame, state: str, changes: str, checkpoint: str, key: str = "doc_id", rev: str = "rev", order: str = "version", parts: int = PARTS) -> StreamingQuery:
     """Apply a stream of document versions to a state table, and append what each batch changed.
 
+    A version whose revision is null is a tombstone: its key goes, if it is there. ``changes`` gets (key, outcome,
+    before, after) of keys that a batch added, updated or deleted, with their revisions; see ``net_changes``.
+
     The state lies in parts by the hash of the key. A batch rewrites the parts that its keys fall into, beside
     those before it (``state``/data/batch=n/part=k), and then says which batch wrote each part last
     (``state``/pointers/batch=n). One that is run again after a failure reads what the batch before it left
@@ -58,10 +61,16 @@ def sync(versions: DataFrame, state: str, changes: str, checkpoint: str, key: st
         before = _pointers(spark, state, number - 1)
         touched = sorted(r.part for r in mine.select("part").distinct().collect())
         old = _read(spark, state, StructType([f for f in rows if f.name != "part"]), {p: before[p] for p in touched if p in before})
-        merged = ingest.upsert(old, mine.drop("part"), key, rev).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        merged.drop("outcome").write.mode("overwrite").partitionBy("part").parquet(f"{state}/data/batch={number}")
-        merged.where("outcome in ('added', 'updated')").select(key, "outcome").write.mode("overwrite").parquet(f"{changes}/batch={number}")
-        after = before | dict.fromkeys(touched, number)
+        gone = mine.where(F.col(rev).isNull()).select(key)
+        merged = ingest.upsert(old, mine.drop("part").where(F.col(rev).isNotNull()), key, rev)
+        was = old.select(F.col(key).alias("_key"), F.col(rev).alias("before"))
+        merged = merged.join(was, F.col(key) == F.col("_key"), "left").drop("_key").join(gone.withColumn("_gone", F.lit(True)), key, "left")
+        merged = merged.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("outcome", F.when(F.col("_gone"), "deleted").otherwise(F.col("outcome")))
+        merged.where("_gone is null").select(key, rev, "part").write.mode("overwrite").partitionBy("part").parquet(f"{state}/data/batch={number}")
+        changed = merged.where("outcome in ('added', 'updated', 'deleted')").select(key, "outcome", "before", F.when(F.col("_gone").isNull(), F.col(rev)).alias("after"))
+        changed.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        filled = {r.part for r in merged.where("_gone is null").select("part").distinct().collect()}  # a part that lost all its rows has no folder
+        after = {part: at for part, at in before.items() if part not in touched} | dict.fromkeys(sorted(filled), number)
         spark.createDataFrame(sorted(after.items()), "part int, at long").coalesce(1).write.mode("overwrite").json(f"{state}/pointers/batch={number}")
         for part, at in _pointers(spark, state, number - 2).items() if number > 1 else ():
             if before.get(part) != at and after.get(part) != at:
@@ -71,6 +80,23 @@ def sync(versions: DataFrame, state: str, changes: str, checkpoint: str, key: st
     return versions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def as_versions(now: DataFrame, before: DataFrame, version: int, key: str = "doc_id", rev: str = "rev") -> DataFrame:
+    """(key, rev, version): what a snapshot says anew against the one before it, with tombstones for the keys that it lacks."""
+    changed = ingest.diff(now, before, key, rev)
+    return changed.join(now.select(key, rev), key, "left").select(key, rev, F.lit(version).cast("long").alias("version"))
+
+
+def net_changes(feed: DataFrame, key: str = "doc_id", after: int = -1, until: int | None = None) -> DataFrame:
+    """(key, change): what the batches of a feed (key, outcome, before, after, batch) came to, those behind ``after`` up to ``until``: added, modified or deleted.
+
+    A key that was changed and changed back, or added and deleted again, has no row.
+    """
+    some = feed.where(F.col("batch") > after) if until is None else feed.where((F.col("batch") > after) & (F.col("batch") <= until))
+    ends = some.groupBy(key).agg(F.min_by("before", "batch").alias("b"), F.max_by("after", "batch").alias("a"))
+    change = F.when(F.col("b").isNull() & F.col("a").isNotNull(), "added").when(F.col("b").isNotNull() & F.col("a").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
+    return ends.select(key, change.alias("change")).where("change is not null")
+
+
 def running(stream: DataFrame, key: str, value: str, idle: str = "1 hour") -> DataFrame:
     """(key, n, total) of each key so far, as each batch changes it: keyed state that is dropped after a key has been idle."""
     kind = dict(stream.dtypes)[key]
