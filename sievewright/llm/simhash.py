@@ -51,8 +51,8 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 SIMILAR_RADIUS, LEAD_RADIUS = 32, 20
 #: Band keys of a text and the least hashes that make one: a pair at 0.8 shares none with a probability of 3e-5.
 BANDS, ROWS = 20, 4
-#: Classes of a part of a large bucket in the first pass.
-PART_ROWS = 100_000
+#: Classes of a part of a large bucket in the first pass, and of a tile in the second, with columns of a product there.
+PART_ROWS, SET_TILE, COLUMNS = 100_000, 512, 4096
 _TIE, _NTH = "simhash: tie", "simhash: nth"
 
 
@@ -313,56 +313,84 @@ def _followers(radius: int):
     return run
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the left shares with each of the right, sets being sorted arrays without repeats.
+
+    Values that one side lacks count nowhere, so they are left out; the others are columns of two 0/1 matrices, whose
+    product is taken a block of columns at a time.
+    """
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    at = [np.searchsorted(both, v) for v in flat]
+    known = [(i < len(both)) & (both[np.minimum(i, max(len(both) - 1, 0))] == v) if len(both) else np.zeros(len(v), bool) for i, v in zip(at, flat, strict=True)]
+    for lo in range(0, len(both), COLUMNS):
+        parts = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            own = known[side] & (at[side] >= lo) & (at[side] < lo + COLUMNS)
+            block = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+            block[rows[side][own], at[side][own] - lo] = 1
+            parts.append(block)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _apart(radius: int, similarity: float):
-    """Pairs (a, b) of classes of different groups that may be similar, from rows (key, i, j, side, root, cls, fp, n) sorted by key, i, j.
+    """Links (a, b) between groups, from rows (key, i, j, side, root, fp, hashes) sorted by key, i, j; hashes are a class's shingles.
 
-    Their fingerprints are within the radius, and their numbers of shingles allow the similarity.
+    Classes of different groups whose fingerprints are within the radius, and whose numbers of shingles allow the
+    similarity, are compared exactly; of the groups that are linked in a bucket, a spanning forest is sent on.
     """
 
-    def found(side, root, cls, fps, n) -> np.ndarray:
-        out = []
+    def found(side, root, fps, hashes) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(h, np.uint64) for h in hashes]
+        n = np.array([len(x) for x in sets])
         left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else None
-        cols = left if right is None else right
-        order = cols[np.argsort(n[cols], kind="stable")]
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out = []
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            # by size, only a stretch of the columns can be similar to these rows
-            lo = np.searchsorted(n[order], np.ceil(similarity * n[rows].min() - 1e-9))
-            hi = np.searchsorted(n[order], np.floor(n[rows].max() / similarity + 1e-9), "right")
-            for step in range(lo, hi, 4096):
-                some = order[step : min(hi, step + 4096)]
+            for step in range(0, len(right), 512):
+                some = right[step : step + 512]
                 small, large = np.minimum(n[rows, None], n[some]), np.maximum(n[rows, None], n[some])
                 hit = (root[rows, None] != root[some]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fps[rows, None] ^ fps[some]) <= radius)
-                if right is None:
-                    hit &= cls[rows, None] > cls[some]
-                i, j = np.nonzero(hit)
-                out.append(np.column_stack([cls[rows[i]], cls[some[j]]]))
-        return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+                r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                if not len(r):
+                    continue
+                both = shared_counts([sets[k] for k in rows[r]], [sets[k] for k in some[c]])
+                size = n[rows[r], None] + n[some[c]]
+                x, y = np.nonzero(hit[np.ix_(r, c)] & (both >= similarity * (size - both) - 1e-6))
+                for a, b in np.unique(np.column_stack([root[rows[r[x]]], root[some[c[y]]]]), axis=0).tolist():
+                    if (p := top(a)) != (q := top(b)):
+                        up[max(p, q)] = min(p, q)
+                        out.append((max(a, b), min(a, b)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        batches = iter(batches)
-        more = True
-        while more:
-            batch = next(batches, None)
-            more = batch is not None
-            if more:
-                cols = [np.asarray(c) for c in batch.columns]
-                if rest is not None:
-                    cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            else:
-                cols = rest
-            if cols is None or not len(cols[0]):
-                continue
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            starts = [0, *new.tolist()]
-            ends = [*new.tolist(), len(cols[0])]
-            whole = len(starts) - 1 if more else len(starts)
-            pairs = [found(*(c[lo:hi] for c in (cols[3], cols[4], cols[5], cols[6].view(np.uint64), cols[7]))) for lo, hi in zip(starts[:whole], ends[:whole], strict=True) if hi - lo > 1]
-            rows = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(np.ascontiguousarray(rows[:, 0]))], ["a", "b"])
-            rest = [c[starts[-1] :] for c in cols]
+        last, held = None, []
+
+        def links() -> pa.RecordBatch:
+            side, root, fps = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            rows = np.array(found(side, root, fps.view(np.uint64), [r[3] for r in held]), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (key, i, j):
+                    if len(held) > 1:
+                        yield links()
+                    last, held = (key, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield links()
 
     return run
 
@@ -382,15 +410,19 @@ def _overlapping(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose shingles are similar enough; pairs is a written table, texts are (cls, text)."""
-    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _shingle_sets(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, hashes): the shingles of the asked (cls), sorted, as binaries; a written table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["cls", "hashes"])
 
-    hashed = written(texts.join(asked, "cls", "left_semi").select("cls", "text").mapInArrow(sets, "cls long, hashes binary"), "shingle-sets")
+    return written(texts.join(asked, "cls", "left_semi").select("cls", "text").mapInArrow(sets, "cls long, hashes binary"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingles are similar enough; pairs is a written table, texts are (cls, text)."""
+    hashed = _shingle_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), texts)
     side = lambda name, out: hashed.select(F.col("cls").alias(name), F.col("hashes").alias(out))
     left = dealt_join(pairs, side("a", "left"), "a")
     # the second join deals its hot keys by the counts of the pairs, not of the joined rows
@@ -401,15 +433,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "left", "right").mapInArrow(_overlapping(similarity), "a long, b long")
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = SET_TILE) -> DataFrame:
     """(a, b): links of classes whose texts have a similarity of ``similarity`` or more, enough to connect all that are so linked.
 
     distinct: (cls, fp, n, keys). texts: (cls, text) of each class. A first pass compares each class of a bucket with
     its nearest leader; a bucket's leaders differ from band to band, and very large buckets are dealt out in parts
     that share the first leader. What is similar joins groups. A second pass compares all pairs of a bucket that are
-    in different groups by then, in pairs of tiles where the bucket is large; a bucket of one group is done. Pairs
-    of the second pass are those that no group spares: as many as there are texts of different groups which share a
-    band key, have about as many shingles and fingerprints within SIMILAR_RADIUS.
+    in different groups by then, in pairs of tiles where the bucket is large; a bucket of one group is done. The
+    shingles of the classes of such buckets travel to them, and only links of groups, a forest for each bucket and
+    pair of tiles, come out, so no pairs are shuffled.
     """
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -425,14 +457,14 @@ def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
     groups = written(components(first), "first-groups")
     named = written(dealt_join(shared.drop("first"), groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = dealt_join(named, written(open_.withColumn("open", F.lit(True)), "open-bands"), "key").drop("open")
+    left = written(dealt_join(named, written(open_.withColumn("open", F.lit(True)), "open-bands"), "key").drop("open"), "open-rows")
     tiles = F.ceil(F.col("size") / tile).cast("int")
     own = left.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("tiles")).cast("int"))
-    dealt = own.select("key", "root", "cls", "fp", "n", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiled = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "root", "cls", "fp", "n")
+    own = own.join(_shingle_sets(left.select("cls").distinct(), texts), "cls")  # a class has BANDS rows at most
+    dealt = own.select("key", "root", "fp", "hashes", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "root", "fp", "hashes")
     apart = tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_apart(SIMILAR_RADIUS, similarity), "a long, b long")
-    more = _verified(written(apart.distinct(), "open-pairs"), texts, similarity)
-    return first.unionByName(more)
+    return first.unionByName(apart)
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

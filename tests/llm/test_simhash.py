@@ -120,7 +120,7 @@ def test_odd_rows(spark):
     assert simhash.op2_simhash(df.where("false")).collect() == []
 
 
-@pytest.mark.parametrize("tile", [2048, 4])
+@pytest.mark.parametrize("tile", [512, 4])
 def test_similar_texts(spark, monkeypatch, tile):
     """Groups at 0.8 are those of brute force, with reworded copies on both sides of it, in whole buckets and in tiles."""
     monkeypatch.setattr(simhash, "PART_ROWS", 5 if tile == 4 else 100_000)
@@ -186,3 +186,12 @@ def test_band_keys_of_similar_sets():
         a, b = np.concatenate([both, rest[:20]]), np.concatenate([both, rest[20:]])
         missed += not (simhash.band_keys(a) == simhash.band_keys(b)).any()
     assert missed <= 1
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 40), np.uint64)) for _ in range(n)] for n in (9, 12))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert simhash.shared_counts(left, right).tolist() == want
+    assert simhash.shared_counts([], right).shape == (0, 12) and simhash.shared_counts([left[0][:0]], right).sum() == 0
