@@ -14,8 +14,8 @@ tasks. A task sends on a spanning forest of the links it finds, never all pairs.
 ``representatives`` keeps one row of each group of texts whose word shingles (five words)
 have a Jaccard similarity of 0.8 or more. Such texts differ by more bits than whole blocks
 can cover, so their fingerprints, here of the set of their shingles, meet in the buckets of
-band keys (least hashes of their shingles) and are compared there in tiles; what is found is
-held against the shingles themselves. First each text is compared with leaders only, which
+band keys (least hashes of their shingles) and are compared there by the same tiles with
+population-count skips (``near``); what is found is held against the shingles themselves. First each text is compared with leaders only, which
 links most of a large group; then all pairs of a bucket that are not in one group yet are
 compared, so a large group of copies costs little and no pair is left out. See there.
 
@@ -28,7 +28,7 @@ and text are read, so other columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -95,38 +95,50 @@ def block_keys(radius: int = RADIUS) -> list[tuple[int, int, int]]:
     return [(i, signed(p | q), 0) for i, (p, q) in enumerate(combinations(blocks, 2))]
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (node, root) of the links within ``left``, or between left and right."""
-    nodes = left if right is None else np.concatenate([left, right])
-    near = np.zeros((len(nodes), len(nodes)), bool)
+def near(left: np.ndarray, right: np.ndarray, radius: int, step: int = 256) -> np.ndarray:
+    """Which of the left are within the radius of which of the right, both in the order of their population counts.
+
+    Exclusive-or and bit counts, a tile of both at a time; tiles whose population counts are further apart than the
+    radius are skipped, as no pair of them can be within it.
+    """
+    out = np.zeros((len(left), len(right)), bool)
+    count_l, count_r = np.bitwise_count(left).astype(np.int16), np.bitwise_count(right).astype(np.int16)
+    for i in range(0, len(left), step):
+        for j in range(0, len(right), step):
+            l, r = count_l[i : i + step], count_r[j : j + step]
+            if l.min() - r.max() > radius or r.min() - l.max() > radius:
+                continue
+            out[i : i + step, j : j + step] = np.bitwise_count(left[i : i + step, None] ^ right[None, j : j + step]) <= radius
+    return out
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, checked: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within ``left``, or between left and right: places (node, root) in left followed by right.
+
+    Prints are in the order of their population counts. checked: an exact check that follows; it takes which pairs
+    are within the radius, and returns which of them are links.
+    """
     cut = len(left)
-    rows, cols = (nodes, nodes) if right is None else (left, right)
-    count_r, count_c = np.bitwise_count(rows).astype(np.int16), np.bitwise_count(cols).astype(np.int16)
-    step = 256
-    for i in range(0, len(rows), step):
-        for j in range(0, len(cols), step):
-            r, c = count_r[i : i + step], count_c[j : j + step]
-            if r.min() - c.max() > radius or c.min() - r.max() > radius:
-                continue  # counts further apart than the radius: no pair can be within it
-            hit = np.bitwise_count(rows[i : i + step, None] ^ cols[None, j : j + step]) <= radius
-            if right is None:
-                near[i : i + len(r), j : j + len(c)] = hit
-            else:
-                near[i : i + len(r), cut + j : cut + j + len(c)] = hit
-                near[cut + j : cut + j + len(c), i : i + len(r)] = hit.T
-    free, nodes_out, roots_out = np.ones(len(nodes), bool), [], []
-    for start in range(len(nodes)):
+    linked = near(left, left if right is None else right, radius)
+    if checked is not None:
+        linked = checked(linked)
+    if right is not None:
+        both = np.zeros((cut + len(right),) * 2, bool)
+        both[:cut, cut:], both[cut:, :cut] = linked, linked.T
+        linked = both
+    free, nodes_out, roots_out = np.ones(len(linked), bool), [], []
+    for start in range(len(linked)):
         if not free[start]:
             continue
         free[start] = False
         front = np.array([start])
         while len(front):
-            reached = near[front].any(axis=0) & free
+            reached = linked[front].any(axis=0) & free
             front = np.flatnonzero(reached)
             free[front] = False
-            nodes_out.append(nodes[front])
-            roots_out.append(np.full(len(front), nodes[start], np.uint64))
-    return (np.concatenate(nodes_out), np.concatenate(roots_out)) if nodes_out else (nodes[:0], nodes[:0])
+            nodes_out.append(front)
+            roots_out.append(np.full(len(front), start))
+    return (np.concatenate(nodes_out), np.concatenate(roots_out)) if nodes_out else (np.zeros(0, int), np.zeros(0, int))
 
 
 def small_groups(fps: np.ndarray, group: np.ndarray, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +173,13 @@ def _compare(radius: int):
             part, where = fps[lo:hi], side[lo:hi]
             left, right = part[where == 0], part[where == 1]
             if mixed[lo] and len(left) and len(right):
-                out.append(forest(left, right, radius))
+                node, root = forest(left, right, radius)
             elif not mixed[lo]:
-                out.append(forest(left, None, radius))
+                node, root = forest(left, None, radius)
+            else:
+                continue
+            both = np.concatenate([left, right])
+            out.append((both[node], both[root]))
         a = np.concatenate([x for x, _ in out]) if out else fps[:0]
         b = np.concatenate([x for _, x in out]) if out else fps[:0]
         keep = a != b
@@ -273,42 +289,57 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "cls", "fp", "n", "keys"])
 
 
+def stars(cls: np.ndarray, fps: np.ndarray, leaders: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leader, follower, leaders, prints) of classes: each follows the first leader within the radius, or leads those behind it.
+
+    Both sides are compared in tiles in the order of their population counts.
+    """
+    head, own = (np.argsort(np.bitwise_count(x), kind="stable") for x in (prints, fps))
+    ahead = near(fps[own], prints[head], radius)
+    led = np.empty(len(cls), bool)
+    led[own] = ahead.any(axis=1)
+    first = np.empty(len(cls), np.int64)
+    first[own] = leaders[head[ahead.argmax(axis=1)]]
+    free = np.flatnonzero(~led)
+    new = []
+    if len(free):
+        place = np.argsort(np.bitwise_count(fps[free]), kind="stable")
+        among = near(fps[free[place]], fps[free[place]], radius)
+        at = np.empty(len(free), np.int64)
+        at[place] = np.arange(len(free))
+        open_ = np.ones(len(free), bool)  # by population count, as the rows of among
+        for k, row in zip(free.tolist(), at.tolist(), strict=True):
+            if open_[row]:
+                own_ = place[np.flatnonzero(among[row] & open_)]
+                open_ &= ~among[row]
+                first[free[own_]] = cls[k]
+                new.append(k)
+    keep = first != cls
+    return first[keep], cls[keep], np.concatenate([leaders, cls[new]]), np.concatenate([prints, fps[new]])
+
+
 def _followers(radius: int):
-    """Pairs (a, b) of a class and its nearest leader, from rows (key, part, place, cls, fp, first_cls, first_fp) sorted by key, part and place.
+    """Pairs (a, b) of a class and its leader, from rows (key, part, place, cls, fp, first_cls, first_fp) sorted by key, part and place.
 
     A bucket's first class leads; another that is further from all leaders than the radius becomes one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders, prints, n = None, np.zeros(64, np.int64), np.zeros(64, np.uint64), 0
-        out: list[tuple[int, int]] = []
-
-        def sent() -> pa.RecordBatch:
-            nonlocal out
-            rows = np.unique(np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1), axis=0)
-            out = []
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(np.ascontiguousarray(rows[:, 0]))], ["a", "b"])
-
+        last, leaders, prints = None, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             key, part, _, cls, fp, first_cls, first_fp = (np.asarray(c) for c in batch.columns)
-            rows = zip(key.tolist(), part.tolist(), cls.tolist(), fp.view(np.uint64), first_cls.tolist(), first_fp.view(np.uint64), strict=True)
-            for k, p, c, f, lead, lead_fp in rows:
-                if last != (k, p):
-                    last, n = (k, p), 1
-                    leaders[0], prints[0] = lead, lead_fp  # the same leader in every part of the bucket
-                far = np.bitwise_count(prints[:n] ^ f)
-                at = int(np.argmin(far))
-                if far[at] <= radius:
-                    if leaders[at] != c:
-                        out.append((int(leaders[at]), c))
-                    continue
-                if n == len(leaders):
-                    leaders, prints = np.concatenate([leaders, leaders]), np.concatenate([prints, prints])
-                leaders[n], prints[n] = c, f
-                n += 1
-            if len(out) > 20_000:
-                yield sent()
-        yield sent()
+            fp, first_fp = fp.view(np.uint64), first_fp.view(np.uint64)
+            out = []
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                if last != (bucket := (int(key[lo]), int(part[lo]))):
+                    last, leaders, prints = bucket, first_cls[lo : lo + 1], first_fp[lo : lo + 1]  # the same leader in every part of the bucket
+                for at in range(lo, hi, SET_TILE):
+                    end = min(hi, at + SET_TILE)
+                    a, b, leaders, prints = stars(cls[at:end], fp[at:end], leaders, prints, radius)
+                    out.append(np.sort(np.column_stack([a, b]), axis=1))
+            rows = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (1, 0)], ["a", "b"])
 
     return run
 
@@ -340,47 +371,43 @@ def _apart(radius: int, similarity: float):
     """Links (a, b) between groups, from rows (key, i, j, side, root, fp, hashes) sorted by key, i, j; hashes are a class's shingles.
 
     Classes of different groups whose fingerprints are within the radius, and whose numbers of shingles allow the
-    similarity, are compared exactly; of the groups that are linked in a bucket, a spanning forest is sent on.
+    similarity, are compared exactly; of the links a spanning forest (``forest``) is sent on.
     """
 
-    def found(side, root, fps, hashes) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(h, np.uint64) for h in hashes]
+    def found(side, root, fps, hashes) -> np.ndarray:
+        order = np.argsort(np.bitwise_count(fps), kind="stable")
+        side, root, fps = side[order], root[order], fps[order]
+        sets = [np.frombuffer(hashes[k], np.uint64) for k in order.tolist()]
         n = np.array([len(x) for x in sets])
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
-
-        out = []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            for step in range(0, len(right), 512):
-                some = right[step : step + 512]
-                small, large = np.minimum(n[rows, None], n[some]), np.maximum(n[rows, None], n[some])
-                hit = (root[rows, None] != root[some]) & (small >= similarity * large - 1e-9) & (np.bitwise_count(fps[rows, None] ^ fps[some]) <= radius)
-                r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-                if not len(r):
-                    continue
-                both = shared_counts([sets[k] for k in rows[r]], [sets[k] for k in some[c]])
-                size = n[rows[r], None] + n[some[c]]
-                x, y = np.nonzero(hit[np.ix_(r, c)] & (both >= similarity * (size - both) - 1e-6))
-                for a, b in np.unique(np.column_stack([root[rows[r[x]]], root[some[c[y]]]]), axis=0).tolist():
-                    if (p := top(a)) != (q := top(b)):
-                        up[max(p, q)] = min(p, q)
-                        out.append((max(a, b), min(a, b)))
-        return out
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        other = right if len(right) else left
+
+        def similar(hit: np.ndarray) -> np.ndarray:
+            """Of the pairs within the radius, those of different groups that share enough shingles."""
+            for at in range(0, len(left), SET_TILE):
+                rows = left[at : at + SET_TILE]
+                for step in range(0, len(other), SET_TILE):
+                    some, part = other[step : step + SET_TILE], hit[at : at + SET_TILE, step : step + SET_TILE]
+                    small, large = np.minimum(n[rows, None], n[some]), np.maximum(n[rows, None], n[some])
+                    part &= (root[rows, None] != root[some]) & (small >= similarity * large - 1e-9)
+                    r, c = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                    if len(r):
+                        both = shared_counts([sets[k] for k in rows[r]], [sets[k] for k in some[c]])
+                        part[np.ix_(r, c)] &= both >= similarity * (n[rows[r], None] + n[some[c]] - both) - 1e-6
+            return hit
+
+        node, top = forest(fps[left], fps[right] if len(right) else None, radius, similar)
+        both = np.concatenate([left, right])
+        rows = np.sort(np.column_stack([root[both[node]], root[both[top]]]), axis=1)
+        return np.unique(rows[rows[:, 0] != rows[:, 1]], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
 
         def links() -> pa.RecordBatch:
             side, root, fps = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            rows = np.array(found(side, root, fps.view(np.uint64), [r[3] for r in held]), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
+            rows = found(side, root, fps.view(np.uint64), [r[3] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (1, 0)], ["a", "b"])
 
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -195,3 +195,44 @@ def test_shared_counts(monkeypatch):
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
     assert simhash.shared_counts(left, right).tolist() == want
     assert simhash.shared_counts([], right).shape == (0, 12) and simhash.shared_counts([left[0][:0]], right).sum() == 0
+
+
+def test_near_is_brute_force_with_tiles_skipped(monkeypatch):
+    rng = np.random.default_rng(4)
+    some = lambda n: np.array(sorted((int(x) for x in rng.integers(0, 1 << 63, n, np.uint64) & rng.integers(0, 1 << 63, n, np.uint64)), key=int.bit_count), np.uint64)
+    left, right = np.concatenate([some(90), np.full(30, 2**64 - 1, np.uint64)]), some(70)
+    for radius in (4, 20, 32):
+        want = np.bitwise_count(left[:, None] ^ right) <= radius
+        assert (simhash.near(left, right, radius, 16) == want).all()
+    seen, real = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: seen.append(x.ndim) or real(x))
+    assert not simhash.near(right[:16], left[-16:], 20, 16).any() and seen == [1, 1]  # counts alone, no pair
+
+
+def test_stages_of_near_copies_use_the_tiles(monkeypatch):
+    """Both passes of the pipeline's stage compare by near, the second by the forest of op2, whose check keeps what is similar."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    calls, real, forest = [], simhash.near, simhash.forest
+    monkeypatch.setattr(simhash, "near", lambda *a: calls.append("near") or real(*a))
+    monkeypatch.setattr(simhash, "forest", lambda *a: calls.append("forest") or forest(*a))
+    base = np.sort(rng.integers(0, 1 << 63, 100, np.uint64))
+    sets = [base, base[:90], base[:85], np.sort(rng.integers(0, 1 << 63, 100, np.uint64)), base[:70]]
+    prints = [1, 3, 7, 15, 2**40 - 1]
+    rows = [[5] * 5, [0] * 5, [0] * 5, [0] * 5, [10, 11, 12, 13, 14], prints, [x.tobytes() for x in sets]]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [*"abcdefg"])
+    out = [p for b in simhash._apart(8, 0.8)([batch]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(out) == [(11, 10), (12, 10)] and calls == ["forest", "near"]
+    fp = np.concatenate([rng.integers(0, 1 << 63, 700, np.uint64), np.full(700, 2**64 - 1, np.uint64)])
+    n, cls = len(fp), np.arange(len(fp)) + 1
+    cols = [np.full(n, 3), np.zeros(n, int), np.arange(n), cls, fp.view(np.int64), np.full(n, 1), np.full(n, fp[0]).view(np.int64)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 450]) for c in cols], [*"abcdefg"]) for lo in range(0, n, 450)]
+    pairs = [p for b in simhash._followers(20)(batches) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    far = {int(c): int(f) for c, f in zip(cls, fp, strict=True)}
+    assert all((far[a] ^ far[b]).bit_count() <= 20 for a, b in pairs)
+    led = {x for p in pairs for x in p}
+    leaders = [c for c in cls.tolist() if c not in {max(p) for p in pairs}]
+    assert len(pairs) == n - len(leaders) and len(led & set(cls[700:].tolist())) == 700
+    assert all((far[a] ^ far[b]).bit_count() > 20 for i, a in enumerate(leaders) for b in leaders[:i])
