@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import bm25, dense, inverted, workspace
+from sievewright.operators import bm25, common, dense, inverted, workspace
 from sievewright.sources import catalog
 
 DOCS = [
@@ -47,6 +47,25 @@ def test_tables(spark, root):
     assert totals[("internal", "design")] == (2, next(len(r.tokens) for r in terms if r.doc_id == 2))
 
 
+def test_tasks_of_a_build_do_not_grow_with_the_collection(spark, tmp_path, monkeypatch):
+    """Texts are dealt by their bytes and postings by their rows, also where one term is in every document."""
+    from pyspark.sql.functions import spark_partition_id
+
+    monkeypatch.setattr(common, "DEALT_BYTES", 2000)
+    monkeypatch.setattr(inverted, "SORTED_ROWS", 200)
+    rows = [(i, f"hot words {'w%d ' % i * 9}", "internal", "code", None) for i in range(1200)]
+    df = docs(spark, rows)
+    size = sum(len(r[1]) for r in rows)
+    parts = common.dealt(df, "doc_id", "text").groupBy(spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("n"))
+    assert parts.count() >= 0.9 * size / 2000 and parts.agg(F.max("n")).first()[0] < 3 * 2000
+    path = str(tmp_path / "root")
+    inverted.publish(df, path, "one")
+    postings = inverted.Index(spark, path).tables["postings"]
+    files = {r.f: r.n for r in postings.groupBy(F.input_file_name().alias("f")).count().withColumnRenamed("count", "n").collect()}
+    assert sum(files.values()) == postings.count() == 5 * 1200 and max(files.values()) < 2 * 200
+    assert postings.where("term = 'hot'").select(F.input_file_name()).distinct().count() > 4
+
+
 @pytest.mark.parametrize("cells", [inverted.MATRIX_CELLS, 0], ids=["matrix", "join"])
 def test_scores_are_those_of_the_collection(spark, root, monkeypatch, cells):
     monkeypatch.setattr(inverted, "MATRIX_CELLS", cells)
