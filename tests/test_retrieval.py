@@ -102,3 +102,26 @@ def test_text(spark):
     assert one(spark, tidy(F.lit(" a \r\n\r\n\r\n b\t c "))) == "a\n\nb c"
     assert one(spark, canonical_url(F.lit("HTTPS://Ex.COM:443#f"))) == "https://ex.com/"
     assert "abc123" not in one(spark, redacted(F.lit("token = abc123 and Bearer zzz in /home/me/x")))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_scores_of_a_task_are_held_in_blocks(monkeypatch, kind):
+    """No block of scores has more than CELLS; ties go by id and NaN is the largest, as in SQL."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(dense, "CELLS", 600)
+    sizes, real = [], np.round
+    monkeypatch.setattr(dense.np, "round", lambda x, n: sizes.append(x.size) or real(x, n))
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (500, 4)).astype(float)
+    vectors[77, 1] = np.nan
+    ids = [i if kind == "long" else f"v{i:03}" for i in rng.permutation(500).tolist()]
+    asked = rng.integers(-2, 3, (40, 4)).astype(float)
+    frames = [pd.DataFrame({"id": ids[at : at + 120], "v": list(vectors[at : at + 120])}) for at in range(0, 500, 120)]
+    got = pd.concat(list(dense._scored(iter(frames), list(range(40)), asked, 6, 6, [])))
+    for q in range(40):
+        score = real(vectors @ asked[q], 6)
+        want = sorted(zip(score, ids, strict=True), key=lambda x: (not np.isnan(x[0]), -x[0] if x[0] == x[0] else 0, x[1]))[:6]
+        assert got[got.qid == q].id.tolist() == [i for _, i in want]
+    assert max(sizes) <= 600 and len(got) == 240
