@@ -113,3 +113,26 @@ def test_budget_keeps_null_keys(spark):
     df = spark.createDataFrame(rows, "source string, doc_id long, text string")
     got = evidence.within_budget_blocked(df, "source", "doc_id", F.floor(F.col("doc_id") / 1000), "text", 50, 70)
     assert sorted(((r.source, r.doc_id, r.used) for r in got.collect()), key=str) == sorted([("a", None, 30), ("a", 1, 30), ("a", 2000, 10), (None, None, 30), (None, 2, 30)], key=str)
+
+
+def test_a_task_sends_no_more_hits_than_may_be_first(monkeypatch):
+    import ahocorasick
+    import pandas as pd
+
+    automaton = ahocorasick.Automaton()
+    for word in ("alpha", "beta"):
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    monkeypatch.setattr(patterns, "HELD_HITS", 7)
+    files = [(f"p{i:04}", f"alpha beta {i}\nno\nalpha\n" * 3) for i in (*range(1000), 0, 5)]
+    frames = [pd.DataFrame(files[at : at + 300], columns=["path", "text"]) for at in range(0, len(files), 300)]
+    for order in (frames, frames[::-1]):
+        sent = list(patterns._hits(iter(order), automaton, 4))
+        assert max(map(len, sent)) <= 7
+        rows = pd.concat(sent)
+        for word in ("alpha", "beta"):
+            lines = sorted((p, n) for p, text in files for n, line in enumerate(text.split("\n"), 1) if word in line)
+            mine = rows[rows.term == word]
+            assert sorted(zip(mine.path, mine.line_no, strict=True))[:4] == lines[:4]
+        assert len(rows) < 3000  # 4 of each file would be 7,000
+    assert len(pd.concat(list(patterns._hits(iter(frames), automaton, 4)))) <= 24
