@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefold
 from . import fusion, patterns
-from .common import top
+from .common import dealt, top
 
 SYMBOL_WEIGHT, TEXT_WEIGHT = 1.5, 1.0
 MAX_COMMITS = 50
+#: Bytes of subjects of a task.
+SUBJECT_BYTES = 1 << 20
 # What a definition is asked with, what shows an overview or code.
 DEFINITION = r"(?i)(?:什么是|是什[么麼]|介绍|简介|概述|定义|what\s+is|define|overview)"
 OVERVIEW = r"(?i)(?:overview|introduction|getting[-_ ]started|readme|简介|概述|介绍)"
@@ -47,10 +49,12 @@ def merged_hits(symbol_rows: DataFrame, text_rows: DataFrame, k: int, item: str
 def commits(history: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, commit_sha, content, score, rank): commits (commit_sha, committed_at, subject) whose subject holds a query's text, the last first.
 
-    Texts are matched whatever the case, by way of an index of their runs of characters.
+    Texts are matched whatever the case, by the runs of their characters. Commits are dealt out, so a task ranks the
+    matches of SUBJECT_BYTES of subjects.
     """
     asked = queries.where((F.trim("query") != "") & (F.length("query") <= 512) & ~F.col("query").rlike("[\\x00\\r\\n]")).select("qid", F.trim("query").alias("query"))
-    found = patterns.holding(history, "commit_sha", "subject", asked).join(history, "commit_sha")
+    rows = dealt(history.select("commit_sha", "committed_at", "subject"), "commit_sha", "subject", SUBJECT_BYTES)
+    found = patterns.holding(rows, "commit_sha", "subject", asked, ("committed_at", "subject"))
     rows = top(found, ["qid"], [F.desc("committed_at"), F.asc("commit_sha")], min(k, MAX_COMMITS))
     content = F.concat(F.lit("Commit "), "commit_sha", F.lit(": "), "subject", F.lit(" ("), F.col("committed_at").cast("string"), F.lit(")"))
     return rows.select("qid", "commit_sha", content.alias("content"), (1.0 / F.col("rank")).alias("score"), "rank")

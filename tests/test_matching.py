@@ -90,3 +90,14 @@ def test_bootstrap_against_one_draw_at_a_time(spark):
     # the weights are those of a Poisson variable of mean 1
     w = [weight(f"k{i}", r) for i in range(100) for r in range(50)]
     assert abs(np.mean(w) - 1) < 0.05 and abs(np.var(w) - 1) < 0.1
+
+
+def test_commits_with_several_rows(spark):
+    """A commit's row whose own subject holds the text is a match, as in SQL; no match is shuffled before the ranking."""
+    history = spark.createDataFrame([("a", 1, "Fix the Loader"), ("a", 1, "docs"), ("b", 3, "fix loader"), ("b", 3, "fix loader")], "commit_sha string, committed_at long, subject string")
+    asked = spark.createDataFrame([(1, "loader"), (2, "fix")], "qid long, query string")
+    got = sorted((r.qid, r.commit_sha, r.content) for r in live.commits(history, asked, 5).collect())
+    held = [("a", "Commit a: Fix the Loader (1)"), ("b", "Commit b: fix loader (3)"), ("b", "Commit b: fix loader (3)")]
+    assert got == [(q, *h) for q in (1, 2) for h in held]
+    plan = plan_of(patterns.holding(history, "commit_sha", "subject", asked, ("committed_at",)))
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
