@@ -45,14 +45,14 @@ BLOCK = 1000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, cache_rows: int = tokens.CACHE_ROWS) -> DataFrame:
     """One row for each piece. A text of more than ``capacity`` ids is cut; its first piece is the shorter one."""
     prepare(docs.sparkSession)
     path = vocabulary or tokens.vocabulary("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.load(path)
+        coder = tokens.load(path, rows=cache_rows)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -260,10 +260,13 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return rows
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """The pieces with sequence_id and offset: each sequence is gapless from 0 and holds at most ``capacity`` ids."""
+def packed(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, cache_rows: int = tokens.CACHE_ROWS) -> DataFrame:
+    """The pieces with sequence_id and offset: each sequence is gapless from 0 and holds at most ``capacity`` ids.
+
+    cache_rows: words whose ids a worker keeps, which is memory against time; the ids are the same.
+    """
     spark = docs.sparkSession
-    cut = written(pieces(docs, capacity, end_id, vocabulary), "pieces")
+    cut = written(pieces(docs, capacity, end_id, vocabulary, cache_rows), "pieces")
     counts = {r.length: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     plan_rows = places(plan(counts, capacity))
     salts = max(32, sum(counts.values()) // GROUP_ROWS)

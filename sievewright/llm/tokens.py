@@ -18,10 +18,12 @@ import numpy as np
 #: Pieces and parts whose ids a worker keeps (in two halves, the older one is dropped), and the longest one kept.
 CACHE_ROWS = 1_100_000
 CACHE_CHARS = 64
+#: Pieces kept where other stages share the workers and the memory of their executors: a worker holds less, and spends more time on words.
+SMALL_CACHE_ROWS = 200_000
 
 _WIDE = re.compile(r"\s \s")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_loaded: dict[tuple[str, bool], ByteBpe] = {}
+_loaded: dict[tuple[str, bool, int], ByteBpe] = {}
 
 
 class Odd(Exception):
@@ -59,9 +61,10 @@ class ByteBpe:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     plain: strings of added tokens in a text are ordinary text; else they are the tokens, as the library has it by default.
+    rows: pieces whose ids are kept; a smaller number costs time, never ids.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, rows: int = CACHE_ROWS):
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
@@ -94,8 +97,8 @@ class ByteBpe:
             # a word after a space is a piece of its own elsewhere
             return b"".join([words[p[1:]] if p[0] == " " and p[1:].isalpha() else parts[p] for p in cut.findall(x)])
 
-        parts, words = kept(CACHE_ROWS // 8, part), kept(CACHE_ROWS, word)
-        self.words, self.regular, self.holds_added = words, regular, holds_added
+        parts, words = kept(rows // 8, part), kept(rows, word)
+        self.parts, self.words, self.regular, self.holds_added = parts, words, regular, holds_added
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -116,11 +119,11 @@ class ByteBpe:
             return b"".join([self.regular(first) if first else b"", *(self.regular(" " + x) if odd(x) else self.words[x] for x in rest)])
 
 
-def load(path: str, plain: bool = False) -> ByteBpe:
+def load(path: str, plain: bool = False, rows: int = CACHE_ROWS) -> ByteBpe:
     """The encoder of a vocabulary file, one for each worker process."""
-    if (path, plain) not in _loaded:
-        _loaded[path, plain] = ByteBpe(path, plain)
-    return _loaded[path, plain]
+    if (path, plain, rows) not in _loaded:
+        _loaded[path, plain, rows] = ByteBpe(path, plain, rows)
+    return _loaded[path, plain, rows]
 
 
 def vocabulary(name: str) -> str:

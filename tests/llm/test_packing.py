@@ -163,3 +163,26 @@ def test_special_strings_nulls_and_repeated_rows(spark):
 
 def test_an_empty_table(spark):
     assert packing.op5_packing(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pipeline_keeps_few_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    packed = packing.packed
+    monkeypatch.setattr(packing, "packed", lambda docs, **more: asked.append(more) or packed(docs, **more))
+    docs = documents(spark, "/root/testdata/sf0.001")
+    rows = corpus_pipeline.pack(spark, docs, "/root/testdata/sf0.001")
+    holds(rows.collect(), {r.doc_id: r.text for r in docs.collect()})
+    assert asked == [{"cache_rows": tokens.SMALL_CACHE_ROWS}]
+
+
+def test_small_cache():
+    """However many words there are, no more are kept than asked for, and the ids are those of the library."""
+    coder, whole = tokens.load(tokens.vocabulary("byte_bpe_50k.json"), rows=400), library()
+    rng = random.Random(2)
+    for _ in range(40):
+        text = " ".join(f"{rng.randrange(10**6)}-x {''.join(rng.choices('abcdefg', k=6))}" for _ in range(200))
+        assert coder.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(coder.words) <= 200 and len(coder.parts) <= 25
+    assert coder is not tokens.load(tokens.vocabulary("byte_bpe_50k.json"))
