@@ -173,3 +173,25 @@ def test_kept_tables_follow_their_input(spark, tmp_path):
 def test_empty_collection(spark, tmp_path):
     inverted.publish(docs(spark, []), str(tmp_path / "i"), "none")
     assert inverted.Index(spark, str(tmp_path / "i")).ranked(asked(spark), 3).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40])
+def test_tasks_send_the_best_only(spark, tmp_path, monkeypatch, held):
+    """However many documents match, a task sends k a query and partition, also if queries see some partitions only."""
+    rows = [(i, f"hot {'word ' * (i % 9)}w{i % 5}", "internal", ("code", "design")[i % 2], None) for i in range(600)]
+    where = str(tmp_path / "root")
+    inverted.publish(docs(spark, rows), where, "first")
+    index, sent, k = inverted.Index(spark, where), [], 3
+    terms = inverted.query_terms(spark.createDataFrame([(1, "hot word"), (2, "hot w3")], "qid long, query string"))
+    allowed = spark.createDataFrame([(1, "internal", "code"), (2, "internal", "design")], "qid long, corpus string, authority string")
+    by = ("corpus", "authority")
+    monkeypatch.setattr(inverted, "BLOCK_VALUES", 100)  # blocks of a few documents
+    monkeypatch.setattr(inverted, "HELD_ROWS", held)
+    multiplied = index._multiplied
+    index._multiplied = lambda *a: sent.append(multiplied(*a)) or sent[-1]
+    found = sorted(map(tuple, index.ranked(terms, k, by=by, allowed=allowed).select("qid", "authority", "doc_id", "score", "rank").collect()))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert held < 100 or sent[0].count() <= tasks * 2 * 2 * k
+    monkeypatch.setattr(inverted, "MATRIX_CELLS", 0)
+    joined = index.ranked(terms, k, by=by, allowed=allowed).select("qid", "authority", "doc_id", "score", "rank")
+    assert found == sorted(map(tuple, joined.collect())) and len(found) == 2 * k
