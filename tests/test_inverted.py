@@ -195,3 +195,24 @@ def test_tasks_send_the_best_only(spark, tmp_path, monkeypatch, held):
     monkeypatch.setattr(inverted, "MATRIX_CELLS", 0)
     joined = index.ranked(terms, k, by=by, allowed=allowed).select("qid", "authority", "doc_id", "score", "rank")
     assert found == sorted(map(tuple, joined.collect())) and len(found) == 2 * k
+
+
+def test_terms_and_vectors_of_a_build_are_counted_in_one_pass(spark):
+    """Counting shuffles nothing and has the tokens, and vectors the words, of the engine's expressions, on odd texts too."""
+    from sievewright.functions.text import casefold, tokens
+    from sievewright.plans import retrieval
+
+    texts = ["QueryEngine.submit_message a-b HTTP2 HTTPServer2x 1.25 __x__ a//b C:\\\\d\\e", "检查点 检 x检查y", "Straße STRASSE İstanbul ΣΑΣ ſK", "a\x1cb a\u00a0b a\u2028b\x0bc\fd\r\ne", "", None, " \n", "😀x😀 y_Z9-Q:r"]
+    rows = [(i, t, "internal", "code", None) for i, t in enumerate(texts)]
+    df = docs(spark, rows)
+    got = inverted.term_counts(df.select("doc_id", "corpus", "authority", "text"), inverted.KEYS)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r.doc_id, t, n, len(r.t)) for r in df.select("doc_id", tokens(F.col("text")).alias("t")).collect() for t, n in Counter(r.t).items())
+    assert sorted(map(tuple, got.select("doc_id", "term", "tf", "dl").collect())) == want
+    words = F.filter(F.split(casefold(F.coalesce("text", F.lit(""))), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
+    bucket = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % retrieval.BUCKETS
+    vectors = {r.doc_id: r.v for r in retrieval.hash_embedding(df.drop("v"), "doc_id", "text", "v").collect()}
+    for r in df.select("doc_id", F.transform(words, bucket).alias("b")).collect():
+        n = [r.b.count(k) for k in range(retrieval.BUCKETS)]
+        size = math.sqrt(sum(x * x for x in n))
+        assert vectors[r.doc_id] == ([x / size for x in n] if size else [1.0] + [0.0] * (retrieval.BUCKETS - 1))
