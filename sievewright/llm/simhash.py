@@ -17,7 +17,8 @@ can cover, so their fingerprints, here of the set of their shingles, meet in the
 band keys (least hashes of their shingles) and are compared there by the same tiles with
 population-count skips (``near``); what is found is held against the shingles themselves. First each text is compared with leaders only, which
 links most of a large group; then all pairs of a bucket that are not in one group yet are
-compared, so a large group of copies costs little and no pair is left out. See there.
+compared, so a large group of copies costs little. What two passes leave to chance, pairs that share no band key or
+whose fingerprints are further apart, a third finds without any (``remaining_links``). See there.
 
 Null, empty and blank texts have fingerprint 0 and are linked like any other;
 repeated rows share a component; an empty table gives no rows. A null doc_id is no
@@ -53,6 +54,8 @@ SIMILAR_RADIUS, LEAD_RADIUS = 32, 20
 BANDS, ROWS = 20, 4
 #: Classes of a part of a large bucket in the first pass, and of a tile in the second, with columns of a product there.
 PART_ROWS, SET_TILE, COLUMNS = 100_000, 512, 4096
+#: Bits of the parities of a class's shingles; shingles counted at once, and how often and how many of them are put last.
+PARITIES, COUNTED, COMMON, COMMON_KEYS = 512, 1 << 20, 50, 100_000
 _TIE, _NTH = "simhash: tie", "simhash: nth"
 
 
@@ -270,23 +273,34 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, tie, cls, fp, n, keys) from (doc_id, text, tie): cls names the set of a text's shingles, fp is its fingerprint, n their number, keys are its bands."""
+def class_of(distinct: np.ndarray) -> int:
+    """The name of a set of shingles, sorted; 0 for none."""
     import xxhash
 
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64)) if len(distinct) else 0
+
+
+def parities(distinct: np.ndarray) -> bytes:
+    """Which of PARITIES parts of the hashes hold an odd number: two sets differ in as many elements as their parities do, at least."""
+    return np.packbits((np.bincount((distinct % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tie, cls, fp, n, keys, odd) from (doc_id, text, tie): cls names the set of a text's shingles, fp is its fingerprint, n their number, keys are its bands, odd their parities."""
     for batch in batches:
-        classes, prints, sizes, keys = [], [], [], []
+        classes, prints, sizes, keys, odd = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             distinct = np.unique(shingle_hashes(text))
             ones = np.zeros(64, np.int64)
             for at in range(0, len(distinct), 65536):
                 ones += np.unpackbits(distinct[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             prints.append(np.packbits((2 * ones > len(distinct)).astype(np.uint8), bitorder="little").view(np.int64)[0])
-            classes.append(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64) if len(distinct) else 0)
+            classes.append(class_of(distinct))
+            odd.append(parities(distinct))
             sizes.append(len(distinct))
             keys.append(band_keys(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64))
-        columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "cls", "fp", "n", "keys"])
+        columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "cls", "fp", "n", "keys", "odd"])
 
 
 def stars(cls: np.ndarray, fps: np.ndarray, leaders: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -494,6 +508,132 @@ def similar_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
     return first.unionByName(apart)
 
 
+def prefix(distinct: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, sorted, in one order of all shingles, of which each pair of similar sets shares one.
+
+    Similar sets share ``similarity`` of either at least, so the first that they share is among the first
+    n - ceil(similarity n) + 1 of both, whatever the order is. Here those not in ``common`` (sorted, with counts) come
+    first, by value, then the others, the rarest first. Sets of less than four have none: no other set is similar.
+    """
+    n = len(distinct)
+    if n - 1 < similarity * n - 1e-6 and n < similarity * (n + 1) - 1e-6:
+        return distinct[:0]
+    most = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    if not len(common):
+        return distinct[:most]
+    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+    known = common[at] == distinct
+    first = distinct[~known][:most]
+    last = distinct[known]
+    return np.concatenate([first, last[np.argsort(counts[at[known]], kind="stable")][: most - len(first)]])
+
+
+def _possible(similarity: float):
+    """Pairs (a, b) of classes of different groups that may be similar, from rows (key, i, j, side, root, cls, size, place, odd) sorted by key, i, j.
+
+    Both bounds are exact: a pair shares no more than one shingle and those behind it where it shares its first, and
+    differs in no fewer than the parities do. No fingerprint decides.
+    """
+    share, differ = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+
+    def found(held: list) -> Iterator[pa.RecordBatch]:
+        side, root, cls, n, place = (np.array([r[k] for r in held], np.int64) for k in range(5))
+        odd = np.frombuffer(b"".join(r[5] for r in held), np.uint64).reshape(len(held), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        other = right if len(right) else left
+        for at in range(0, len(left), SET_TILE):
+            rows, out = left[at : at + SET_TILE], []
+            for step in range(0, len(other), SET_TILE):
+                some = other[step : step + SET_TILE]
+                both = n[rows, None] + n[some]
+                hit = (root[rows, None] != root[some]) & (np.minimum(n[rows, None], n[some]) >= similarity * np.maximum(n[rows, None], n[some]) - 1e-6)
+                hit &= 1 + np.minimum((n - place)[rows, None], (n - place)[some]) >= share * both - 1e-6
+                r, c = np.nonzero(hit)
+                kept = np.bitwise_count(odd[rows[r]] ^ odd[some[c]]).sum(axis=1) <= differ * both[r, c] + 1e-6
+                out.append(np.sort(np.column_stack([cls[rows[r[kept]]], cls[some[c[kept]]]]), axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (1, 0)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (key, i, j):
+                    if len(held) > 1:
+                        yield from found(held)
+                    last, held = (key, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield from found(held)
+
+    return run
+
+
+def remaining_links(links: DataFrame, odd: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """(a, b): all links at ``similarity`` between classes that ``links``, a written table, leaves in different groups.
+
+    odd: (cls, odd) of each class, a written table; rows: (text) of all texts; texts: (cls, text) of each class. Classes
+    meet at the shingles of their prefixes (see there), so no pair is left to chance. Shingles that many texts have
+    come last in the order, which is all that counting them decides; buckets of one group are done.
+    """
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def repeated() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(np.unique(shingle_hashes(text)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield repeated()
+                    held, size = [], 0
+        if held:
+            yield repeated()
+
+    seen = rows.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    known = sorted((r.key % (1 << 64), r.n) for r in seen.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect())
+    shared = spark.sparkContext.broadcast((np.array([k for k, _ in known], np.uint64), np.array([n for _, n in known], np.int64)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            keys, owners, sizes, met = [], [], [], set()
+            for text in batch.column(0).to_pylist():
+                distinct = np.unique(shingle_hashes(text))
+                if (cls := class_of(distinct)) not in met:
+                    met.add(cls)
+                    keys.append(prefix(distinct, common, counts, similarity))
+                    owners.append(cls)
+                    sizes.append(len(distinct))
+            lengths = [len(k) for k in keys]
+            place = np.concatenate([np.arange(1, m + 1) for m in lengths] or [np.zeros(0, np.int64)])
+            at = (np.repeat(np.array(sizes, np.int64), lengths) << 32) | place
+            key = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(owners, np.int64), lengths)), pa.array(at)], ["key", "cls", "at"])
+
+    by = Window.partitionBy("key")
+    each = rows.mapInArrow(first, "key long, cls long, at long")
+    met = each.select("key", "cls", "at", F.min("cls").over(by).alias("low"), F.max("cls").over(by).alias("high")).where("low <> high").select("key", "cls", "at")
+    met = written(met, "met").distinct()
+    groups = written(components(links), "band-groups")
+    named = written(dealt_join(written(met, "met-once"), groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "met-groups")
+    sizes = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+    left = written(dealt_join(named, written(sizes, "open-shingles"), "key"), "open-met")
+    own = dealt_join(left, odd, "cls").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    tiled = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "root", "cls", F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "odd")
+    pairs = tiled.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_possible(similarity), "a long, b long").distinct()
+    return written(_verified(written(pairs, "possible-pairs"), texts, similarity), "remaining-links")
+
+
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar texts, whole: that with the smallest doc_id, null ids last, and of those with one id that with the least hash of its columns.
 
@@ -508,12 +648,13 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     tie = F.xxhash64(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{c}`").isNull() for c in names))
     text = F.col("text").cast("string").cast("binary")
     tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), tie.alias("tie"))
-    prints = written(tied.mapInArrow(_signed, "doc_id long, tie long, cls long, fp long, n long, keys array<long>"), "signed")
+    prints = written(tied.mapInArrow(_signed, "doc_id long, tie long, cls long, fp long, n long, keys array<long>, odd binary"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    distinct = written(prints.groupBy("cls").agg(F.min(order).alias("least"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "classes")
+    distinct = written(prints.groupBy("cls").agg(F.min(order).alias("least"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("odd").alias("odd")), "classes")
     least = distinct.select("cls", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("tie"))
     texts = tied.select("text", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).join(least, (F.col("tie") == F.col("_tie")) & F.col("id").eqNullSafe(F.col("_id"))).select("cls", "text")
-    roots = components(similar_links(distinct.where(F.size("keys") > 0), texts, similarity))
+    banded = written(similar_links(distinct.where(F.size("keys") > 0), texts, similarity), "band-links")
+    roots = components(banded.unionByName(remaining_links(banded, distinct.select("cls", "odd"), tied.select("text"), texts, similarity)))
     grouped = distinct.join(roots, distinct.cls == roots.node, "left").select(F.coalesce("root", "cls").alias("root"), "least")
     best = grouped.groupBy("root").agg(F.min("least").alias("best")).select(F.col("best.doc_id").alias("id"), F.col("best.tie").alias("tie"))
     equal = prints.groupBy(F.col("doc_id").alias("id"), "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

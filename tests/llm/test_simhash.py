@@ -236,3 +236,28 @@ def test_stages_of_near_copies_use_the_tiles(monkeypatch):
     leaders = [c for c in cls.tolist() if c not in {max(p) for p in pairs}]
     assert len(pairs) == n - len(leaders) and len(led & set(cls[700:].tolist())) == 700
     assert all((far[a] ^ far[b]).bit_count() > 20 for i, a in enumerate(leaders) for b in leaders[:i])
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_no_link_is_left_to_the_bands(spark, monkeypatch, tile):
+    """Where bands and fingerprints find nothing, the shingles that a pair must share still lead to every link."""
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "similar_links", lambda d, t, s: none)
+    real = simhash.remaining_links
+    monkeypatch.setattr(simhash, "remaining_links", lambda *a: real(*a, tile))
+    monkeypatch.setattr(simhash, "COMMON", 5)
+    rng = random.Random(13)
+    line = [f"c{k}" for k in range(12)]
+    texts = {0: None, 1: "", 2: "one two", 3: "one  TWO", 4: "one two three four five six seven", 5: "one two three four five six seven eight"}
+    for c in range(20):
+        words = line + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 30, 120, 400]))]
+        for _ in range(rng.choice([1, 2, 8])):
+            own = list(words)
+            for at in rng.sample(range(len(own)), rng.randrange(max(1, len(own) // 25))):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(own)
+    for k in range(8, 16):
+        texts[len(texts)] = " ".join(f"s{i}" for i in range(k))  # sets of 4 to 11, each a part of the next
+    want = set(similar(texts).values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert 20 < len(want) < len(texts) - 10 and {r.doc_id for r in simhash.representatives(df).collect()} == want
